@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
+from .ann import nearest
 from .common import read
+from .language import fit_language, language_column
 from .lines import dedup_lines
+from .packing import pack_documents
 from .probminhash import near_duplicates
+from .quality import fit_quality, held_out, score_column
+from .sentencepieces import decode_column, encode_column
 from .substrings import remove_repeats
+from .topk import exact_top_k
+
+
+def op1_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,20 +27,59 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = fit_quality(docs.where(~held_out()), read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), score_column(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", 10)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = held_out("doc_id", 4, 2)
+    model = fit_language(docs.where(~out))
+    return docs.select("doc_id", out.alias("held_out"), language_column(model).alias("found")).select("doc_id", "held_out", "found.*")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(read(spark, sf_dir, "documents")))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = read(spark, sf_dir, "documents").select("doc_id", "text", encode_column().alias("ids"))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), (decode_column("ids") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
 def queries():
     return {
+        "op1_balanced_posting_lists": op1_balanced_posting_lists,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_histogram_packing": op4_histogram_packing,
+        "op5_norm_bucket_top_k": op5_norm_bucket_top_k,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_language_id": op7_language_id,
         "op8_line_dedup": op8_line_dedup,
+        "op9_license_scan": op9_license_scan,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
@@ -58,5 +108,39 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def _op9_sql() -> str:
+    """The same phrases and templates as regular expressions over words each followed by a space."""
+    counts = [(f"len(regexp_extract_all(s, '{p} '))" if len(p.split()) == 1 else f"len(list_filter(at, lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r}))", label) for p, label in licenses.PHRASES.items()]
+    starts = " OR ".join(f"w[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p in licenses.PHRASES)
+    base = ", ".join(f"CASE WHEN {c} > 0 THEN '{label}' END" for c, label in counts)
+    own = ", ".join(f"CASE WHEN {' OR '.join(f"regexp_matches(s, '(^| ){licenses.template_regex(t)}')" for t in ts)} THEN '{label}' END" for label, ts in licenses.TEMPLATES.items())
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS w FROM documents
+), e AS (
+  SELECT doc_id, w, range(1, len(w) + 1) AS at, array_to_string(w, ' ') || ' ' AS s FROM d
+), f AS (
+  SELECT doc_id, len(w) AS n, list_filter(at, lambda i: {starts}) AS places, list_filter([{base}], lambda x: x IS NOT NULL) AS base, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM e
+)
+SELECT doc_id, n::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(base)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, own))), ','), '') AS labels,
+  CASE WHEN len(own) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM f
+"""
+
+
 def oracle_sql():
-    return {"op2_substring_dedup": OP2_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_norm_bucket_top_k": OP5_SQL, "op9_license_scan": _op9_sql()}
