@@ -123,17 +123,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 def _op9_sql() -> str:
     """The same phrases and templates as regular expressions over words each followed by a space."""
-    counts = [(f"len(regexp_extract_all(s, '{p} '))" if len(p.split()) == 1 else f"len(list_filter(at, lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r}))", label) for p, label in licenses.PHRASES.items()]
+    counts = [(f"len(regexp_extract_all(s, '{p} '))" if len(p.split()) == 1 else f"len(list_filter(spots, lambda i: (w[i:i + {len(p.split()) - 1}] = {p.split()!r})))", label) for p, label in licenses.PHRASES.items()]
     starts = " OR ".join(f"w[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p in licenses.PHRASES)
     base = ", ".join(f"CASE WHEN {c} > 0 THEN '{label}' END" for c, label in counts)
     own = ", ".join(f"CASE WHEN {' OR '.join(f"regexp_matches(s, '(^| ){licenses.template_regex(t)}')" for t in ts)} THEN '{label}' END" for label, ts in licenses.TEMPLATES.items())
     return rf"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), e AS (
-  SELECT doc_id, w, range(1, len(w) + 1) AS at, array_to_string(w, ' ') || ' ' AS s FROM d
+  SELECT doc_id, w, range(1, len(w) + 1) AS spots, array_to_string(w, ' ') || ' ' AS s FROM d
 ), f AS (
-  SELECT doc_id, len(w) AS n, list_filter(at, lambda i: {starts}) AS places, list_filter([{base}], lambda x: x IS NOT NULL) AS base, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM e
+  SELECT doc_id, len(w) AS n, list_filter(spots, lambda i: ({starts})) AS places, list_filter([{base}], lambda x: x IS NOT NULL) AS base, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM e
 )
 SELECT doc_id, n::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(list_distinct(base)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, own))), ','), '') AS labels,
