@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 class CrossSection:
     def __init__(self, time: str = "day"):
-        self.time, self.over = time, Window.partitionBy(time)
+        self.time = time
+
+    @property
+    def over(self):
+        return Window.partitionBy(self.time)
 
     def average_rank(self, x: Column, descending: bool = False) -> Column:
         """Rank with ties at their mean; NULL stays NULL."""

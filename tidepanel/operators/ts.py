@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 
 class Series:
-    """Windows of one panel: the same specification objects serve all columns, so Spark sorts once."""
+    """Columns over one panel; all share one window specification, so Spark sorts once."""
 
     def __init__(self, entity: str = "entity_id", time: str = "day"):
-        self.by = Window.partitionBy(entity).orderBy(time)
+        self.entity, self.time = entity, time
+
+    @property
+    def by(self):
+        return Window.partitionBy(self.entity).orderBy(self.time)
 
     def frame(self, n: int):
         return self.by.rowsBetween(-(n - 1), 0)

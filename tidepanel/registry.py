@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import factors, joins, market, portfolios, selection, stream, tables  # noqa: F401
+from .plans.catalog import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
