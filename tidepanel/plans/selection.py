@@ -1 +1,177 @@
-"""Queries."""
+"""Universe filters, performance rankings, top-k and selection algebra."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import expr as ex
+from ..operators.cs import CrossSection
+from ..operators.ts import Series
+from ..sources.adapters import BARS, ENTITIES, bars, entities
+from .catalog import query, r6
+
+C, X, S = F.col, CrossSection(), Series()
+BUCKETS = [-1, -0.5, -0.2, 0, 0.2, 0.5, 1, 1000]
+
+
+def universe(kdata: DataFrame, info: DataFrame, min_price: float = 1.0, listing_days: int = 60, by_name: str = "last") -> DataFrame:
+    """F-1 to F-6: ``in_universe`` for each bar. Only bars are judged: a missing bar is no row. ``by_name`` 'last' uses the latest name for all history."""
+    j = kdata.join(F.broadcast(info), "entity_id", "left")
+    st = F.coalesce(F.upper("name").contains("ST"), F.lit(False)) if by_name == "last" else F.lit(False)
+    new = F.coalesce(C("list_date") > F.date_sub("day", int(1.5 * listing_days)), F.lit(False))
+    gone = F.coalesce(C("delist_date") <= C("day"), F.lit(False))
+    return j.withColumn("in_universe", (C("volume") != 0) & (C("close") >= min_price) & ~st & ~new & ~gone)
+
+
+UNI = f"""{BARS}, {ENTITIES}, info AS (SELECT entity_id, CASE WHEN split_part(entity_id, '_', 2)::INTEGER % 25 = 0 THEN 'ST ' || name ELSE name END AS name, list_date, CASE WHEN split_part(entity_id, '_', 2)::INTEGER % 10 = 0 THEN DATE '2000-01-01' END AS delist_date FROM entities),
+u AS (SELECT bars.*, volume <> 0 AND close >= 1000 AND NOT contains(upper(name), 'ST') AND NOT coalesce(list_date > day - 90, false) AND NOT coalesce(delist_date <= day, false) AS in_universe FROM bars LEFT JOIN info USING (entity_id))"""
+
+
+def _universe(spark, sf_dir):
+    k = C("entity_id").substr(6, 10).cast("int")
+    info = entities(spark, sf_dir).select("entity_id", F.when(k % 25 == 0, F.concat(F.lit("ST "), C("name"))).otherwise(C("name")).alias("name"), "list_date", F.when(k % 10 == 0, F.lit("2000-01-01").cast("date")).alias("delist_date"))
+    return universe(bars(spark, sf_dir), info, 1000.0)
+
+
+@query(f"WITH {UNI} SELECT day, count(*)::BIGINT AS n_bars, count_if(in_universe)::BIGINT AS n_in FROM u GROUP BY day")
+def universe_counts(spark, sf_dir):
+    """F-1 to F-6."""
+    return _universe(spark, sf_dir).groupBy("day").agg(F.count("*").alias("n_bars"), F.count_if("in_universe").alias("n_in"))
+
+
+@query(f"WITH {UNI} SELECT entity_id, day, round(CASE WHEN in_universe THEN close END, 6) AS value FROM u")
+def universe_applied(spark, sf_dir):
+    """F-7."""
+    return _universe(spark, sf_dir).select("entity_id", "day", r6(F.when(F.coalesce("in_universe", F.lit(True)), C("close"))).alias("value"))
+
+
+@query(f"WITH {ENTITIES} SELECT entity_id, exchange FROM entities WHERE name NOT LIKE '%99%' AND list_date <= DATE '1995-02-01' AND cap BETWEEN 0 AND 8000")
+def entity_filters(spark, sf_dir):
+    """F-8, F-9: names, listing age, capitalisation band (bounds inclusive)."""
+    return entities(spark, sf_dir).where("name not like '%99%' and list_date <= '1995-02-01' and cap between 0 and 8000").select("entity_id", "exchange")
+
+
+@query(f"""WITH {BARS}, c AS (SELECT entity_id, day, close / nullif(lag(close) OVER (PARTITION BY entity_id ORDER BY day), 0) - 1 AS ch, lpad(split_part(entity_id, '_', 2), 3, '0') AS code FROM bars)
+SELECT entity_id, day, CASE WHEN ch > 0.09 THEN 1 WHEN ch < -0.09 THEN -1 ELSE 0 END AS hit FROM c WHERE code NOT IN ('083', '087', '088')""")
+def limit_rule(spark, sf_dir):
+    """F-10, F-11."""
+    c = bars(spark, sf_dir).select("entity_id", "day", S.pct_change(C("close")).alias("ch"), F.lpad(ex.entity_part(C("entity_id"), 2), 3, "0").alias("code"))
+    return c.where(~C("code").isin("083", "087", "088")).select("entity_id", "day", ex.limit_hit(F.concat(F.lit("0"), C("code")), C("ch")).alias("hit"))
+
+
+def performance(df: DataFrame, keys: list[str], value: str = "close", time: str = "day") -> DataFrame:
+    """A-4: (last − first) / |first| of each group, 0 where the first is 0."""
+    first, last = F.min_by(value, time), F.max_by(value, time)
+    return df.groupBy(*keys).agg(F.coalesce(F.try_divide(last - first, F.abs(first)), F.lit(0.0)).alias("score"))
+
+
+PERF = "perf AS (SELECT date_trunc('month', day)::DATE AS month, entity_id, coalesce((arg_max(close, day) - arg_min(close, day)) / nullif(abs(arg_min(close, day)), 0), 0) AS score FROM bars GROUP BY ALL)"
+
+
+def _monthly(spark, sf_dir):
+    return performance(bars(spark, sf_dir).withColumn("month", F.trunc("day", "month")), ["month", "entity_id"])
+
+
+@query(f"""WITH {BARS}, {PERF}, k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(score, 9) DESC, entity_id) AS k, count(*) OVER (PARTITION BY month) AS n FROM perf)
+SELECT month, entity_id, round(score, 6) AS score, k::INTEGER AS rank FROM k WHERE k <= floor(n * 0.1)""")
+def top_performance_by_month(spark, sf_dir):
+    """A-4, A-5, A-6, K-4: the best tenth of each month."""
+    w = Window.partitionBy("month")
+    k = _monthly(spark, sf_dir).withColumns({"k": F.row_number().over(w.orderBy(F.desc(F.round("score", 9)), "entity_id")), "n": F.count("*").over(w)})
+    return k.where(C("k") <= F.floor(C("n") * 0.1)).select("month", "entity_id", r6(C("score")).alias("score"), C("k").alias("rank"))
+
+
+@query(f"""WITH {BARS}, {PERF}, b AS (SELECT month, CASE WHEN score < -0.5 THEN 0 WHEN score < -0.2 THEN 1 WHEN score < 0 THEN 2 WHEN score < 0.2 THEN 3 WHEN score < 0.5 THEN 4 WHEN score < 1 THEN 5 ELSE 6 END AS bucket FROM perf WHERE score >= -1 AND score < 1000)
+SELECT month, bucket, count(*)::BIGINT AS n FROM b GROUP BY ALL""")
+def performance_histogram(spark, sf_dir):
+    """A-8."""
+    return _monthly(spark, sf_dir).withColumn("bucket", ex.bucket(C("score"), BUCKETS)).where("bucket is not null").groupBy("month", "bucket").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {BARS}, last AS (SELECT max(day) AS d FROM bars), p AS (SELECT n, d - n AS since FROM last, (SELECT unnest([30, 90, 365]) AS n)),
+s AS (SELECT n, entity_id, coalesce((arg_max(close, day) - arg_min(close, day)) / nullif(abs(arg_min(close, day)), 0), 0) AS score FROM bars JOIN p ON day >= since GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY round(score, 9) DESC, entity_id) AS k FROM s)
+SELECT entity_id, min(n)::INTEGER AS period, count(*)::BIGINT AS lists FROM k WHERE k <= 10 GROUP BY entity_id""")
+def top_by_trailing_periods(spark, sf_dir):
+    """A-7, S-6, S-7: top lists of several trailing periods, united."""
+    b = bars(spark, sf_dir)
+    periods = b.agg(F.max("day").alias("d")).select(F.explode(F.array(*map(F.lit, (30, 90, 365)))).alias("n"), "d").select("n", F.date_sub("d", C("n")).alias("since"))
+    s = performance(b.join(F.broadcast(periods), C("day") >= C("since")), ["n", "entity_id"])
+    k = s.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy(F.desc(F.round("score", 9)), "entity_id"))).where("k <= 10")
+    return k.groupBy("entity_id").agg(F.min("n").alias("period"), F.count("*").alias("lists"))
+
+
+@query(f"""WITH {BARS}, c AS (SELECT day, close / nullif(lag(close) OVER (PARTITION BY entity_id ORDER BY day), 0) - 1 AS ch FROM bars)
+SELECT day, round(count_if(ch > 0) / nullif(count_if(ch <= 0), 0), 6) AS ratio FROM c GROUP BY day""")
+def change_ratio(spark, sf_dir):
+    """A-9."""
+    c = bars(spark, sf_dir).select("day", S.pct_change(C("close")).alias("ch"))
+    return c.groupBy("day").agg(r6(F.try_divide(F.count_if(C("ch") > 0), F.count_if(C("ch") <= 0))).alias("ratio"))
+
+
+@query(f"""WITH {BARS}, r AS (SELECT *, rank() OVER (PARTITION BY day ORDER BY close DESC) + (count(*) OVER (PARTITION BY day, close) - 1) / 2.0 AS ar, count(*) OVER (PARTITION BY day) AS n FROM bars), q AS (SELECT day, quantile_cont(close, 0.8) AS e FROM bars GROUP BY day)
+SELECT entity_id, r.day, (ar <= least(10, n))::INTEGER AS top_10, close > e AS above FROM r JOIN q USING (day)""")
+def top_n_by_factor(spark, sf_dir):
+    """K-1, K-2: average-tie rank at most N; a predicate on the day's quantile."""
+    rank = X.average_rank(C("close"), descending=True)
+    n = F.least(F.lit(10), F.count("*").over(Window.partitionBy("day")))
+    return bars(spark, sf_dir).select("entity_id", "day", F.coalesce((rank <= n).cast("int"), F.lit(0)).alias("top_10"), (C("close") > F.percentile("close", F.lit(0.8)).over(Window.partitionBy("day"))).alias("above"))
+
+
+@query(f"""WITH {BARS}, l AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY day DESC) AS k FROM bars) SELECT entity_id, day, round(turnover, 4) AS turnover FROM l WHERE k = 1 ORDER BY turnover DESC, entity_id LIMIT 20 OFFSET 5""")
+def latest_page(spark, sf_dir):
+    """K-3, K-5, K-7, K-9, SNK-8: latest rows, ordered, one page (a report)."""
+    w = Window.partitionBy("entity_id").orderBy(F.desc("day"))
+    latest = bars(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k = 1")
+    return latest.orderBy(F.desc("turnover"), "entity_id").offset(5).limit(20).select("entity_id", "day", F.round("turnover", 4).alias("turnover"))
+
+
+SEL = """f AS (SELECT entity_id, day, CASE WHEN volume > 30 THEN true WHEN volume < 10 THEN false END AS a, CASE WHEN close > 1500 THEN true WHEN close < 1000 THEN false END AS b,
+ (rank() OVER (PARTITION BY day ORDER BY close) + (count(*) OVER (PARTITION BY day, close) - 1) / 2.0) / count(*) OVER (PARTITION BY day) AS sc FROM bars)"""
+
+
+def combine(filters: list[DataFrame], mode: str = "and") -> DataFrame:
+    """S-1: three-valued results of several factors by key; for 'and' a key missing in one factor is false, NULL keeps."""
+    rows = filters[0]
+    for f in filters[1:]:
+        rows = rows.unionByName(f)
+    both = F.every("result") if mode == "and" else F.some("result")
+    result = F.when(F.count("*") < len(filters), F.lit(False)).otherwise(both) if mode == "and" else both
+    return rows.groupBy("entity_id", "day").agg(result.alias("result"))
+
+
+@query(f"""WITH {BARS}, {SEL} SELECT entity_id, day, CASE WHEN NOT a OR NOT b THEN false WHEN a OR b THEN true END AS both_, CASE WHEN a OR b THEN true WHEN NOT a OR NOT b THEN false END AS any_,
+CASE WHEN sc >= 0.8 THEN 'long' WHEN sc <= 0.2 THEN 'short' ELSE 'keep' END AS target FROM f""")
+def target_selector(spark, sf_dir):
+    """S-1, S-2, S-3, W-38: filters joined by and/or, scores to long, short or keep."""
+    b = bars(spark, sf_dir)
+    one = b.select("entity_id", "day", F.when(C("volume") > 30, True).when(C("volume") < 10, False).alias("result"))
+    two = b.select("entity_id", "day", F.when(C("close") > 1500, True).when(C("close") < 1000, False).alias("result"))
+    out = combine([one, two]).withColumnRenamed("result", "both_").join(combine([one, two], "or").withColumnRenamed("result", "any_"), ["entity_id", "day"])
+    score = b.select("entity_id", "day", X.rank(C("close")).alias("sc"))
+    return out.join(score, ["entity_id", "day"]).select("entity_id", "day", "both_", "any_", F.when(C("sc") >= 0.8, "long").when(C("sc") <= 0.2, "short").otherwise("keep").alias("target"))
+
+
+@query(f"""WITH {BARS}, m AS (SELECT date_trunc('month', day)::DATE AS month, entity_id, 1 AS level, avg(close) > 1500 AS ok FROM bars GROUP BY ALL UNION ALL SELECT date_trunc('month', day)::DATE, entity_id, 2, sum(volume) > 100 FROM bars GROUP BY ALL)
+SELECT month, entity_id, count(DISTINCT level) FILTER (WHERE ok) = 2 AS long, bool_or(NOT ok) AS short FROM m GROUP BY ALL""")
+def multi_level_selection(spark, sf_dir):
+    """S-4, S-5: long where every level says so, short where any does not."""
+    b = bars(spark, sf_dir).withColumn("month", F.trunc("day", "month"))
+    one = b.groupBy("month", "entity_id").agg((F.avg("close") > 1500).alias("ok")).withColumn("level", F.lit(1))
+    two = b.groupBy("month", "entity_id").agg((F.sum("volume") > 100).alias("ok")).withColumn("level", F.lit(2))
+    return one.unionByName(two).groupBy("month", "entity_id").agg((F.count_distinct(F.when(C("ok"), C("level"))) == 2).alias("long"), F.some(~C("ok")).alias("short"))
+
+
+@query(f"WITH {BARS}, {ENTITIES} SELECT exchange FROM entities WHERE cap > 5000 EXCEPT SELECT exchange FROM entities WHERE cap < 0")
+def catalogue_difference(spark, sf_dir):
+    """S-8, S-9."""
+    e = entities(spark, sf_dir)
+    return e.where("cap > 5000").select("exchange").subtract(e.where("cap < 0").select("exchange"))
+
+
+@query(f"WITH {BARS} SELECT entity_id, day, n::INTEGER AS n, round(CASE n WHEN 5 THEN a5 WHEN 10 THEN a10 ELSE a20 END, 6) AS value FROM (SELECT entity_id, day, " + ", ".join(f"CASE WHEN count(close) OVER (PARTITION BY entity_id ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg(close) OVER (PARTITION BY entity_id ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS a{n}" for n in (5, 10, 20)) + " FROM bars), (SELECT unnest([5, 10, 20]) AS n) WHERE day >= DATE '2001-01-01'")
+def parameter_grid(spark, sf_dir):
+    """S-10, SC-14: one factor over a grid of parameters, all in one pass."""
+    b = bars(spark, sf_dir).select("entity_id", "day", *(S.mean(C("close"), n).alias(f"a{n}") for n in (5, 10, 20))).where("day >= '2001-01-01'")
+    return b.select("entity_id", "day", F.expr("stack(3, 5, a5, 10, a10, 20, a20) as (n, value)")).select("entity_id", "day", "n", r6(C("value")).alias("value"))
