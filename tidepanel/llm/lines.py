@@ -36,10 +36,6 @@ _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _whole(h: np.ndarray, base: int) -> int:
-    return int(windows(h, len(h), base)[0])
-
-
 def left_out(h: np.ndarray, base: int) -> np.ndarray:
     """Hashes of the runs that leave out word 0, 1, ...; equal to the hash of the shorter run itself."""
     powers, _ = _tables(base, len(h) + 1)
@@ -49,15 +45,6 @@ def left_out(h: np.ndarray, base: int) -> np.ndarray:
         return mix(low[:-1] + np.concatenate((high, np.zeros(1, np.uint64))))
 
 
-def halves(h: np.ndarray) -> list[int]:
-    """Keys of which two lines one word edit apart share at least one."""
-    n, out = len(h), set()
-    for k in {n // 2, (n - 1) // 2}:
-        if k:
-            out |= {_whole(h[:k], _BASES[0]) ^ k, _whole(h[n - k :], _BASES[1]) ^ (k + (1 << 40))}
-    return sorted(out)
-
-
 def one_edit(x: np.ndarray, y: np.ndarray) -> bool:
     """True if y is x with one entry inserted, deleted or replaced, or is equal to it."""
     if abs(len(x) - len(y)) > 1:
@@ -70,13 +57,12 @@ def one_edit(x: np.ndarray, y: np.ndarray) -> bool:
     return bool((x[i + 1 :] == y[i:]).all() if len(x) > len(y) else (x[i:] == y[i + 1 :]).all())
 
 
-def line_words(text: bytes | None) -> list[tuple[int, np.ndarray]]:
-    """(line number, word hashes) of the lines that have words."""
-    if not text:
-        return []
-    lines = text.split(b"\n")
-    words = Words(lines)
-    return [(i, words.h[words.first[i] : words.first[i + 1]]) for i in range(len(lines)) if words.first[i] < words.first[i + 1]]
+def _segments(h: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of the runs h[a:b], equal to those of the runs by themselves."""
+    powers, inverse = _tables(base, len(h) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)], dtype=np.uint64)))
+        return mix((sums[b] - sums[a]) * inverse[a])
 
 
 def _line_rows(min_words: int):
@@ -84,24 +70,35 @@ def _line_rows(min_words: int):
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))
+            ids, texts = batch.column("doc_id"), text_bytes(batch.column("text"))
             for lo, hi in packs(texts):
                 lines = [(t or b"").split(b"\n") for t in texts[lo:hi]]
+                count = np.array([len(t) for t in lines])
                 words = Words([x for t in lines for x in t])
-                at, out = 0, []
-                for k, t in enumerate(lines):
-                    own: dict[tuple, list] = {}
-                    for i in range(len(t)):
-                        h = words.h[words.first[at + i] : words.first[at + i + 1]]
-                        if len(h):
-                            own.setdefault((_whole(h, _BASES[0]), _whole(h, _BASES[1]) >> 33, len(h)), [[], h])[0].append(i)
-                    at += len(t)
-                    for (k1, k2, n), (numbers, h) in own.items():
-                        keys = [v - (1 << 64) if v >= 1 << 63 else v for v in halves(h)] if n >= min_words else []
-                        out.append((ids[lo + k], k1 - (1 << 64) if k1 >= 1 << 63 else k1, k2, n, numbers, keys))
-                if out:
-                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "k1", "k2", "n", "numbers", "halves"])
+                doc = np.repeat(np.arange(lo, hi), count)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                a, b = words.first[:-1], words.first[1:]
+                full = np.flatnonzero(b > a)
+                if not len(full):
+                    continue
+                a, b, doc, number = a[full], b[full], doc[full], number[full]
+                n = b - a
+                k1 = _segments(words.h, a, b, _BASES[0])
+                k2 = _segments(words.h, a, b, _BASES[1]) >> np.uint64(33)
+                order = np.lexsort((number, n, k2, k1, doc))
+                a, b, doc, number, n, k1, k2 = (x[order] for x in (a, b, doc, number, n, k1, k2))
+                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (n[1:] != n[:-1])))
+                at = np.flatnonzero(new)
+                a, b, m = a[at], b[at], n[at]
+                keys, has = np.zeros((len(at), 4), np.uint64), np.zeros((len(at), 4), bool)
+                for c, k in enumerate((m // 2, (m - 1) // 2)):
+                    keys[:, 2 * c] = _segments(words.h, a, a + k, _BASES[0]) ^ k.astype(np.uint64)
+                    keys[:, 2 * c + 1] = _segments(words.h, b - k, b, _BASES[1]) ^ (k + (1 << 40)).astype(np.uint64)
+                    has[:, 2 * c] = has[:, 2 * c + 1] = (m >= min_words) & (k > 0) & ((m % 2 == 0) | (c == 0))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(number.astype(np.int32)))
+                half = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has.sum(axis=1)))).astype(np.int32)), pa.array(keys[has].view(np.int64)))
+                columns = [ids.take(pa.array(doc[at])), pa.array(k1[at].view(np.int64)), pa.array(k2[at].astype(np.int32)), pa.array(m.astype(np.int32)), lists, half]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n", "numbers", "halves"])
 
     return run
 

@@ -9,9 +9,10 @@ agree in a component with the probability Jaccard of the documents.
 1. Documents of equal multisets form a class; only its smallest id goes on.
 2. Bands of the sketch make buckets; each member is compared with the bucket's
    smallest member by the exact probability Jaccard.
-3. Where a bucket's members are not yet one component, the remaining pairs
-   across components are compared too, but for those that the triangle
-   inequality rules out (1 - J_P is a metric, and both distances to the smallest
+3. Where a bucket's members are not yet one component, its smallest member not
+   yet compared with all others is compared with those of other components; after
+   ``rounds`` such turns the remaining pairs across components are compared too,
+   but for those that the triangle inequality rules out (1 - J_P is a metric, and both distances to the smallest
    member are known). So every linked pair that shares a bucket is joined, and
    no bucket lists all its pairs or is gathered in one task.
 4. Components of the links are the near-duplicate classes.
@@ -133,7 +134,7 @@ def _compared(batches):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 4
 ) -> DataFrame:
     """doc_id and class_id (the smallest id of its near-duplicate class), one row a document.
 
@@ -151,28 +152,39 @@ def near_duplicates(
     pivots = in_band.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("band", "key", "pivot")
     buckets = keep(in_band.join(pivots, ["band", "key"]).select("band", "key", "doc_id", "pivot"), "buckets")
 
+    open_ids = buckets.select("doc_id").distinct()
+    sets = keep(plain.join(open_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(shingle), "doc_id long, elems binary, counts binary"), "sets")
+    left, right = (sets.select(F.col("doc_id").alias(x), F.col("elems").alias(f"e{x}"), F.col("counts").alias(f"c{x}")) for x in "ab")
+
     def compare(pairs: DataFrame) -> DataFrame:
-        """sim of the pairs (a, b), from the texts of the documents in them alone."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = plain.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(shingle), "doc_id long, elems binary, counts binary")
-        sets = keep(sets, "sets")
-        left, right = (sets.select(F.col("doc_id").alias(x), F.col("elems").alias(f"e{x}"), F.col("counts").alias(f"c{x}")) for x in "ab")
         return keep(pairs.join(left, "a").join(right, "b").mapInArrow(_compared, "a long, b long, sim double"), "compared")
 
     first = compare(buckets.where("doc_id > pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
     links = first.where(F.col("sim") >= threshold).select("a", "b")
     labels = min_labels(links, "near")
-
-    known = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    known = known.join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "sim"), ["doc_id", "pivot"], "left")
-    known = keep(known.select("band", "key", "doc_id", "pivot", "label", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(1 - F.col("sim")).alias("far")), "known")
-    mixed = known.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
+    known = buckets.join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "sim"), ["doc_id", "pivot"], "left")
+    known = known.select("band", "key", "doc_id", (F.col("doc_id") == F.col("pivot")).alias("done"), F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("far"))
+    for turn in range(rounds + 1):
+        known = known.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        next_ = F.min(F.when(~F.col("done"), F.struct(F.col("doc_id").alias("doc"), "label")))
+        mixed = known.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), next_.alias("next")).where("lo < hi and next is not null")
+        known = keep(known.join(mixed.select("band", "key", "next"), ["band", "key"]), "known")
+        if turn == rounds:
+            break
+        pairs = known.where("label <> next.label and not done").select(F.greatest("doc_id", "next.doc").alias("a"), F.least("doc_id", "next.doc").alias("b")).distinct()
+        if pairs.isEmpty():
+            break
+        more = compare(pairs).where(F.col("sim") >= threshold).select("a", "b")
+        if not more.isEmpty():
+            links = keep(links.union(more), "links")
+            labels = min_labels(links, "near")
+        known = known.select("band", "key", "doc_id", (F.col("done") | (F.col("doc_id") == F.col("next.doc"))).alias("done"), "far")
     reach = 1 - threshold + 1e-9
-    open_ = known.join(mixed, ["band", "key"], "left_semi").where("doc_id > pivot").withColumn("slot", F.floor(F.col("far") / reach))
+    open_ = known.where("not done").withColumn("slot", F.floor(F.col("far") / reach))
     x = open_.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"), F.explode(F.sequence(F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
     y = open_.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"), "slot")
-    rest = x.join(y, ["band", "key", "slot"]).where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach)).select("a", "b").distinct()
-    rest = keep(rest, "rest")
+    near = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach)
+    rest = keep(x.join(y, ["band", "key", "slot"]).where(near).select("a", "b").distinct(), "rest")
     if not rest.isEmpty():
         more = compare(rest).where(F.col("sim") >= threshold).select("a", "b")
         if not more.isEmpty():
