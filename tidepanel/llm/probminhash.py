@@ -130,11 +130,12 @@ def _compared(batches):
 
     for batch in batches:
         sim = [probability_jaccard(*parts(a, b), *parts(c, d)) for a, b, c, d in zip(*(batch.column(x).to_pylist() for x in ("ea", "ca", "eb", "cb")), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], ["a", "b", "sim"])
+        names = ["a", "b", "la", "lb"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sim, pa.float64())], [*names, "sim"])
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 2
 ) -> DataFrame:
     """doc_id and class_id (the smallest id of its near-duplicate class), one row a document.
 
@@ -157,40 +158,50 @@ def near_duplicates(
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("elems").alias(f"e{x}"), F.col("counts").alias(f"c{x}")) for x in "ab")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        return keep(pairs.join(left, "a").join(right, "b").mapInArrow(_compared, "a long, b long, sim double"), "compared")
+        """sim of the pairs (a, b); la and lb, their labels, go along."""
+        return keep(pairs.join(left, "a").join(right, "b").mapInArrow(_compared, "a long, b long, la long, lb long, sim double"), "compared")
 
-    first = compare(buckets.where("doc_id > pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = first.where(F.col("sim") >= threshold).select("a", "b")
-    labels = min_labels(links, "near")
-    known = buckets.join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "sim"), ["doc_id", "pivot"], "left")
-    known = known.select("band", "key", "doc_id", (F.col("doc_id") == F.col("pivot")).alias("done"), F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("far"))
+    pairs = buckets.where("doc_id > pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = compare(pairs.withColumns({"la": F.col("a"), "lb": F.col("b")}))
+    labels = min_labels(first.where(F.col("sim") >= threshold).select("a", "b"), "near")
+    merges: list[DataFrame] = []  # later links, between labels alone
+
+    def merged(rows: DataFrame, label: str, up: DataFrame) -> DataFrame:
+        up = up.select(F.col("node").alias(label), F.col("label").alias("_up"))
+        return rows.join(up, label, "left").withColumn(label, F.coalesce("_up", label)).drop("_up")
+
+    known = buckets.join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "sim"), ["doc_id", "pivot"], "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    known = known.select("band", "key", "doc_id", F.coalesce("label", "doc_id").alias("label"), (F.col("doc_id") == F.col("pivot")).alias("done"), F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("far"))
     for turn in range(rounds + 1):
-        known = known.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         next_ = F.min(F.when(~F.col("done"), F.struct(F.col("doc_id").alias("doc"), "label")))
+        known = keep(known, "known")
         mixed = known.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), next_.alias("next")).where("lo < hi and next is not null")
-        known = keep(known.join(mixed.select("band", "key", "next"), ["band", "key"]), "known")
+        known = known.join(mixed.select("band", "key", "next"), ["band", "key"])
         if turn == rounds:
             break
-        pairs = known.where("label <> next.label and not done").select(F.greatest("doc_id", "next.doc").alias("a"), F.least("doc_id", "next.doc").alias("b")).distinct()
-        if pairs.isEmpty():
-            break
-        more = compare(pairs).where(F.col("sim") >= threshold).select("a", "b")
+        known = keep(known, "known")
+        pairs = known.where("label <> next.label and not done")
+        pairs = pairs.select(F.col("doc_id").alias("a"), F.col("next.doc").alias("b"), F.col("label").alias("la"), F.col("next.label").alias("lb")).distinct()
+        more = compare(pairs).where(F.col("sim") >= threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        known = known.select("band", "key", "doc_id", "label", (F.col("done") | (F.col("doc_id") == F.col("next.doc"))).alias("done"), "far")
         if not more.isEmpty():
-            links = keep(links.union(more), "links")
-            labels = min_labels(links, "near")
-        known = known.select("band", "key", "doc_id", (F.col("done") | (F.col("doc_id") == F.col("next.doc"))).alias("done"), "far")
+            merges.append(min_labels(more, "near"))
+            known = merged(known, "label", merges[-1])
     reach = 1 - threshold + 1e-9
     open_ = known.where("not done").withColumn("slot", F.floor(F.col("far") / reach))
     x = open_.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"), F.explode(F.sequence(F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
     y = open_.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"), "slot")
     near = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach)
-    rest = keep(x.join(y, ["band", "key", "slot"]).where(near).select("a", "b").distinct(), "rest")
+    rest = keep(x.join(y, ["band", "key", "slot"]).where(near).select("a", "b", "la", "lb").distinct(), "rest")
     if not rest.isEmpty():
-        more = compare(rest).where(F.col("sim") >= threshold).select("a", "b")
+        more = compare(rest).where(F.col("sim") >= threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
         if not more.isEmpty():
-            labels = min_labels(links.union(more), "near")
+            merges.append(min_labels(more, "near"))
 
     classed = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+    for up in merges:
+        classed = merged(classed, "class_id", up)
+    classed = classed.select("doc_id", "class_id")
     alone = signs.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
     none = plain.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return classed.union(alone).union(none)
