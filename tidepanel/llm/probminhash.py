@@ -102,8 +102,9 @@ def _sketch_rows(size: int, bands: int, rows: int):
                     for key, v in zip(keys, (mix(elem + w * _GOLD), mix(mix(elem) ^ (w * _GOLD))), strict=True):
                         np.add.at(key, doc, v)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
-                columns = [ids.slice(lo, hi - lo), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n", "bands"])
+                small = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * m), pa.array(mix(held).astype(np.uint32).view(np.int32).ravel()))
+                columns = [ids.slice(lo, hi - lo), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n, pa.int32()), lists, small]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n", "bands", "sketch"])
 
     return run
 
@@ -135,15 +136,17 @@ def _compared(batches):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 6, rounds: int = 2
 ) -> DataFrame:
     """doc_id and class_id (the smallest id of its near-duplicate class), one row a document.
 
-    With 24 bands of 5 components a pair at the threshold of 0.8 shares no
-    bucket with probability 7e-5.
+    With 30 bands of 6 components a pair at the threshold of 0.8 shares no
+    bucket with probability 1.1e-4. A pair left for step 3's last part is compared
+    only if its sketches agree in as many components as a pair at the threshold
+    does but for five deviations (a chance of 3e-7 to miss one).
     """
     plain = id_text(docs, id_col, text_col)
-    signs = keep(plain.where("doc_id is not null").mapInArrow(_sketch_rows(shingle, bands, rows), "doc_id long, k1 long, k2 long, n int, bands array<long>"), "sketches")
+    signs = keep(plain.where("doc_id is not null").mapInArrow(_sketch_rows(shingle, bands, rows), "doc_id long, k1 long, k2 long, n int, bands array<long>, sketch array<int>"), "sketches")
     full = signs.where("n > 0")
     reps = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     member = full.select("doc_id", "k1", "k2", "n").join(reps, ["k1", "k2", "n"]).select("doc_id", "rep").distinct()
@@ -188,10 +191,14 @@ def near_duplicates(
             merges.append(min_labels(more, "near"))
             known = merged(known, "label", merges[-1])
     reach = 1 - threshold + 1e-9
-    open_ = known.where("not done").withColumn("slot", F.floor(F.col("far") / reach))
-    x = open_.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"), F.explode(F.sequence(F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
-    y = open_.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"), "slot")
+    m = bands * rows
+    agree = int(m * threshold - 5 * (m * threshold * (1 - threshold)) ** 0.5)
+    held = signs.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    open_ = known.where("not done").join(held, "doc_id").withColumn("slot", F.floor(F.col("far") / reach))
+    x = open_.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"), F.col("sketch").alias("sa"), F.explode(F.sequence(F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
+    y = open_.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"), F.col("sketch").alias("sb"), "slot")
     near = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach)
+    near = near & (F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda t: t)) >= agree)
     rest = keep(x.join(y, ["band", "key", "slot"]).where(near).select("a", "b", "la", "lb").distinct(), "rest")
     if not rest.isEmpty():
         more = compare(rest).where(F.col("sim") >= threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
