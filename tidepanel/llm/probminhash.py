@@ -12,7 +12,7 @@ agree in a component with the probability Jaccard of the documents.
 3. Where a bucket's members are not yet one component, its smallest member not
    yet compared with all others is compared with those of other components; after
    ``rounds`` such turns the remaining pairs across components are compared too,
-   but for those that the triangle inequality rules out (1 - J_P is a metric, and both distances to the smallest
+   but for those that their sketches or the triangle inequality rule out (1 - J_P is a metric, and both distances to the smallest
    member are known). So every linked pair that shares a bucket is joined, and
    no bucket lists all its pairs or is gathered in one task.
 4. Components of the links are the near-duplicate classes.
