@@ -85,12 +85,12 @@ def source_cross_check(spark, sf_dir):
     return b.join(a, ["entity_id", "day"]).select("entity_id", "day", r6(C("close")).alias("close"), "other", (F.abs(C("other") - C("close")) / C("close") > 0.0019).alias("flagged"))
 
 
-@query(f"""WITH {BARS}, {ENTITIES}, f AS (SELECT area, day, volume, 1 + (entity_id = 'supp_1')::INTEGER * 0.1 AS factor, close FROM bars JOIN entities USING (entity_id)) SELECT area, day, round(sum(close * factor), 4) AS close, round(sum(volume / factor), 6) AS volume, count(*)::BIGINT AS n FROM f GROUP BY ALL""")
+@query(f"""WITH {BARS}, {ENTITIES}, f AS (SELECT area, day, volume, 1 + (entity_id = 'supp_1')::INTEGER * 0.1 AS factor, close FROM bars JOIN entities USING (entity_id)) SELECT area, day, round(sum(close * factor), 6) AS close, round(sum(volume / factor), 6) AS volume, count(*)::BIGINT AS n FROM f GROUP BY ALL""")
 def adjusted_price_view(spark, sf_dir):
     """P-1, P-2, P-6, J-2, J-4, J-15: prices times a joined factor, volume over it, summed by area."""
     f = bars(spark, sf_dir).join(F.broadcast(entities(spark, sf_dir).select("entity_id", "area")), "entity_id").withColumn("factor", F.when(C("entity_id") == "supp_1", 1.1).otherwise(1.0))
     volume = F.when(C("factor") > 0, C("volume") / C("factor")).otherwise(C("volume"))
-    return f.groupBy("area", "day").agg(F.round(F.sum(C("close") * C("factor")), 4).alias("close"), r6(F.sum(volume)).alias("volume"), F.count("*").alias("n"))
+    return f.groupBy("area", "day").agg(r6(F.sum(C("close") * C("factor"))).alias("close"), r6(F.sum(volume)).alias("volume"), F.count("*").alias("n"))
 
 
 @query("""WITH h AS (SELECT o_custkey AS holder, l_partkey AS member, last_day((date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::DATE) AS report, sum(l_extendedprice) AS cap FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
