@@ -44,25 +44,45 @@ def shingles(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(elem: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int, m: int) -> np.ndarray:
-    """Shingle hash held by each of the m components, a row a document; ``doc`` numbers the documents of the elements."""
+    """Shingle hash held by each of the m components, a row a document; ``doc`` numbers the documents of the elements.
+
+    A turn draws a block of arrivals of each live process, in proportion to its
+    share of the document, so that one heavy shingle doesn't take a turn for each
+    of its arrivals.
+    """
     time, held = np.full(docs * m, np.inf), np.zeros(docs * m, np.uint64)
-    at, latest, turn = np.zeros(len(elem)), np.full(docs, np.inf), 0
+    at, drawn = np.zeros(len(elem)), np.zeros(len(elem), np.int64)
+    share = weight / np.bincount(doc, weight, docs)[doc]
+    block = np.maximum(1, (share * m * (np.log(m) + 2) / 2).astype(np.int64))
     while len(elem):
-        turn += 1
+        first = np.cumsum(block) - block
+        of = np.repeat(np.arange(len(elem)), block)
+        turn = (np.arange(len(of)) - first[of] + drawn[of] + 1).astype(np.uint64)
         with np.errstate(over="ignore"):
-            draw = mix(elem + np.uint64(turn) * _GOLD)
+            draw = mix(elem[of] + turn * _GOLD)
             part = (mix(draw) % np.uint64(m)).astype(np.int64)
-        at = at - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / weight
-        live = at < latest[doc]
-        elem, weight, doc, at = elem[live], weight[live], doc[live], at[live]
-        place = doc * m + part[live]
-        np.minimum.at(time, place, at)
-        won = time[place] == at
-        held[place[won]] = elem[won]
+        gap = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / weight[of]
+        when = np.cumsum(gap)
+        when += (at - when[first] + gap[first])[of]
+        place = doc[of] * m + part
+        np.minimum.at(time, place, when)
+        won = time[place] == when
+        held[place[won]] = elem[of[won]]
         latest = time.reshape(docs, m).max(axis=1)
+        at, drawn = when[first + block - 1], drawn + block
+        live = at < latest[doc]
+        elem, weight, doc, at, drawn, block = (x[live] for x in (elem, weight, doc, at, drawn, block))
     return held.reshape(docs, m)
 
 
+def sketch_bits(held: np.ndarray) -> np.ndarray:
+    """One bit for each component, 64 to a whole number; unequal components agree in it half the time."""
+    docs, m = held.shape
+    with np.errstate(over="ignore"):
+        bits = (mix(held + np.arange(1, m + 1, dtype=np.uint64) * _GOLD) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64).reshape(docs, m // 64)
+
+
 def probability_jaccard(xe: np.ndarray, xw: np.ndarray, ye: np.ndarray, yw: np.ndarray) -> float:
     """Exact J_P of two sparse weighted sets, elements in order."""
     if not len(xe) or not len(ye):
@@ -102,9 +122,8 @@ def _sketch_rows(size: int, bands: int, rows: int):
                     for key, v in zip(keys, (mix(elem + w * _GOLD), mix(mix(elem) ^ (w * _GOLD))), strict=True):
                         np.add.at(key, doc, v)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
-                small = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * m), pa.array(mix(held).astype(np.uint32).view(np.int32).ravel()))
-                columns = [ids.slice(lo, hi - lo), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n, pa.int32()), lists, small]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n", "bands", "sketch"])
+                columns = [ids.slice(lo, hi - lo), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n", "bands"])
 
     return run
 
@@ -124,29 +143,48 @@ def _set_rows(size: int):
     return run
 
 
-def _compared(batches):
-    def parts(e: bytes, c: bytes):
-        e = np.frombuffer(e, np.uint64)
-        return e, np.frombuffer(c, np.int32) if c else np.ones(len(e), np.int32)
+def _parts(elems: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    e = np.frombuffer(elems, np.uint64)
+    return e, np.frombuffer(counts, np.int32) if counts else np.ones(len(e), np.int32)
 
+
+def _compared(batches):
     for batch in batches:
-        sim = [probability_jaccard(*parts(a, b), *parts(c, d)) for a, b, c, d in zip(*(batch.column(x).to_pylist() for x in ("ea", "ca", "eb", "cb")), strict=True)]
+        sim = [probability_jaccard(*_parts(a, b), *_parts(c, d)) for a, b, c, d in zip(*(batch.column(x).to_pylist() for x in ("ea", "ca", "eb", "cb")), strict=True)]
         names = ["a", "b", "la", "lb"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sim, pa.float64())], [*names, "sim"])
 
 
+def _bit_rows(m: int, together: int = 64):
+    """Long sketches, a bit for each component, of ``together`` documents at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, together):
+                some = batch.slice(lo, together)
+                sets = [_parts(e, c) for e, c in zip(some.column("elems").to_pylist(), some.column("counts").to_pylist(), strict=True)]
+                doc = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+                elem, weight = np.concatenate([e for e, _ in sets]), np.concatenate([c for _, c in sets])
+                bits = sketch_bits(sketch(elem, weight.astype(np.float64), doc, len(sets), m))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (m // 64)), pa.array(bits.ravel()))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists], ["doc_id", "bits"])
+
+    return run
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 6, rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 6, rounds: int = 2, long_sketch: int = 2048
 ) -> DataFrame:
     """doc_id and class_id (the smallest id of its near-duplicate class), one row a document.
 
     With 30 bands of 6 components a pair at the threshold of 0.8 shares no
     bucket with probability 1.1e-4. A pair left for step 3's last part is compared
-    only if its sketches agree in as many components as a pair at the threshold
-    does but for five deviations (a chance of 3e-7 to miss one).
+    only if its long sketches, one bit for each of ``long_sketch`` components, agree
+    in as many bits as a pair at the threshold does but for 4.5 deviations (a chance
+    of 4e-6 to miss one).
     """
     plain = id_text(docs, id_col, text_col)
-    signs = keep(plain.where("doc_id is not null").mapInArrow(_sketch_rows(shingle, bands, rows), "doc_id long, k1 long, k2 long, n int, bands array<long>, sketch array<int>"), "sketches")
+    signs = keep(plain.where("doc_id is not null").mapInArrow(_sketch_rows(shingle, bands, rows), "doc_id long, k1 long, k2 long, n int, bands array<long>"), "sketches")
     full = signs.where("n > 0")
     reps = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     member = full.select("doc_id", "k1", "k2", "n").join(reps, ["k1", "k2", "n"]).select("doc_id", "rep").distinct()
@@ -191,14 +229,15 @@ def near_duplicates(
             merges.append(min_labels(more, "near"))
             known = merged(known, "label", merges[-1])
     reach = 1 - threshold + 1e-9
-    m = bands * rows
-    agree = int(m * threshold - 5 * (m * threshold * (1 - threshold)) ** 0.5)
-    held = signs.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    open_ = known.where("not done").join(held, "doc_id").withColumn("slot", F.floor(F.col("far") / reach))
-    x = open_.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"), F.col("sketch").alias("sa"), F.explode(F.sequence(F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
-    y = open_.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"), F.col("sketch").alias("sb"), "slot")
+    same = (1 + threshold) / 2  # of the bits of a pair at the threshold
+    differ = int(long_sketch * (1 - same) + 4.5 * (long_sketch * same * (1 - same)) ** 0.5) + 1
+    known = known.where("not done")
+    held = sets.join(known.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_bit_rows(long_sketch), "doc_id long, bits array<long>")
+    open_ = keep(known.join(held, "doc_id").withColumn("slot", F.floor(F.col("far") / reach)), "open")
+    x = open_.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"), F.col("bits").alias("sa"), F.explode(F.sequence(F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
+    y = open_.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"), F.col("bits").alias("sb"), "slot")
     near = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach)
-    near = near & (F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda t: t)) >= agree)
+    near = near & (sum(F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(long_sketch // 64)) <= differ)
     rest = keep(x.join(y, ["band", "key", "slot"]).where(near).select("a", "b", "la", "lb").distinct(), "rest")
     if not rest.isEmpty():
         more = compare(rest).where(F.col("sim") >= threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
