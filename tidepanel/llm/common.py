@@ -78,22 +78,25 @@ def bucket_count(docs: DataFrame, bytes_each: int = 8 << 20, least: int = 8) ->
     return max(least, -(-total // bytes_each))
 
 
-def min_labels(links: DataFrame, name: str) -> DataFrame:
+def min_labels(links: DataFrame, name: str, part_rows: int = 250_000) -> DataFrame:
     """Connected components of ``links`` (a, b): one row (node, label) a node, label its smallest node.
 
     A turn takes the smallest label among a node and its neighbours; every other
     turn first takes the label of the label, so that long chains end early. All
     are aggregations and joins, so no component is gathered in one task. It ends
-    when a turn leaves the sum of the labels as it was.
+    when a turn leaves the sum of the labels as it was. The tables of a turn are
+    written in parts of about ``part_rows`` links, as a turn of few links is
+    mostly the cost of its tasks.
     """
     ends = [F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in "ab" for y in "ab"]
     both = keep(links.select(F.explode(F.array(*ends)).alias("e")).select("e.x", "e.y"), f"{name}-links")
-    labels = keep(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")), f"{name}-labels")
+    parts = 4 + both.count() // part_rows
+    labels = keep(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")).coalesce(parts), f"{name}-labels")
     total, turn = None, 0
     while True:
         if turn % 2:
-            labels = keep(labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", F.col("far").alias("label")), f"{name}-labels")
-        labels = keep(both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("label")), f"{name}-labels")
+            labels = labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", F.col("far").alias("label"))
+        labels = keep(both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("label")).coalesce(parts), f"{name}-labels")
         last, total, turn = total, labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0], turn + 1
         if last == total:
             return labels
