@@ -38,7 +38,7 @@ def _with_text(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = removed_lines(docs).withColumnRenamed("removed", _NEW)
+    gone = removed_lines(docs, share=0.2, short_share=0.1).withColumnRenamed("removed", _NEW)
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _NEW)
     text = F.when(F.col(_NEW).isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))

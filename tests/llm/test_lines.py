@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidepanel.llm.lines import dedup_lines, left_out, one_edit
+from tidepanel.llm.lines import dedup_lines, distance, left_out, one_edit, removed_lines
 from tidepanel.llm.textkit import windows
 
 
@@ -64,3 +64,56 @@ def test_against_brute_force(spark):
     got = sorted((tuple(r) for r in dedup_lines(df, min_words=5).collect()), key=str)
     assert got == brute(docs, 5)
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def near(v, w, min_words, share, short_share):
+    if max(len(v), len(w)) >= min_words:
+        return edit(v, w) <= max(1, int(share * min(len(v), len(w)) + 1e-9))
+    x, y = " ".join(v), " ".join(w)
+    k = int(short_share * min(len(x), len(y)) + 1e-9)
+    return x == y or abs(len(x) - len(y)) <= k and edit(x, y) <= k
+
+
+def test_distance():
+    rng = random.Random(3)
+    for _ in range(500):
+        x = [rng.choice("abcd") for _ in range(rng.randint(0, 90))]
+        y = list(x) if rng.random() < 0.7 else [rng.choice("abcd") for _ in range(rng.randint(0, 90))]
+        for _ in range(rng.randint(0, 9)):
+            i, kind = rng.randrange(len(y) + 1), rng.randint(0, 2)
+            y[i : i + (kind != 0)] = [rng.choice("abcd")] if kind != 2 else []
+        assert distance(x, y, 1000) == edit(x, y) and all((distance(x, y, k) <= k) == (edit(x, y) <= k) for k in (0, 1, 3, 8))
+
+
+def test_bounds_that_grow_against_brute_force(spark):
+    """Several word edits in long lines, character edits in short ones, lines about the border, and a group of many near copies."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("etaoin") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    pool = [[rng.choice(vocab) for _ in range(rng.choice([3, 8, 9, 10, 11, 14, 22, 40]))] for _ in range(25)]
+    hot = [rng.choice(vocab) for _ in range(30)]
+    docs = []
+    for d in range(70):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            w = list(rng.choice([*pool, hot, hot, hot]))
+            for _ in range(rng.choice([0, 1, 2, len(w) // 5, len(w) // 4])):
+                i, kind = rng.randrange(len(w) + 1), rng.randint(0, 2)
+                w[i : i + (kind != 0)] = [rng.choice(vocab)] if kind != 2 else []
+            t = " ".join(w)
+            if rng.random() < 0.4:
+                i = rng.randrange(len(t) + 1)
+                t = t[:i] + rng.choice(["ü", " ", "", "x"]) + t[i + rng.randint(0, 1) :]
+            lines.append(t)
+        docs.append((d, "\n".join(lines)))
+    seen, want = [], set()
+    for d, t in docs:
+        for i, line in enumerate(t.split("\n")):
+            w = line.split()
+            if w and any(near(v, w, 10, 0.2, 0.1) for v in seen):
+                want.add((d, i))
+            seen += [w] if w else []
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (8, 1):
+        got = {(r.doc_id, i) for r in removed_lines(df, share=0.2, short_share=0.1, most=most).collect() for i in r.removed}
+        assert got == want
+    assert len(want) > len({(r.doc_id, i) for r in removed_lines(df).collect() for i in r.removed})

@@ -1,19 +1,24 @@
-"""Line dedup by a deletion-neighbourhood join, one word edit being the bound.
+"""Line dedup: a line goes if an earlier one (smaller document id, then smaller line number) is near it.
 
-A line is removed if an earlier line (smaller document id, then smaller line
-number) has the same words, or differs by one word inserted, deleted or
-replaced; lines of fewer than ``min_words`` words count only if equal, since one
-word is too large a part of them.
+Two lines of ``min_words`` words or more are near if their edit distance in
+words is at most max(1, share × the words of the shorter line). With a
+short_share above 0, so are two lines of which the longer has ``min_words``
+words, and two lines of fewer words are near if their edit distance in
+characters is at most short_share × the characters of the shorter line (words
+joined by one space). Equal lines are near whatever their length. The bounds are
+rounded down.
 
 1. Equal lines: the first of each is kept.
-2. Only a line that shares its first or its last half with another line can be
-   one edit away from it, so the rest emit nothing further.
-3. These emit all their variants with one word left out, as 96-bit keys:
-   with the place (two lines with the same variant and place differ by a
-   replacement), and without (against whole lines: an insertion). Each key keeps
-   only its earliest line, so no pairs of a group are listed.
-4. The edit distance of each line and its earliest neighbours is verified on
-   word hashes before the line goes.
+2. At k edits two lines share all but k of their words, so if the words stand in
+   one order for all lines, rarest first, they share one of the first k + 1 of
+   each (the third same word of a line is another word than its first). These are
+   a line's keys. For characters the same holds with runs of three, of which an
+   edit changes three. The order comes from a sample of the lines; it changes the
+   cost alone.
+3. Lines with a common key are candidates if their lengths and the parities of
+   128 word classes allow the bound; a line has its nearest ``most`` of a key
+   compared, and only if none is near, all the others too.
+4. The edit distance is computed before a line goes.
 
 Defined results: lines end at "\\n"; words are what stands between white space,
 so lines equal but for white space are equal; lines without words stay and are
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, keep, packs, text_bytes
-from .textkit import Words, _tables, mix, windows
+from .textkit import Words, _tables, mix
 
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
@@ -65,24 +70,125 @@ def _segments(h: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndar
         return mix((sums[b] - sums[a]) * inverse[a])
 
 
-def _line_rows(min_words: int):
-    """A row for each distinct line of a document: its key, its line numbers and, if long enough, its half keys."""
+def distance(x: list, y: list, most: int) -> int:
+    """Edit distance of two sequences (bit-parallel); more than ``most`` may end early."""
+    a, n = 0, min(len(x), len(y))
+    while a < n and x[a] == y[a]:
+        a += 1
+    b = 0
+    while b < n - a and x[-1 - b] == y[-1 - b]:
+        b += 1
+    x, y = x[a : len(x) - b], y[a : len(y) - b]
+    if not x or not y or abs(len(x) - len(y)) > most:
+        return max(len(x), len(y))
+    at: dict = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top, score, left = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x), len(y)
+    up, down = full, 0
+    for c in y:
+        eq = at.get(c, 0)
+        rows = eq | down
+        cols = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (~(cols | up) & full), up & cols
+        score += bool(plus & top) - bool(minus & top)
+        left -= 1
+        if score - left > most:
+            return score - left
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(rows | plus)) & full, plus & rows & full
+    return score
+
+
+def word_bound(n, share: float):
+    """Edits allowed among n words."""
+    return np.maximum(1, np.floor(share * np.asarray(n) + 1e-9).astype(np.int64))
+
+
+def char_bound(n, share: float):
+    return np.floor(share * np.asarray(n) + 1e-9).astype(np.int64)
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of three characters, and how many each text has."""
+    size = np.array([len(t) for t in texts], np.int64)
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < 3:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    text = np.repeat(np.arange(len(texts)), size)
+    with np.errstate(over="ignore"):
+        h = mix((c[:-2] * np.uint64(0x9E3779B97F4A7C55) + c[1:-1]) * np.uint64(0x9E3779B97F4A7C55) + c[2:] + np.uint64(1 << 40))
+    return h[text[:-2] == text[2:]], np.maximum(size - 2, 0)
+
+
+def _rarest(h: np.ndarray, count: np.ndarray, need: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of ``count`` entries of h: its ``need`` rarest keys, how many they are, and the parities of the 128 classes."""
+    count = np.asarray(count, np.int64)
+    owner = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((h, owner))
+    h, place = h[order], np.arange(len(h))
+    start = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))[: len(h)]
+    again = place - np.maximum.accumulate(np.where(start, place, 0))
+    with np.errstate(over="ignore"):
+        key = mix(h + again.astype(np.uint64) * _PLACE)
+    bit = np.uint64(1) << (key & np.uint64(63))
+    high = (key >> np.uint64(6) & np.uint64(1)).astype(bool)
+    parity, some = np.zeros((len(count), 2), np.uint64), np.flatnonzero(count)
+    first = (np.cumsum(count) - count)[some]
+    if len(some):
+        parity[some, 0] = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), first)
+        parity[some, 1] = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), first)
+    rank = np.zeros(len(h), np.int64)
+    if len(common[0]):
+        spot = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        rank = np.where(common[0][spot] == h, common[1][spot], 0)
+    order = np.lexsort((key, rank, owner))
+    in_line = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+    return key[order[in_line < np.repeat(need, count)]], np.minimum(need, count), parity
+
+
+def _pack_lines(texts: list[bytes | None]):
+    """Words of all lines of the texts, and of each line with words: its text, number, first and last word."""
+    lines = [(t or b"").split(b"\n") for t in texts]
+    count = np.array([len(t) for t in lines])
+    words = Words([x for t in lines for x in t])
+    doc = np.repeat(np.arange(len(texts)), count)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    a, b = words.first[:-1], words.first[1:]
+    full = np.flatnonzero(b > a)
+    return words, a[full], b[full], doc[full], number[full]
+
+
+def _squeezed(words: Words, a, b) -> list[str]:
+    return [b" ".join(words.text(i, j)).decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def _sampled(min_words: int):
+    """Counts of the words and, in short lines, of the runs of three characters."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in packs(texts := text_bytes(batch.column("text"))):
+                words, a, b, _, _ = _pack_lines(texts[lo:hi])
+                if len(a):
+                    short = b - a < min_words
+                    h, n = np.unique(np.concatenate((words.h, _grams(_squeezed(words, a[short], b[short]))[0])), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return run
+
+
+def _line_rows(min_words: int, share: float, short_share: float, common: tuple[np.ndarray, np.ndarray]):
+    """A row for each distinct line of a document: its hash, its line numbers, its size in words and characters, its keys and parities by words and by characters."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column("doc_id"), text_bytes(batch.column("text"))
             for lo, hi in packs(texts):
-                lines = [(t or b"").split(b"\n") for t in texts[lo:hi]]
-                count = np.array([len(t) for t in lines])
-                words = Words([x for t in lines for x in t])
-                doc = np.repeat(np.arange(lo, hi), count)
-                number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                a, b = words.first[:-1], words.first[1:]
-                full = np.flatnonzero(b > a)
-                if not len(full):
+                words, a, b, doc, number = _pack_lines(texts[lo:hi])
+                if not len(a):
                     continue
-                a, b, doc, number = a[full], b[full], doc[full], number[full]
-                n = b - a
+                doc, n = doc + lo, b - a
                 k1 = _segments(words.h, a, b, _BASES[0])
                 k2 = _segments(words.h, a, b, _BASES[1]) >> np.uint64(33)
                 order = np.lexsort((number, n, k2, k1, doc))
@@ -90,57 +196,106 @@ def _line_rows(min_words: int):
                 new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (n[1:] != n[:-1])))
                 at = np.flatnonzero(new)
                 a, b, m = a[at], b[at], n[at]
-                keys, has = np.zeros((len(at), 4), np.uint64), np.zeros((len(at), 4), bool)
-                for c, k in enumerate((m // 2, (m - 1) // 2)):
-                    keys[:, 2 * c] = _segments(words.h, a, a + k, _BASES[0]) ^ k.astype(np.uint64)
-                    keys[:, 2 * c + 1] = _segments(words.h, b - k, b, _BASES[1]) ^ (k + (1 << 40)).astype(np.uint64)
-                    has[:, 2 * c] = has[:, 2 * c + 1] = (m >= min_words) & (k > 0) & ((m % 2 == 0) | (c == 0))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(number.astype(np.int32)))
-                half = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has.sum(axis=1)))).astype(np.int32)), pa.array(keys[has].view(np.int64)))
-                columns = [ids.take(pa.array(doc[at])), pa.array(k1[at].view(np.int64)), pa.array(k2[at].astype(np.int32)), pa.array(m.astype(np.int32)), lists, half]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n", "numbers", "halves"])
+                long = np.where(m + (word_bound(m, share) if short_share > 0 else 0) >= min_words, m, 0)
+                h = words.h[np.repeat(a - (np.cumsum(long) - long), long) + np.arange(long.sum())]
+                keys, many, parity = _rarest(h, long, word_bound(m, share) + 1, common)
+                columns = [ids.take(pa.array(doc[at])), pa.array(k1[at].view(np.int64)), pa.array(k2[at].astype(np.int32)), pa.array(m.astype(np.int32))]
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(number.astype(np.int32)))]
+                lists += [_lists(keys, many), pa.array(parity[:, 0].view(np.int64)), pa.array(parity[:, 1].view(np.int64))]
+                short = (m < min_words) & (short_share > 0)
+                plain = _squeezed(words, a[short], b[short])
+                size, many, parity = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), np.zeros((len(m), 2), np.uint64)
+                size[short] = [len(t) for t in plain]
+                bound = char_bound(size[short], short_share)
+                h, count = _grams(plain)
+                keys, many[short], parity[short] = _rarest(h, count, np.where(bound > 0, 3 * bound + 1, 0), common)
+                lists += [pa.array(size.astype(np.int32)), _lists(keys, many), pa.array(parity[:, 0].view(np.int64)), pa.array(parity[:, 1].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns + lists, [x.split()[0] for x in _LINES.split(", ")])
+
+    return run
+
+
+_LINES = "doc_id long, k1 long, k2 int, n int, numbers array<int>, keys array<long>, p long, q long, chars int, grams array<long>, gp long, gq long"
+
+
+def _lists(flat: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
+_CANDIDATES = "kind boolean, key long, doc_id long, line int, other_doc long, other_line int"
+
+
+def _candidates(min_words: int, share: float, short_share: float, most: int | None):
+    """From rows sorted by key, document and line: pairs of a line and an earlier one of its key; a pair without the other line says that a line has more than ``most``."""
+
+    def pairs(kind, key, doc, line, n, size, p, q, asks):
+        p, q = p.view(np.uint64), q.view(np.uint64)
+        bound = np.where(kind, char_bound(size, short_share), word_bound(n, share))
+        found, out, active, d = np.zeros(len(key), np.int64), [], np.flatnonzero(asks), 0
+        while len(active):
+            d += 1
+            active = active[active >= d]
+            active = active[(key[active] == key[active - d]) & (kind[active] == kind[active - d])]
+            i, j = active, active - d
+            k = np.minimum(bound[i], bound[j])
+            changed = np.bitwise_count(p[i] ^ p[j]).astype(np.int64) + np.bitwise_count(q[i] ^ q[j])
+            ok = (np.abs(size[i] - size[j]) <= k) & (changed <= np.where(kind[i], 6, 2) * k) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+            ok &= kind[i] == (np.maximum(n[i], n[j]) < min_words)
+            over = ok & (found[i] == most) if most else np.zeros(len(i), bool)
+            out += [(i[over], np.full(over.sum(), -1)), (i[ok & ~over], j[ok & ~over])]
+            found[i[ok]] += 1
+            active = active[~over]
+        if not out:
+            return None
+        i, j = map(np.concatenate, zip(*out, strict=True))
+        gone = j < 0
+        return pa.RecordBatch.from_arrays([pa.array(kind[i]), pa.array(key[i]), pa.array(doc[i]), pa.array(line[i]), pa.array(doc[j], mask=gone), pa.array(line[j], mask=gone)], [x.split()[0] for x in _CANDIDATES.split(", ")])
+
+    def run(batches):
+        names, rest = ("kind", "key", "doc_id", "line", "n", "size", "p", "q", "asks"), None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            whole = int(np.flatnonzero((columns[1] != columns[1][-1]) | (columns[0] != columns[0][-1]))[-1:].sum() + 1) if (columns[1][0] != columns[1][-1] or columns[0][0] != columns[0][-1]) else 0
+            rest = [c[whole:] for c in columns]
+            if whole and (got := pairs(*(c[:whole] for c in columns))) is not None:
+                yield got
+        if rest is not None and (got := pairs(*rest)) is not None:
+            yield got
 
     return run
 
 
 def _open_lines(batches):
-    """Word hashes of the listed lines."""
+    """The listed lines, white space squeezed."""
     for batch in batches:
         ids, numbers, texts = batch.column("doc_id").to_pylist(), batch.column("numbers").to_pylist(), text_bytes(batch.column("text"))
-        for lo, hi in packs(texts):
-            out = []
-            for d, want, t in zip(ids[lo:hi], numbers[lo:hi], texts[lo:hi], strict=True):
-                lines = t.split(b"\n")
-                want = [i for i in want if i < len(lines)]  # rows with one id may differ
-                words = Words([lines[i] for i in want])
-                out += [(d, i, words.h[words.first[k] : words.first[k + 1]].tobytes()) for k, i in enumerate(want)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary())], ["doc_id", "line", "words"])
-
-
-def _variants(batches):
-    """All keys of each line: role 0 a variant with its place, 1 the whole line, 2 a variant alone."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            ids, numbers, columns = part.column("doc_id").to_numpy(), part.column("line").to_numpy(), []
-            for d, i, w in zip(ids, numbers, part.column("words").to_pylist(), strict=True):
-                h = np.frombuffer(w, np.uint64)
-                n = len(h)
-                place = np.arange(1, n + 1, dtype=np.uint64) * _PLACE
-                keys = []
-                for base in _BASES:
-                    v = left_out(h, base)
-                    keys.append(np.concatenate((mix(v ^ place), v, windows(h, n, base))))
-                role = np.repeat(np.array([0, 2, 1], np.int8), (n, n, 1))
-                columns.append((keys[0].view(np.int64), (keys[1] >> np.uint64(33)).astype(np.int32), role, np.full(2 * n + 1, d), np.full(2 * n + 1, i, np.int32)))
-            if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*columns, strict=True)], ["k1", "k2", "role", "doc_id", "line"])
-
-
-def _verified(batches):
-    for batch in batches:
-        near = [one_edit(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("words").to_pylist(), batch.column("others").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line")], ["doc_id", "line"]).filter(pa.array(near, pa.bool_()))
+        out = []
+        for d, want, t in zip(ids, numbers, texts, strict=True):
+            lines = t.split(b"\n")
+            out += [(d, i, b" ".join(lines[i].split())) for i in want if i < len(lines)]  # rows with one id may differ
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "line", "words"])
+
+
+def _verified(share: float, short_share: float):
+    def near(kind: bool, x: bytes, y: bytes) -> bool:
+        if kind:
+            x, y = x.decode("utf-8", "replace"), y.decode("utf-8", "replace")
+            k = int(char_bound(min(len(x), len(y)), short_share))
+        else:
+            x, y = x.split(b" "), y.split(b" ")
+            k = int(word_bound(min(len(x), len(y)), share))
+        return distance(x, y, k) <= k
+
+    def run(batches):
+        for batch in batches:
+            found = [near(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("kind", "words", "others")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line")], ["doc_id", "line"]).filter(pa.array(found, pa.bool_()))
+
+    return run
 
 
 def _kept(batches):
@@ -155,33 +310,55 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(less, pa.int64()), pa.array(text, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
+def _common(plain: DataFrame, min_words: int, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words of a sixteenth of the documents, by hash, and their counts."""
+    sample = plain.where("pmod(xxhash64(doc_id), 16) = 0").mapInArrow(_sampled(min_words), "h long, n long")
+    top = sample.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most).collect()
+    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, share: float = 0.0, short_share: float = 0.0, most: int = 2) -> DataFrame:
     """doc_id and removed (line numbers from 0), for the documents that lose lines."""
+    if not (0 <= share < 1 and 0 <= short_share <= 0.125):
+        raise ValueError("near lines share a word, and near short lines a run of three characters")
     plain = id_text(docs, id_col, text_col).where("doc_id is not null")
-    lines = keep(plain.mapInArrow(_line_rows(min_words), "doc_id long, k1 long, k2 int, n int, numbers array<int>, halves array<long>"), "lines")
+    lines = keep(plain.mapInArrow(_line_rows(min_words, share, short_share, _common(plain, min_words)), _LINES), "lines")
     first = lines.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("low"))
-    marked = keep(lines.join(first, ["k1", "k2", "n"]).select("doc_id", "numbers", "halves", (F.col("doc_id") == F.col("low")).alias("first")), "marked")
-    again = marked.select("doc_id", F.explode(F.when(F.col("first"), F.slice("numbers", 2, 1 << 30)).otherwise(F.col("numbers"))).alias("line"))
-
-    half = marked.where("first").select("doc_id", F.element_at("numbers", 1).alias("line"), F.explode("halves").alias("half"))
-    common = half.groupBy("half").count().where("count > 1").select("half")
-    open_ = half.join(common, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("numbers"))
-    words = keep(plain.join(open_, "doc_id").where("text is not null").select("doc_id", "text", "numbers").mapInArrow(_open_lines, "doc_id long, line int, words binary"), "open")
-
-    order = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
-    keys = words.mapInArrow(_variants, "k1 long, k2 int, role byte, doc_id long, line int").withColumn("at", order.cast("decimal(38,0)"))
-    earliest = [F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"m{r}") for r in (0, 1, 2)]
-    groups = keys.groupBy("k1", "k2").agg(*earliest, F.count("*").alias("size")).where("size > 1").drop("size")
-    other = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = keys.join(groups, ["k1", "k2"]).select("doc_id", "line", "at", other.alias("other")).where("other < at").select("doc_id", "line", "other").distinct()
-    there = words.select(F.col("words").alias("others"), order.cast("decimal(38,0)").alias("other"))
-    near = pairs.join(words, ["doc_id", "line"]).join(there, "other").select("doc_id", "line", "words", "others").mapInArrow(_verified, "doc_id long, line int")
+    marked = lines.select("doc_id", "k1", "k2", "n", "numbers").join(first, ["k1", "k2", "n"])
+    again = marked.select("doc_id", F.explode(F.when(F.col("doc_id") == F.col("low"), F.slice("numbers", 2, 1 << 30)).otherwise(F.col("numbers"))).alias("line"))
+
+    firsts = lines.join(first.withColumnRenamed("low", "doc_id"), ["k1", "k2", "n", "doc_id"], "left_semi")
+    ends = ("doc_id", F.element_at("numbers", 1).alias("line"), "n")
+    by_words = firsts.select(F.lit(False).alias("kind"), F.explode("keys").alias("key"), *ends, F.col("n").alias("size"), "p", "q")
+    by_chars = firsts.select(F.lit(True).alias("kind"), F.explode("grams").alias("key"), *ends, F.col("chars").alias("size"), F.col("gp").alias("p"), F.col("gq").alias("q"))
+    keys = by_words.unionByName(by_chars)
+
+    def candidates(rows: DataFrame, most: int | None, name: str) -> DataFrame:
+        dealt = rows.repartition("kind", "key").sortWithinPartitions("kind", "key", "doc_id", "line")
+        return keep(dealt.mapInArrow(_candidates(min_words, share, short_share, most), _CANDIDATES), name)
+
+    def near(found: DataFrame, name: str) -> DataFrame:
+        pairs = found.where("other_doc is not null").select("kind", "doc_id", "line", "other_doc", "other_line").distinct()
+        listed = pairs.select("doc_id", "line").union(pairs.select("other_doc", "other_line")).groupBy("doc_id").agg(F.collect_set("line").alias("numbers"))
+        words = keep(plain.join(listed, "doc_id").where("text is not null").select("doc_id", "text", "numbers").mapInArrow(_open_lines, "doc_id long, line int, words binary"), f"{name}-words")
+        there = words.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others"))
+        return keep(pairs.join(words, ["doc_id", "line"]).join(there, ["other_doc", "other_line"]).select("kind", "doc_id", "line", "words", "others").mapInArrow(_verified(share, short_share), "doc_id long, line int").distinct(), name)
+
+    found = candidates(keys.withColumn("asks", F.lit(True)), most, "candidates")
+    gone = near(found, "near")
+    more = keep(found.where("other_doc is null").join(gone, ["doc_id", "line"], "left_anti").select("kind", "key", "doc_id", "line").distinct(), "more")
+    if not more.isEmpty():
+        some = keys.join(more.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+        rest = some.join(more.withColumn("asks", F.lit(True)), ["kind", "key", "doc_id", "line"], "left").fillna(False, ["asks"])
+        gone = gone.union(near(candidates(rest, None, "candidates-rest"), "near-rest"))
     # the copies of a line that goes have gone with the equal lines
-    return again.union(near).groupBy("doc_id").agg(F.collect_set("line").alias("removed"))
+    return again.union(gone).groupBy("doc_id").agg(F.collect_set("line").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, share: float = 0.0, short_share: float = 0.0) -> DataFrame:
     """doc_id, n_lines, n_removed and text (the kept lines joined by "\\n"), a row for each row of ``docs``."""
-    gone = removed_lines(docs, id_col, text_col, min_words)
+    gone = removed_lines(docs, id_col, text_col, min_words, share, short_share)
     plain = id_text(docs, id_col, text_col)
     return plain.join(gone, "doc_id", "left").select("doc_id", "text", "removed").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, text string")

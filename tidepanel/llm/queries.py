@@ -54,7 +54,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(read(spark, sf_dir, "documents"))
+    kept = dedup_lines(read(spark, sf_dir, "documents"), share=0.2, short_share=0.1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
