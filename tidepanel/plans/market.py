@@ -80,7 +80,7 @@ TOPICS = {"articles": ["the", "la", "der"], "joins": ["and", "und", "et"]}
 h AS (SELECT entity_id, topic, sum((length(t) - length(replace(t, word, ''))) // length(word)) AS hits FROM n, w GROUP BY ALL)
 SELECT entity_id, topic, hits::BIGINT AS hits, hits >= 20 AS grouped FROM h""")
 def stocks_by_topic(spark, sf_dir):
-    """A-25, A-26, F-15: occurrences of every topic word in an entity's joined titles."""
+    """Occurrences of every topic word in an entity's joined titles, the first 80 characters of each text; ``texts_by_topic`` counts whole texts."""
     d = table(spark, sf_dir, "documents").where("text is not null").groupBy(C("source").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.left("text", F.lit(80)).alias("t")))).alias("x"))
     d = d.select("entity_id", F.array_join(F.transform("x", lambda x: x.t), " ").alias("t"))
     words = F.explode(F.array(*(F.struct(F.lit(k).alias("topic"), F.lit(w).alias("word")) for k, v in TOPICS.items() for w in v)))
@@ -88,6 +88,15 @@ def stocks_by_topic(spark, sf_dir):
     return h.withColumn("grouped", C("hits") >= 20)
 
 
+@query("""WITH w AS (SELECT * FROM (VALUES ('articles','the'),('articles','la'),('articles','der'),('joins','and'),('joins','und'),('joins','et')) v(topic, word))
+SELECT source AS entity_id, topic, sum(len(string_split(text, word)) - 1)::BIGINT AS hits, sum(len(string_split(text, word)) - 1) >= 20 AS grouped FROM documents, w WHERE text IS NOT NULL GROUP BY source, topic""")
+def texts_by_topic(spark, sf_dir):
+    """A-25, A-26, F-15: occurrences of every topic word in an entity's whole texts; counted by text, as no word holds the space that joins texts."""
+    hits = F.array(*(F.struct(F.lit(k).alias("topic"), sum((ex.occurrences(C("text"), F.lit(w)) for w in v), F.lit(0)).cast("long").alias("hits")) for k, v in TOPICS.items()))
+    d = table(spark, sf_dir, "documents").where("text is not null").select(C("source").alias("entity_id"), F.explode(hits).alias("h"))
+    return d.groupBy("entity_id", C("h.topic").alias("topic")).agg(F.sum("h.hits").alias("hits")).withColumn("grouped", C("hits") >= 20)
+
+
 @query("""WITH d AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source AS entity_id, array_to_string(list(lang || '=' || n ORDER BY lang), ',') AS tags, arg_max(lang, (n, lang)) AS main_tag, coalesce(arg_max(lang, (n, lang)) FILTER (WHERE lang <> 'en'), 'other') AS without_en FROM d GROUP BY source""")
 def tag_maps(spark, sf_dir):
     """T-1 to T-5, SC-12: tag -> reason maps, the main tag, and what is left when one is removed."""
