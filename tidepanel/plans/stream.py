@@ -31,7 +31,7 @@ def tick_bars(spark, sf_dir):
 def tick_bars_streamed(spark, sf_dir):
     """ST-3, ST-6: the same by Structured Streaming with update output into a keyed table (last write of a key wins)."""
     at = _scratch(spark, "stream")
-    jobs.run_once(jobs.bars(jobs.tick_stream(spark, sf_dir)), jobs.keyed_sink(f"{at}/t", ["entity_id", "start"], "n"), f"{at}/c", "update")
+    jobs.run_once(jobs.bars(jobs.tick_stream(spark, sf_dir, files_per_batch=jobs.ALL_FILES)), jobs.keyed_sink(f"{at}/t", ["entity_id", "start"], "n"), f"{at}/c", "update")
     versions = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/t")
     last = versions.groupBy("id").agg(F.max_by(F.struct("entity_id", "start", "open", "high", "low", "close", "n"), "n").alias("r")).select("r.*")
     return last.select("entity_id", "start", *(r6(C(c)).alias(c) for c in ("open", "high", "low", "close")), "n")
@@ -50,7 +50,7 @@ SELECT entity_id, event_id, round(list_reduce(v, lambda a, x: a + 2.0 / 13 * (x
 def stateful_ema_streamed(spark, sf_dir):
     """ST-5, U-3, U-4: per-entity state carried over the batches of a stream."""
     at = _scratch(spark, "ema")
-    jobs.run_once(jobs.running_ema(jobs.tick_stream(spark, sf_dir)), f"{at}/t", f"{at}/c")
+    jobs.run_once(jobs.running_ema(jobs.tick_stream(spark, sf_dir, files_per_batch=jobs.ALL_FILES)), f"{at}/t", f"{at}/c")
     return spark.read.parquet(f"{at}/t").select("entity_id", "event_id", F.round("ema", 4).alias("ema"))
 
 

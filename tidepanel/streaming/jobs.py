@@ -18,6 +18,10 @@ from ..sources.lake import upsert
 C = F.col
 
 
+#: For a finite table read to its end: one batch of all files, in which no row is late whatever the order of the files.
+ALL_FILES = (1 << 31) - 1
+
+
 def tick_stream(spark: SparkSession, sf_dir: str, pattern: str = "events.parquet*", files_per_batch: int = 1) -> DataFrame:
     """Ticks from the files of a folder; the time has a zone, as watermarks ask for."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
