@@ -26,22 +26,47 @@ from .common import id_text, text_bytes
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Templates of public license notices, by SPDX identifier.
+# The whole wording of short licenses; their labels differ from those of notices.
+_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_THIRD = " <<beginOptional>>3<<endOptional>> neither the name of <<var;most=20>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = (
+    " this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    " in no event shall the copyright <<var;most=4>> or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption"
+    " however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_GPL = "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+
+# Templates of public license notices, by SPDX identifier, and of whole texts, by the identifier and "-text".
 TEMPLATES = {
     "MIT": [
         "released under the <<beginOptional>>terms of the<<endOptional>> mit license",
         "licensed under the <<beginOptional>>terms of the<<endOptional>> mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
-        " <<beginOptional>>the software<<endOptional>> to deal in the software without restriction",
     ],
     "Apache-2.0": ["licensed under the apache license version 2 0", "licensed under apache <<beginOptional>>license<<endOptional>> 2 0"],
     "GPL-3.0": [
         "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>>"
-        " <<beginOptional>>either<<endOptional>> version 3"
+        " <<beginOptional>>either<<endOptional>> version 3",
+        _GPL + " <<beginOptional>>either<<endOptional>> version 3",
     ],
     "CC-BY-NC-4.0": ["licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> <<var;most=3>> cc by nc 4 0"],
-    "BSD": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted <<var;most=6>> provided that the above copyright notice"],
+    "GPL-2.0": [_GPL + " <<beginOptional>>either<<endOptional>> version 2"],
+    "MIT-text": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software " + _WARRANTY
+    ],
+    "BSD-2-Clause-text": [_BSD + _BSD_END],
+    "BSD-3-Clause-text": [_BSD + _THIRD + _BSD_END],
+    "ISC-text": [
+        "permission to use copy modify <<beginOptional>>and<<endOptional>> <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever"
+        " resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ],
 }
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
