@@ -8,9 +8,8 @@ Each machine is fitted by dual coordinate descent on at most ``per_language``
 rows of a language (those of the smallest id hash).
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-a null lang is not learned; of more than ``most_languages`` lang values the most
-frequent are learned (ties: the smaller name); with one learned language all
-texts are that one, with none all are ``und``; extra columns are not read; an
+a null lang is not learned, every other lang value is; with one learned language
+all texts are that one, with none all are ``und``; extra columns are not read; an
 empty table gives an empty result.
 """
 
@@ -98,16 +97,18 @@ def _examples(dim: int):
     return run
 
 
-def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 1 << 14, per_language: int = 400, most_languages: int = 64) -> LanguageModel:
-    """A model from the documents given; at most per_language × most_languages examples reach the driver."""
+def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 1 << 14, per_language: int = 400, most_languages: int = 64, least: int = 8) -> LanguageModel:
+    """A model of all languages of the documents given. Beyond ``most_languages`` each has fewer examples, ``least`` at least, so that about per_language × most_languages reach the driver."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    names = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
+    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not names:
         return LanguageModel(dim, [])
+    if len(names) > most_languages:
+        per_language = min(per_language, max(least, per_language * most_languages // len(names)))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = rows.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language)
+    few = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language)
     few = keep(few.select("doc_id", "lang").distinct(), "sample")
-    sample = rows.join(F.broadcast(few), ["doc_id", "lang"], "left_semi")  # at most per_language × most_languages ids
+    sample = rows.join(F.broadcast(few), ["doc_id", "lang"], "left_semi")  # about per_language × most_languages ids
     x: dict[str, list] = {n: [] for n in names}
     for r in sample.select("lang", "text").mapInArrow(_examples(dim), "lang string, at binary, v binary").collect():
         x[r.lang].append((np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r.v, np.float32).astype(np.float64)))
