@@ -94,7 +94,7 @@ s AS (SELECT n, entity_id, coalesce((arg_max(close, day) - arg_min(close, day))
 k AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY round(score, 9) DESC, entity_id) AS k FROM s)
 SELECT entity_id, min(n)::INTEGER AS period, count(*)::BIGINT AS lists FROM k WHERE k <= 10 GROUP BY entity_id""")
 def top_by_trailing_periods(spark, sf_dir):
-    """A-7, S-6, S-7: top lists of several trailing periods, united."""
+    """A-7, S-6: top lists of several trailing periods, united, as of the last day."""
     b = bars(spark, sf_dir)
     periods = b.agg(F.max("day").alias("d")).select(F.explode(F.array(*map(F.lit, (30, 90, 365)))).alias("n"), "d").select("n", F.date_sub("d", C("n")).alias("since"))
     s = performance(b.join(F.broadcast(periods), C("day") >= C("since")), ["n", "entity_id"])
@@ -121,7 +121,7 @@ def top_n_by_factor(spark, sf_dir):
 
 @query(f"""WITH {BARS}, l AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY day DESC) AS k FROM bars) SELECT entity_id, day, round(turnover, 4) AS turnover FROM l WHERE k = 1 ORDER BY turnover DESC, entity_id LIMIT 20 OFFSET 5""")
 def latest_page(spark, sf_dir):
-    """K-3, K-5, K-7, K-9, SNK-8: latest rows, ordered, one page (a report)."""
+    """K-3, K-5, K-9: latest rows, ordered, one page (a report)."""
     w = Window.partitionBy("entity_id").orderBy(F.desc("day"))
     latest = bars(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k = 1")
     return latest.orderBy(F.desc("turnover"), "entity_id").offset(5).limit(20).select("entity_id", "day", F.round("turnover", 4).alias("turnover"))
@@ -144,7 +144,7 @@ def combine(filters: list[DataFrame], mode: str = "and") -> DataFrame:
 @query(f"""WITH {BARS}, {SEL} SELECT entity_id, day, CASE WHEN NOT a OR NOT b THEN false WHEN a OR b THEN true END AS both_, CASE WHEN a OR b THEN true WHEN NOT a OR NOT b THEN false END AS any_,
 CASE WHEN sc >= 0.8 THEN 'long' WHEN sc <= 0.2 THEN 'short' ELSE 'keep' END AS target FROM f""")
 def target_selector(spark, sf_dir):
-    """S-1, S-2, S-3, W-38: filters joined by and/or, scores to long, short or keep."""
+    """S-1, S-3, W-38: filters joined by and/or, scores of all rows to long, short or keep."""
     b = bars(spark, sf_dir)
     one = b.select("entity_id", "day", F.when(C("volume") > 30, True).when(C("volume") < 10, False).alias("result"))
     two = b.select("entity_id", "day", F.when(C("close") > 1500, True).when(C("close") < 1000, False).alias("result"))
@@ -165,7 +165,7 @@ def multi_level_selection(spark, sf_dir):
 
 @query(f"WITH {BARS}, {ENTITIES} SELECT exchange FROM entities WHERE cap > 5000 EXCEPT SELECT exchange FROM entities WHERE cap < 0")
 def catalogue_difference(spark, sf_dir):
-    """S-8, S-9."""
+    """S-9."""
     e = entities(spark, sf_dir)
     return e.where("cap > 5000").select("exchange").subtract(e.where("cap < 0").select("exchange"))
 
