@@ -13,7 +13,7 @@ from .lines import dedup_lines
 from .packing import pack_documents
 from .probminhash import near_duplicates
 from .quality import fit_quality, held_out, score_column
-from .sentencepieces import decode_column, encode_column
+from .sentencepieces import decode_column, encode_texts
 from .substrings import remove_repeats
 from .topk import exact_top_k
 
@@ -63,7 +63,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = read(spark, sf_dir, "documents").select("doc_id", "text", encode_column().alias("ids"))
+    coded = encode_texts(read(spark, sf_dir, "documents"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), (decode_column("ids") == F.coalesce("text", F.lit(""))).alias("same"))
 

@@ -23,9 +23,11 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_text
+
 MARK = "▁"
 _loaded: dict[str, Model] = {}
 
@@ -56,6 +58,11 @@ class Model:
                 self.unknown = i if p.type == kinds.UNKNOWN else self.unknown
                 self.text.append(" ⁇ ".encode() if p.type == kinds.UNKNOWN else b"")
         self.longest = max(map(len, self.ids), default=1)
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            ends.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {end: sorted(sizes, reverse=True) for end, sizes in ends.items()}  # sizes of the pieces by their last two characters
+        self.known: dict[str, bytes] = {}  # words met before
         self.within = not any(MARK in p.lstrip(MARK) or p.startswith(MARK * 2) and p.strip(MARK) for p in self.ids)
         self.worst = min(self.score.values(), default=0.0) - 10
         self.alone: dict[str, bool] = {}  # piece -> the merges give it whole
@@ -116,7 +123,7 @@ class Model:
     def encode_words(self, words) -> dict[str, bytes]:
         """The ids (32-bit machine words) of each distinct marked word, by a depth-first walk of their trie."""
         out, last, states = {}, "", [(0.0, "", 0)]
-        ids, alone, left, longest, step, unigram = self.ids, self.alone, self.left, self.longest, self._step, self.unigram
+        ids, alone, left, ends, step, unigram = self.ids, self.alone, self.left, self.ends, self._step, self.unigram
         for word in sorted(words):
             if not unigram and word.startswith(MARK * 2):
                 out[word] = array("i", self.spelled(self.merged(word))).tobytes()
@@ -126,18 +133,23 @@ class Model:
                 same += 1
             del states[same + 1 :]
             for j in range(same + 1, len(word) + 1):
-                found = None
-                for i in range(j - longest if j > longest else 0, 0 if unigram else j):
-                    piece = word[i:j]
+                if unigram:
+                    states.append(step(word, j, states))
+                    continue
+                found = (0.0, word[j - 1], j - 1)
+                for size in ends.get(word[j - 2 : j], ()) if j > 1 else ():
+                    if size > j:
+                        continue
+                    piece = word[j - size : j]
                     if piece in ids:  # pairs met before are decided here, without a call
-                        before = states[i][1]
+                        before = states[j - size][1]
                         fits = left.get((before, piece)) if before in ids else alone.get(piece)
                         if fits is None:
                             fits = self._fits(before if before in ids else None, piece)
                         if fits:
-                            found = (0.0, piece, i)
+                            found = (0.0, piece, j - size)
                             break
-                states.append(found or (step(word, j, states) if unigram else (0.0, word[j - 1], j - 1)))
+                states.append(found)
             pieces, j = [], len(word)
             while j:
                 pieces.append(states[j][1])
@@ -149,12 +161,16 @@ class Model:
         run = (MARK if self.dummy else "") + text.replace(" ", MARK)
         return _WORD.findall(run) if self.within else [run]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words: set[str] = set()
-        for t in filter(None, texts):
-            words.update(self.marked(t))
-        known = self.encode_words(words)
-        return [np.frombuffer(b"".join(map(known.__getitem__, self.marked(t))) if t else b"", np.int32) for t in texts]
+    def encode(self, texts: list[str | None], most_known: int = 1 << 19) -> list[np.ndarray]:
+        """The ids of each text. A word is walked once for as long as at most ``most_known`` words are kept."""
+        parts = [self.marked(t) if t else [] for t in texts]
+        if len(self.known) > most_known:
+            self.known.clear()
+        new: set[str] = set()
+        for p in parts:
+            new.update(p)
+        self.known.update(self.encode_words(new.difference(self.known)))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.int32) for p in parts]
 
     def decode(self, ids) -> str:
         raw = b"".join([self.text[i] for i in ids])
@@ -173,26 +189,40 @@ def load(name: str) -> Model:
     return _loaded[name]
 
 
-def encode_column(text_col: str = "text", model: str = "piece_bpe_32k.model", most: int = 16 << 20) -> Column:
-    """The ids (array<int>) of each whole text; texts share one walk in chunks of about ``most`` characters."""
+def encode_column(text_col: str = "text", model: str = "piece_bpe_32k.model") -> Column:
+    """The ids (array<int>) of each whole text. Spark repeats a column's expression wherever it is used: where ids are used twice, take ``encode_texts``."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        out, part, size = [], [], 0
-        sp = load(model)
-        for t in texts.to_pylist():
-            part.append(t)
-            size += len(t or "")
-            if size >= most:
-                out += sp.encode(part)
-                part, size = [], 0
-        out += sp.encode(part) if part else []
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+        return _ids(texts, model)
 
     return encode(F.col(text_col).cast("string"))
 
 
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
+    """doc_id, text and ids (array<int>) of each row of ``docs``, each text encoded once."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), _ids(batch.column("text"), model)], ["doc_id", "text", "ids"])
+
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
+
+
+def _ids(texts: pa.Array, model: str, most: int = 4 << 20) -> pa.ListArray:
+    """Ids of the texts, which share one walk in chunks of about ``most`` characters."""
+    out, part, size, sp = [], [], 0, load(model)
+    for t in texts.to_pylist():
+        part.append(t)
+        size += len(t or "")
+        if size >= most:
+            out += sp.encode(part)
+            part, size = [], 0
+    out += sp.encode(part) if part else []
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+
+
 def decode_column(ids: Column | str, model: str = "piece_bpe_32k.model") -> Column:
     """The text of an array of ids."""
 
