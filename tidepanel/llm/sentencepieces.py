@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, packs
 
 MARK = "▁"
 _loaded: dict[str, Model] = {}
@@ -91,7 +91,7 @@ class Model:
             return self.alone[piece]
         pair = before, piece
         if pair not in self.left:
-            if len(self.left) > 2_000_000:
+            if len(self.left) > 400_000:
                 self.left.clear()
             self.left[pair] = self.merged(before + piece) == [before, piece]
         return self.left[pair]
@@ -161,7 +161,7 @@ class Model:
         run = (MARK if self.dummy else "") + text.replace(" ", MARK)
         return _WORD.findall(run) if self.within else [run]
 
-    def encode(self, texts: list[str | None], most_known: int = 1 << 19) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], most_known: int = 1 << 18) -> list[np.ndarray]:
         """The ids of each text. A word is walked once for as long as at most ``most_known`` words are kept."""
         parts = [self.marked(t) if t else [] for t in texts]
         if len(self.known) > most_known:
@@ -194,7 +194,8 @@ def encode_column(text_col: str = "text", model: str = "piece_bpe_32k.model") ->
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        return _ids(texts, model)
+        found = list(_ids(texts, model))
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
 
     return encode(F.col(text_col).cast("string"))
 
@@ -204,23 +205,22 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), _ids(batch.column("text"), model)], ["doc_id", "text", "ids"])
+            lo = 0
+            for ids in _ids(batch.column("text"), model):
+                part = batch.slice(lo, len(ids))
+                lo += len(ids)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], ["doc_id", "text", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
-def _ids(texts: pa.Array, model: str, most: int = 4 << 20) -> pa.ListArray:
-    """Ids of the texts, which share one walk in chunks of about ``most`` characters."""
-    out, part, size, sp = [], [], 0, load(model)
-    for t in texts.to_pylist():
-        part.append(t)
-        size += len(t or "")
-        if size >= most:
-            out += sp.encode(part)
-            part, size = [], 0
-    out += sp.encode(part) if part else []
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+def _ids(texts: pa.Array, model: str, most: int = 2 << 20):
+    """Arrays of ids of the texts in order; the texts of one, about ``most`` characters, share one walk."""
+    sp, texts = load(model), texts.to_pylist()
+    for lo, hi in packs(texts, most):
+        out = sp.encode(texts[lo:hi])
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
 
 
 def decode_column(ids: Column | str, model: str = "piece_bpe_32k.model") -> Column:
