@@ -66,7 +66,7 @@ class Model:
         self.within = not any(MARK in p.lstrip(MARK) or p.startswith(MARK * 2) and p.strip(MARK) for p in self.ids)
         self.worst = min(self.score.values(), default=0.0) - 10
         self.alone: dict[str, bool] = {}  # piece -> the merges give it whole
-        self.left: dict[tuple[str, str], bool] = {}  # pair -> the merges leave it alone
+        self.left: dict[int, bool] = {}  # numbers of two pieces -> the merges leave the pair alone
 
     # what a run is when nothing is shared
 
@@ -89,7 +89,7 @@ class Model:
             self.alone[piece] = self.merged(piece) == [piece]
         if not self.alone[piece] or before is None:
             return self.alone[piece]
-        pair = before, piece
+        pair = self.ids[before] << 32 | self.ids[piece]
         if pair not in self.left:
             if len(self.left) > 400_000:
                 self.left.clear()
@@ -141,11 +141,13 @@ class Model:
                     if size > j:
                         continue
                     piece = word[j - size : j]
-                    if piece in ids:  # pairs met before are decided here, without a call
+                    number = ids.get(piece)
+                    if number is not None:  # pairs met before are decided here, without a call
                         before = states[j - size][1]
-                        fits = left.get((before, piece)) if before in ids else alone.get(piece)
+                        first = ids.get(before)
+                        fits = alone.get(piece) if first is None else left.get(first << 32 | number)
                         if fits is None:
-                            fits = self._fits(before if before in ids else None, piece)
+                            fits = self._fits(None if first is None else before, piece)
                         if fits:
                             found = (0.0, piece, j - size)
                             break
@@ -161,7 +163,7 @@ class Model:
         run = (MARK if self.dummy else "") + text.replace(" ", MARK)
         return _WORD.findall(run) if self.within else [run]
 
-    def encode(self, texts: list[str | None], most_known: int = 1 << 18) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], most_known: int = 1 << 17) -> list[np.ndarray]:
         """The ids of each text. A word is walked once for as long as at most ``most_known`` words are kept."""
         parts = [self.marked(t) if t else [] for t in texts]
         if len(self.known) > most_known:
@@ -214,7 +216,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
-def _ids(texts: pa.Array, model: str, most: int = 2 << 20):
+def _ids(texts: pa.Array, model: str, most: int = 1 << 20):
     """Arrays of ids of the texts in order; the texts of one, about ``most`` characters, share one walk."""
     sp, texts = load(model), texts.to_pylist()
     for lo, hi in packs(texts, most):
