@@ -8,19 +8,23 @@ agree in a component with the probability Jaccard of the documents.
 
 1. Documents of equal multisets form a class; only its smallest id goes on.
 2. Bands of the sketch make buckets; each member is compared with the bucket's
-   smallest member by the exact probability Jaccard.
-3. Where a bucket's members are not yet one component, its smallest member not
-   yet compared with all others is compared with those of other components; after
-   ``rounds`` such turns the remaining pairs across components are compared too,
-   but for those that their sketches or the triangle inequality rule out (1 - J_P is a metric, and both distances to the smallest
-   member are known). So every linked pair that shares a bucket is joined, and
-   no bucket lists all its pairs or is gathered in one task.
+   first by the exact probability Jaccard. The first of a bucket is its most
+   central member, the one with the largest buckets in all bands: of copies that
+   each differ a little from one text, that text.
+3. Where a bucket's members are not yet one component, its most central member
+   not yet compared with all others is compared with those of other components.
+   After some such turns the remaining pairs across components are compared too,
+   each in the first bucket that both are in, but for those that their sketches or
+   the triangle inequality rule out (1 - J_P is a metric, and both distances to
+   the bucket's first member are known). So every linked pair that shares a bucket
+   is joined, and no bucket lists all its pairs or is gathered in one task.
 4. Components of the links are the near-duplicate classes.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null
 text or one without words, and a row with a null id, is a class of its own (its
-class_id is its own id); repeated rows of one id are one document; extra columns
-are not read; an empty table gives an empty result.
+class_id is its own id); rows of one id are one document, and of its different
+texts the one with the smallest hash speaks for it; extra columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,7 +110,7 @@ def _sketch_rows(size: int, bands: int, rows: int):
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id"), text_bytes(batch.column("text"))
+            texts = text_bytes(batch.column("text"))
             for lo, hi in packs(texts):
                 words = Words(texts[lo:hi])
                 sets = [shingles(words.h[words.first[k] : words.first[k + 1]], size) for k in range(hi - lo)]
@@ -122,8 +126,8 @@ def _sketch_rows(size: int, bands: int, rows: int):
                     for key, v in zip(keys, (mix(elem + w * _GOLD), mix(mix(elem) ^ (w * _GOLD))), strict=True):
                         np.add.at(key, doc, v)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
-                columns = [ids.slice(lo, hi - lo), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n", "bands"])
+                columns = [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tag")), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "k1", "k2", "n", "bands"])
 
     return run
 
@@ -173,36 +177,44 @@ def _bit_rows(m: int, together: int = 64):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 6, rounds: int = 2, long_sketch: int = 2048
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 6, rounds: int = 2, few: int = 8, long_sketch: int = 2048
 ) -> DataFrame:
     """doc_id and class_id (the smallest id of its near-duplicate class), one row a document.
 
     With 30 bands of 6 components a pair at the threshold of 0.8 shares no
-    bucket with probability 1.1e-4. A pair left for step 3's last part is compared
-    only if its long sketches, one bit for each of ``long_sketch`` components, agree
-    in as many bits as a pair at the threshold does but for 4.5 deviations (a chance
-    of 4e-6 to miss one).
+    bucket with probability 1.1e-4. Turns of step 3 go on, ``rounds`` at most, until
+    the open pairs are no more than ``few`` for each open member. A pair left for
+    step 3's last part is compared only if its long sketches, one bit for each of
+    ``long_sketch`` components, agree in as many bits as a pair at the threshold does
+    but for 4.5 deviations (a chance of 4e-6 to miss one).
     """
-    plain = id_text(docs, id_col, text_col)
-    signs = keep(plain.where("doc_id is not null").mapInArrow(_sketch_rows(shingle, bands, rows), "doc_id long, k1 long, k2 long, n int, bands array<long>"), "sketches")
-    full = signs.where("n > 0")
+    plain = id_text(docs, id_col, text_col).withColumn("tag", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    signs = keep(plain.where("doc_id is not null").mapInArrow(_sketch_rows(shingle, bands, rows), "doc_id long, tag long, k1 long, k2 long, n int, bands array<long>"), "sketches")
+    texts = signs.groupBy("doc_id").agg(F.min("tag").alias("tag"), F.max("tag").alias("other")).where("tag < other")
+    hidden = keep(signs.select("doc_id", F.col("tag").alias("own")).join(texts, "doc_id").where("own > tag").select("doc_id", F.col("own").alias("tag")).distinct(), "hidden")
+    full = signs.where("n > 0").join(hidden, ["doc_id", "tag"], "left_anti")
     reps = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     member = full.select("doc_id", "k1", "k2", "n").join(reps, ["k1", "k2", "n"]).select("doc_id", "rep").distinct()
     member = keep(member, "members")
     lead = full.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     in_band = lead.select("doc_id", F.posexplode("bands").alias("band", "key")).distinct()
-    pivots = in_band.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("band", "key", "pivot")
-    buckets = keep(in_band.join(pivots, ["band", "key"]).select("band", "key", "doc_id", "pivot"), "buckets")
-
-    open_ids = buckets.select("doc_id").distinct()
-    sets = keep(plain.join(open_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(shingle), "doc_id long, elems binary, counts binary"), "sets")
+    sizes = in_band.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = keep(in_band.join(sizes, ["band", "key"]), "buckets")
+    # the first of a bucket is the member that meets most others in all its buckets
+    central = keep(buckets.groupBy("doc_id").agg(F.sum("size").alias("met")), "central")
+    placed = buckets.join(central, "doc_id").withColumn("order", F.struct(-F.col("met"), F.col("doc_id")))
+    pivots = placed.groupBy("band", "key").agg(F.min("order").getField("doc_id").alias("pivot"))
+    buckets = keep(placed.join(pivots, ["band", "key"]).select("band", "key", "doc_id", "met", "pivot"), "buckets-pivots")
+
+    sets = plain.join(central.select("doc_id"), "doc_id", "left_semi").join(hidden, ["doc_id", "tag"], "left_anti").dropDuplicates(["doc_id"])
+    sets = keep(sets.select("doc_id", "text").mapInArrow(_set_rows(shingle), "doc_id long, elems binary, counts binary"), "sets")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("elems").alias(f"e{x}"), F.col("counts").alias(f"c{x}")) for x in "ab")
 
     def compare(pairs: DataFrame) -> DataFrame:
         """sim of the pairs (a, b); la and lb, their labels, go along."""
         return keep(pairs.join(left, "a").join(right, "b").mapInArrow(_compared, "a long, b long, la long, lb long, sim double"), "compared")
 
-    pairs = buckets.where("doc_id > pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = buckets.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     first = compare(pairs.withColumns({"la": F.col("a"), "lb": F.col("b")}))
     labels = min_labels(first.where(F.col("sim") >= threshold).select("a", "b"), "near")
     merges: list[DataFrame] = []  # later links, between labels alone
@@ -211,44 +223,58 @@ def near_duplicates(
         up = up.select(F.col("node").alias(label), F.col("label").alias("_up"))
         return rows.join(up, label, "left").withColumn(label, F.coalesce("_up", label)).drop("_up")
 
+    def more_links(compared: DataFrame) -> bool:
+        links = compared.where(F.col("sim") >= threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        if found := not links.isEmpty():
+            merges.append(min_labels(links, "near"))
+        return found
+
     known = buckets.join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "sim"), ["doc_id", "pivot"], "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    known = known.select("band", "key", "doc_id", F.coalesce("label", "doc_id").alias("label"), (F.col("doc_id") == F.col("pivot")).alias("done"), F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("far"))
-    for turn in range(rounds + 1):
-        next_ = F.min(F.when(~F.col("done"), F.struct(F.col("doc_id").alias("doc"), "label")))
+    known = known.select("band", "key", "doc_id", "met", F.coalesce("label", "doc_id").alias("label"), (F.col("doc_id") == F.col("pivot")).alias("done"), F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("far"))
+    turn = 0
+    while True:
+        # buckets with members of several components go on, with the members not yet compared with all others
+        next_ = F.min(F.when(~F.col("done"), F.struct(-F.col("met"), F.col("doc_id").alias("doc"), "label")))
         known = keep(known, "known")
-        mixed = known.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), next_.alias("next")).where("lo < hi and next is not null")
+        mixed = known.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), next_.alias("next"), F.sum((~F.col("done")).cast("long")).alias("size"))
+        mixed = keep(mixed.where("lo < hi and size > 1").select("band", "key", "next", "size"), "mixed")
+        open_pairs = F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)
+        left_over = mixed.agg(F.sum("size").alias("members"), open_pairs.alias("pairs")).first()
         known = known.join(mixed.select("band", "key", "next"), ["band", "key"])
-        if turn == rounds:
+        if turn == rounds or not left_over.members or left_over.pairs <= few * left_over.members:
             break
-        known = keep(known, "known")
+        turn += 1
+        known = keep(known, "known-mixed")
         pairs = known.where("label <> next.label and not done")
         pairs = pairs.select(F.col("doc_id").alias("a"), F.col("next.doc").alias("b"), F.col("label").alias("la"), F.col("next.label").alias("lb")).distinct()
-        more = compare(pairs).where(F.col("sim") >= threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        known = known.select("band", "key", "doc_id", "label", (F.col("done") | (F.col("doc_id") == F.col("next.doc"))).alias("done"), "far")
-        if not more.isEmpty():
-            merges.append(min_labels(more, "near"))
+        found = more_links(compare(pairs))
+        known = known.select("band", "key", "doc_id", "met", "label", (F.col("done") | (F.col("doc_id") == F.col("next.doc"))).alias("done"), "far")
+        if found:
             known = merged(known, "label", merges[-1])
-    reach = 1 - threshold + 1e-9
-    same = (1 + threshold) / 2  # of the bits of a pair at the threshold
-    differ = int(long_sketch * (1 - same) + 4.5 * (long_sketch * same * (1 - same)) ** 0.5) + 1
-    known = known.where("not done")
-    held = sets.join(known.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_bit_rows(long_sketch), "doc_id long, bits array<long>")
-    open_ = keep(known.join(held, "doc_id").withColumn("slot", F.floor(F.col("far") / reach)), "open")
-    x = open_.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"), F.col("bits").alias("sa"), F.explode(F.sequence(F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
-    y = open_.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"), F.col("bits").alias("sb"), "slot")
-    near = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach)
-    near = near & (sum(F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(long_sketch // 64)) <= differ)
-    rest = keep(x.join(y, ["band", "key", "slot"]).where(near).select("a", "b", "la", "lb").distinct(), "rest")
-    if not rest.isEmpty():
-        more = compare(rest).where(F.col("sim") >= threshold).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        if not more.isEmpty():
-            merges.append(min_labels(more, "near"))
+    if left_over.members:
+        reach = 1 - threshold + 1e-9
+        same = (1 + threshold) / 2  # of the bits of a pair at the threshold
+        differ = int(long_sketch * (1 - same) + 4.5 * (long_sketch * same * (1 - same)) ** 0.5) + 1
+        known = known.where("not done")
+        ids = keep(known.select("doc_id").distinct(), "open-ids")
+        held = sets.join(ids, "doc_id", "left_semi").mapInArrow(_bit_rows(long_sketch), "doc_id long, bits array<long>")
+        held = held.join(lead.join(ids, "doc_id", "left_semi").select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
+        open_ = keep(known.join(held, "doc_id").withColumn("slot", F.floor(F.col("far") / reach)), "open")
+        parts = (("doc_id", ""), ("label", "l"), ("far", "f"), ("bits", "s"), ("bands", "k"))
+        x = open_.select("band", "key", *(F.col(c).alias(f"{n}a") for c, n in parts), F.explode(F.sequence(F.col("slot") - 1, F.col("slot") + 1)).alias("slot"))
+        y = open_.select("band", "key", *(F.col(c).alias(f"{n}b") for c, n in parts), "slot")
+        near = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach)
+        # a pair is made in the first bucket that both are in; where that bucket is not mixed, or one of them is done in it, the pair is settled
+        for i in range(bands - 1):
+            near = near & ((F.col("band") <= i) | (F.get("ka", F.lit(i)) != F.get("kb", F.lit(i))))
+        near = near & (sum(F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(long_sketch // 64)) <= differ)
+        more_links(compare(keep(x.join(y, ["band", "key", "slot"]).where(near).select("a", "b", "la", "lb").distinct(), "rest")))
 
     classed = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     for up in merges:
         classed = merged(classed, "class_id", up)
     classed = classed.select("doc_id", "class_id")
-    alone = signs.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
+    alone = signs.where("n = 0").join(hidden, ["doc_id", "tag"], "left_anti").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
     none = plain.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return classed.union(alone).union(none)
 
