@@ -1,37 +1,40 @@
 """Line dedup: a line goes if an earlier one (smaller document id, then smaller line number) is near it.
 
-Two lines of ``min_words`` words or more are near if their edit distance in
-words is at most max(1, share × the words of the shorter line). With a
-short_share above 0, so are two lines of which the longer has ``min_words``
-words, and two lines of fewer words are near if their edit distance in
-characters is at most short_share × the characters of the shorter line (words
-joined by one space). Equal lines are near whatever their length. The bounds are
-rounded down.
+Two lines of which the longer has ``min_words`` words or more are near if their
+edit distance in words is at most one for each ``words_per_edit`` words of the
+longer, ``most_edits`` at most. Shorter lines are near if their edit distance in
+characters (words joined by one space) is at most one for each ``chars_per_edit``
+characters of the longer, ``most_char_edits`` at most. Equal lines are near
+whatever their length.
 
 1. Equal lines: the first of each is kept.
-2. At k edits two lines share all but k of their words, so if the words stand in
-   one order for all lines, rarest first, they share one of the first k + 1 of
-   each (the third same word of a line is another word than its first). These are
-   a line's keys. For characters the same holds with runs of three, of which an
-   edit changes three. The order comes from a sample of the lines; it changes the
-   cost alone.
-3. Lines with a common key are candidates if their lengths and the parities of
-   128 word classes allow the bound; a line has its nearest ``most`` of a key
+2. Deletion neighbourhood: at k edits two lines share all but k words of the
+   longer, so of the k + 2 words of each that come first in one order of all
+   words, rarest first, they share two (the third same word of a line is another
+   word than its first). A line's keys are the hashes of all variants that leave
+   out k of these k + 2 words. For characters the same holds with runs of three,
+   of which an edit changes three. The order comes from a sample of the lines; it
+   changes the cost alone.
+3. Lines with an equal variant are candidates if their lengths and the parities of
+   64 word classes allow the bound; a line has its nearest ``most`` of a key
    compared, and only if none is near, all the others too.
 4. The edit distance is computed before a line goes.
 
 Defined results: lines end at "\\n"; words are what stands between white space,
 so lines equal but for white space are equal; lines without words stay and are
 counted in n_lines alone; a null text has no lines; a row with a null id loses
-nothing and takes no part; rows with the same id are one document; extra columns
-are not read; an empty table gives an empty result.
+nothing and takes no part; of rows with the same id each text is a document of
+its own, in the order of the texts' hashes, and rows equal in both are one
+document; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, keep, packs, text_bytes
@@ -39,27 +42,7 @@ from .textkit import Words, _tables, mix
 
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def left_out(h: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of the runs that leave out word 0, 1, ...; equal to the hash of the shorter run itself."""
-    powers, _ = _tables(base, len(h) + 1)
-    with np.errstate(over="ignore"):
-        low = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)], dtype=np.uint64)))
-        high = np.cumsum((h[1:] * powers[: len(h) - 1])[::-1], dtype=np.uint64)[::-1]
-        return mix(low[:-1] + np.concatenate((high, np.zeros(1, np.uint64))))
-
-
-def one_edit(x: np.ndarray, y: np.ndarray) -> bool:
-    """True if y is x with one entry inserted, deleted or replaced, or is equal to it."""
-    if abs(len(x) - len(y)) > 1:
-        return False
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[:n] != y[:n])
-    i = int(differ[0]) if len(differ) else n
-    if len(x) == len(y):
-        return bool((x[i + 1 :] == y[i + 1 :]).all())
-    return bool((x[i + 1 :] == y[i:]).all() if len(x) > len(y) else (x[i:] == y[i + 1 :]).all())
+_NUMBER = 0xFFFFFFFF
 
 
 def _segments(h: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
@@ -100,13 +83,24 @@ def distance(x: list, y: list, most: int) -> int:
     return score
 
 
-def word_bound(n, share: float):
-    """Edits allowed among n words."""
-    return np.maximum(1, np.floor(share * np.asarray(n) + 1e-9).astype(np.int64))
+@dataclass(frozen=True)
+class Bounds:
+    """Edits allowed, and what a line must emit to meet every longer line it can be near."""
 
+    min_words: int = 10
+    words_per_edit: int = 10
+    most_edits: int = 4
+    chars_per_edit: int = 10
+    most_char_edits: int = 2
 
-def char_bound(n, share: float):
-    return np.floor(share * np.asarray(n) + 1e-9).astype(np.int64)
+    def allowed(self, chars, longer):
+        """Edits between two lines of which the longer has ``longer`` words, or characters where ``chars`` is true."""
+        return np.where(chars, np.minimum(self.most_char_edits, longer // self.chars_per_edit), np.minimum(self.most_edits, longer // self.words_per_edit))
+
+    def met(self, chars: bool, n: np.ndarray) -> np.ndarray:
+        """The most edits allowed between a line of size n and any longer one."""
+        per, most = (self.chars_per_edit, self.most_char_edits) if chars else (self.words_per_edit, self.most_edits)
+        return np.minimum(most, n // (per - 1))
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +115,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[text[:-2] == text[2:]], np.maximum(size - 2, 0)
 
 
-def _rarest(h: np.ndarray, count: np.ndarray, need: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of ``count`` entries of h: its ``need`` rarest keys, how many they are, and the parities of the 128 classes."""
+def _variants(h: np.ndarray, count: np.ndarray, gone: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of ``count`` entries of h: the hashes of all pairs of its ``gone`` + 2 rarest (none where gone is 0), how many they are, and the parities of the 64 classes."""
     count = np.asarray(count, np.int64)
     owner = np.repeat(np.arange(len(count)), count)
     order = np.lexsort((h, owner))
@@ -131,20 +125,24 @@ def _rarest(h: np.ndarray, count: np.ndarray, need: np.ndarray, common: tuple[np
     again = place - np.maximum.accumulate(np.where(start, place, 0))
     with np.errstate(over="ignore"):
         key = mix(h + again.astype(np.uint64) * _PLACE)
-    bit = np.uint64(1) << (key & np.uint64(63))
-    high = (key >> np.uint64(6) & np.uint64(1)).astype(bool)
-    parity, some = np.zeros((len(count), 2), np.uint64), np.flatnonzero(count)
-    first = (np.cumsum(count) - count)[some]
+    parity, some = np.zeros(len(count), np.uint64), np.flatnonzero(count)
     if len(some):
-        parity[some, 0] = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), first)
-        parity[some, 1] = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), first)
+        parity[some] = np.bitwise_xor.reduceat(np.uint64(1) << (key & np.uint64(63)), (np.cumsum(count) - count)[some])
     rank = np.zeros(len(h), np.int64)
     if len(common[0]):
         spot = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
         rank = np.where(common[0][spot] == h, common[1][spot], 0)
-    order = np.lexsort((key, rank, owner))
-    in_line = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
-    return key[order[in_line < np.repeat(need, count)]], np.minimum(need, count), parity
+    key = key[np.lexsort((key, rank, owner))]
+    held, many = np.where(gone > 0, np.minimum(gone + 2, count), 0), np.zeros(len(count), np.int64)
+    many = held * (held - 1) // 2
+    out, first, put = np.zeros(many.sum(), np.uint64), np.cumsum(count) - count, np.cumsum(many) - many
+    for c in np.unique(held[held > 1]):
+        own = np.flatnonzero(held == c)
+        rarest = key[first[own][:, None] + np.arange(c)]
+        i, j = np.triu_indices(c, 1)
+        with np.errstate(over="ignore"):
+            out[put[own][:, None] + np.arange(len(i))] = mix(rarest[:, i] * _PLACE + rarest[:, j])
+    return out, many, parity
 
 
 def _pack_lines(texts: list[bytes | None]):
@@ -178,12 +176,12 @@ def _sampled(min_words: int):
     return run
 
 
-def _line_rows(min_words: int, share: float, short_share: float, common: tuple[np.ndarray, np.ndarray]):
-    """A row for each distinct line of a document: its hash, its line numbers, its size in words and characters, its keys and parities by words and by characters."""
+def _line_rows(bounds: Bounds, common: tuple[np.ndarray, np.ndarray]):
+    """A row for each distinct line of a document: its hash, its line numbers, its size in words and characters, its variants and parities by words and by characters."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id"), text_bytes(batch.column("text"))
+            texts = text_bytes(batch.column("text"))
             for lo, hi in packs(texts):
                 words, a, b, doc, number = _pack_lines(texts[lo:hi])
                 if not len(a):
@@ -196,51 +194,49 @@ def _line_rows(min_words: int, share: float, short_share: float, common: tuple[n
                 new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (n[1:] != n[:-1])))
                 at = np.flatnonzero(new)
                 a, b, m = a[at], b[at], n[at]
-                long = np.where(m + (word_bound(m, share) if short_share > 0 else 0) >= min_words, m, 0)
+                long = np.where(m + bounds.met(False, m) >= bounds.min_words, m, 0)
                 h = words.h[np.repeat(a - (np.cumsum(long) - long), long) + np.arange(long.sum())]
-                keys, many, parity = _rarest(h, long, word_bound(m, share) + 1, common)
-                columns = [ids.take(pa.array(doc[at])), pa.array(k1[at].view(np.int64)), pa.array(k2[at].astype(np.int32)), pa.array(m.astype(np.int32))]
-                lists = [pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(number.astype(np.int32)))]
-                lists += [_lists(keys, many), pa.array(parity[:, 0].view(np.int64)), pa.array(parity[:, 1].view(np.int64))]
-                short = (m < min_words) & (short_share > 0)
+                keys, many, parity = _variants(h, long, bounds.met(False, long), common)
+                columns = [*(batch.column(c).take(pa.array(doc[at])) for c in ("doc_id", "tag")), pa.array(k1[at].view(np.int64)), pa.array(k2[at].astype(np.int32)), pa.array(m.astype(np.int32))]
+                columns += [pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(number.astype(np.int32)))]
+                columns += [_lists(keys, many), pa.array(parity.view(np.int64))]
+                short = np.flatnonzero(m < bounds.min_words)
                 plain = _squeezed(words, a[short], b[short])
-                size, many, parity = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), np.zeros((len(m), 2), np.uint64)
+                size, many, parity = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), np.zeros(len(m), np.uint64)
                 size[short] = [len(t) for t in plain]
-                bound = char_bound(size[short], short_share)
                 h, count = _grams(plain)
-                keys, many[short], parity[short] = _rarest(h, count, np.where(bound > 0, 3 * bound + 1, 0), common)
-                lists += [pa.array(size.astype(np.int32)), _lists(keys, many), pa.array(parity[:, 0].view(np.int64)), pa.array(parity[:, 1].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns + lists, [x.split()[0] for x in _LINES.split(", ")])
+                keys, many[short], parity[short] = _variants(h, count, 3 * bounds.met(True, size[short]), common)
+                columns += [pa.array(size.astype(np.int32)), _lists(keys, many), pa.array(parity.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _LINES.split(", ")])
 
     return run
 
 
-_LINES = "doc_id long, k1 long, k2 int, n int, numbers array<int>, keys array<long>, p long, q long, chars int, grams array<long>, gp long, gq long"
+_LINES = "doc_id long, tag int, k1 long, k2 int, n int, numbers array<int>, keys array<long>, p long, chars int, grams array<long>, gp long"
 
 
 def _lists(flat: np.ndarray, count: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-_CANDIDATES = "kind boolean, key long, doc_id long, line int, other_doc long, other_line int"
+_CANDIDATES = "kind boolean, key long, doc_id long, line long, other_doc long, other_line long"
 
 
-def _candidates(min_words: int, share: float, short_share: float, most: int | None):
+def _candidates(bounds: Bounds, most: int | None):
     """From rows sorted by key, document and line: pairs of a line and an earlier one of its key; a pair without the other line says that a line has more than ``most``."""
 
-    def pairs(kind, key, doc, line, n, size, p, q, asks):
-        p, q = p.view(np.uint64), q.view(np.uint64)
-        bound = np.where(kind, char_bound(size, short_share), word_bound(n, share))
+    def pairs(kind, key, doc, line, n, size, p, asks):
+        p, size = p.view(np.uint64), size.astype(np.int64)
         found, out, active, d = np.zeros(len(key), np.int64), [], np.flatnonzero(asks), 0
         while len(active):
             d += 1
             active = active[active >= d]
             active = active[(key[active] == key[active - d]) & (kind[active] == kind[active - d])]
             i, j = active, active - d
-            k = np.minimum(bound[i], bound[j])
-            changed = np.bitwise_count(p[i] ^ p[j]).astype(np.int64) + np.bitwise_count(q[i] ^ q[j])
+            k = bounds.allowed(kind[i], np.maximum(size[i], size[j]))
+            changed = np.bitwise_count(p[i] ^ p[j]).astype(np.int64)
             ok = (np.abs(size[i] - size[j]) <= k) & (changed <= np.where(kind[i], 6, 2) * k) & ((doc[i] != doc[j]) | (line[i] != line[j]))
-            ok &= kind[i] == (np.maximum(n[i], n[j]) < min_words)
+            ok &= kind[i] == (np.maximum(n[i], n[j]) < bounds.min_words)
             over = ok & (found[i] == most) if most else np.zeros(len(i), bool)
             out += [(i[over], np.full(over.sum(), -1)), (i[ok & ~over], j[ok & ~over])]
             found[i[ok]] += 1
@@ -252,7 +248,7 @@ def _candidates(min_words: int, share: float, short_share: float, most: int | No
         return pa.RecordBatch.from_arrays([pa.array(kind[i]), pa.array(key[i]), pa.array(doc[i]), pa.array(line[i]), pa.array(doc[j], mask=gone), pa.array(line[j], mask=gone)], [x.split()[0] for x in _CANDIDATES.split(", ")])
 
     def run(batches):
-        names, rest = ("kind", "key", "doc_id", "line", "n", "size", "p", "q", "asks"), None
+        names, rest = ("kind", "key", "doc_id", "line", "n", "size", "p", "asks"), None
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             if rest is not None:
@@ -272,22 +268,18 @@ def _candidates(min_words: int, share: float, short_share: float, most: int | No
 def _open_lines(batches):
     """The listed lines, white space squeezed."""
     for batch in batches:
-        ids, numbers, texts = batch.column("doc_id").to_pylist(), batch.column("numbers").to_pylist(), text_bytes(batch.column("text"))
+        ids, listed, texts = batch.column("doc_id").to_pylist(), batch.column("listed").to_pylist(), text_bytes(batch.column("text"))
         out = []
-        for d, want, t in zip(ids, numbers, texts, strict=True):
+        for d, want, t in zip(ids, listed, texts, strict=True):
             lines = t.split(b"\n")
-            out += [(d, i, b" ".join(lines[i].split())) for i in want if i < len(lines)]  # rows with one id may differ
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "line", "words"])
+            out += [(d, i, b" ".join(lines[i & _NUMBER].split())) for i in want]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "line", "words"])
 
 
-def _verified(share: float, short_share: float):
+def _verified(bounds: Bounds):
     def near(kind: bool, x: bytes, y: bytes) -> bool:
-        if kind:
-            x, y = x.decode("utf-8", "replace"), y.decode("utf-8", "replace")
-            k = int(char_bound(min(len(x), len(y)), short_share))
-        else:
-            x, y = x.split(b" "), y.split(b" ")
-            k = int(word_bound(min(len(x), len(y)), share))
+        x, y = (x.decode("utf-8", "replace"), y.decode("utf-8", "replace")) if kind else (x.split(b" "), y.split(b" "))
+        k = int(bounds.allowed(kind, max(len(x), len(y))))
         return distance(x, y, k) <= k
 
     def run(batches):
@@ -319,32 +311,36 @@ def _common(plain: DataFrame, min_words: int, most: int = 1 << 16) -> tuple[np.n
     return h[order], n[order]
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, share: float = 0.0, short_share: float = 0.0, most: int = 2) -> DataFrame:
-    """doc_id and removed (line numbers from 0), for the documents that lose lines."""
-    if not (0 <= share < 1 and 0 <= short_share <= 0.125):
-        raise ValueError("near lines share a word, and near short lines a run of three characters")
-    plain = id_text(docs, id_col, text_col).where("doc_id is not null")
-    lines = keep(plain.mapInArrow(_line_rows(min_words, share, short_share, _common(plain, min_words)), _LINES), "lines")
-    first = lines.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("low"))
-    marked = lines.select("doc_id", "k1", "k2", "n", "numbers").join(first, ["k1", "k2", "n"])
-    again = marked.select("doc_id", F.explode(F.when(F.col("doc_id") == F.col("low"), F.slice("numbers", 2, 1 << 30)).otherwise(F.col("numbers"))).alias("line"))
-
-    firsts = lines.join(first.withColumnRenamed("low", "doc_id"), ["k1", "k2", "n", "doc_id"], "left_semi")
-    ends = ("doc_id", F.element_at("numbers", 1).alias("line"), "n")
-    by_words = firsts.select(F.lit(False).alias("kind"), F.explode("keys").alias("key"), *ends, F.col("n").alias("size"), "p", "q")
-    by_chars = firsts.select(F.lit(True).alias("kind"), F.explode("grams").alias("key"), *ends, F.col("chars").alias("size"), F.col("gp").alias("p"), F.col("gq").alias("q"))
+def line_tag(text_col: str = "text") -> Column:
+    """Tells the different texts of one id apart."""
+    return F.coalesce(F.xxhash64(text_col).bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int")
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: Bounds = Bounds(), most: int = 2) -> DataFrame:
+    """doc_id, tag (``line_tag`` of the text) and removed (line numbers from 0), for the documents that lose lines."""
+    plain = id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("tag", line_tag())
+    lines = keep(plain.mapInArrow(_line_rows(bounds, _common(plain, bounds.min_words)), _LINES), "lines")
+    first = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "tag")).alias("low"))
+    first = first.select("k1", "k2", "n", F.col("low.doc_id").alias("low"), F.col("low.tag").alias("low_tag"))
+    marked = keep(lines.join(first, ["k1", "k2", "n"]).withColumn("first", (F.col("doc_id") == F.col("low")) & (F.col("tag") == F.col("low_tag"))).drop("low", "low_tag"), "marked")
+    again = marked.select("doc_id", F.explode(F.transform(F.when(F.col("first"), F.slice("numbers", 2, 1 << 30)).otherwise(F.col("numbers")), _tagged)).alias("line"))
+
+    ends = ("doc_id", _tagged(F.element_at("numbers", 1)).alias("line"), "n")
+    by_words = marked.where("first").select(F.lit(False).alias("kind"), F.explode("keys").alias("key"), *ends, F.col("n").alias("size"), "p")
+    by_chars = marked.where("first").select(F.lit(True).alias("kind"), F.explode("grams").alias("key"), *ends, F.col("chars").alias("size"), F.col("gp").alias("p"))
     keys = by_words.unionByName(by_chars)
 
     def candidates(rows: DataFrame, most: int | None, name: str) -> DataFrame:
         dealt = rows.repartition("kind", "key").sortWithinPartitions("kind", "key", "doc_id", "line")
-        return keep(dealt.mapInArrow(_candidates(min_words, share, short_share, most), _CANDIDATES), name)
+        return keep(dealt.mapInArrow(_candidates(bounds, most), _CANDIDATES), name)
 
     def near(found: DataFrame, name: str) -> DataFrame:
         pairs = found.where("other_doc is not null").select("kind", "doc_id", "line", "other_doc", "other_line").distinct()
-        listed = pairs.select("doc_id", "line").union(pairs.select("other_doc", "other_line")).groupBy("doc_id").agg(F.collect_set("line").alias("numbers"))
-        words = keep(plain.join(listed, "doc_id").where("text is not null").select("doc_id", "text", "numbers").mapInArrow(_open_lines, "doc_id long, line int, words binary"), f"{name}-words")
+        tag = F.shiftright("line", 32).cast("int").alias("tag")
+        listed = pairs.select("doc_id", "line").union(pairs.select("other_doc", "other_line")).groupBy("doc_id", tag).agg(F.collect_set("line").alias("listed"))
+        words = keep(plain.join(listed, ["doc_id", "tag"]).select("doc_id", "text", "listed").mapInArrow(_open_lines, "doc_id long, line long, words binary").dropDuplicates(["doc_id", "line"]), f"{name}-words")
         there = words.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others"))
-        return keep(pairs.join(words, ["doc_id", "line"]).join(there, ["other_doc", "other_line"]).select("kind", "doc_id", "line", "words", "others").mapInArrow(_verified(share, short_share), "doc_id long, line int").distinct(), name)
+        return keep(pairs.join(words, ["doc_id", "line"]).join(there, ["other_doc", "other_line"]).select("kind", "doc_id", "line", "words", "others").mapInArrow(_verified(bounds), "doc_id long, line long").distinct(), name)
 
     found = candidates(keys.withColumn("asks", F.lit(True)), most, "candidates")
     gone = near(found, "near")
@@ -354,11 +350,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rest = some.join(more.withColumn("asks", F.lit(True)), ["kind", "key", "doc_id", "line"], "left").fillna(False, ["asks"])
         gone = gone.union(near(candidates(rest, None, "candidates-rest"), "near-rest"))
     # the copies of a line that goes have gone with the equal lines
-    return again.union(gone).groupBy("doc_id").agg(F.collect_set("line").alias("removed"))
+    number = F.col("line").bitwiseAND(_NUMBER).cast("int")
+    return again.union(gone).groupBy("doc_id", F.shiftright("line", 32).cast("int").alias("tag")).agg(F.collect_set(number).alias("removed"))
+
+
+def _tagged(number: Column) -> Column:
+    """A line's number within all rows of its id."""
+    return F.shiftleft(F.col("tag").cast("long"), 32).bitwiseOR(number.cast("long"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, share: float = 0.0, short_share: float = 0.0) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
     """doc_id, n_lines, n_removed and text (the kept lines joined by "\\n"), a row for each row of ``docs``."""
-    gone = removed_lines(docs, id_col, text_col, min_words, share, short_share)
-    plain = id_text(docs, id_col, text_col)
-    return plain.join(gone, "doc_id", "left").select("doc_id", "text", "removed").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, text string")
+    gone = removed_lines(docs, id_col, text_col, bounds)
+    plain = id_text(docs, id_col, text_col).withColumn("tag", line_tag())
+    return plain.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "removed").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, text string")
