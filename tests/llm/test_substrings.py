@@ -27,7 +27,7 @@ def brute(docs, window):
 
 def run(spark, docs, **kw):
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], SCHEMA)
-    return sorted((tuple(r) for r in remove_repeats(df, **kw).collect()), key=str)
+    return sorted((tuple(r) for r in remove_repeats(df, **kw).drop("tag").collect()), key=str)
 
 
 def test_against_brute_force(spark):
@@ -57,3 +57,14 @@ def test_edges(spark):
     assert got[1][2] == 0 and got[2][2] == 30 and got[None][2] == 0 and got[3][1:3] == (0, 0) and got[6][2] == 30 and got[6][3] == "x"
     assert got[7][2] == 26 and got[7][1] == 30
     assert run(spark, [], window=20, gram=5) == []
+
+
+def test_production_window_with_ids_of_several_texts(spark):
+    """The production window; null ids, repeated ids with other texts, a very long text, a passage in every document."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(500)]
+    hot, other = ([rng.choice(vocab) for _ in range(n)] for n in (130, 55))
+    docs = [(d, " ".join([rng.choice(vocab) for _ in range(rng.randint(0, 40))] + hot[d % 7 :] + ([] if d % 3 else other) + [rng.choice(vocab)])) for d in range(0, 80, 2)]
+    long = [rng.choice(vocab) for _ in range(30_000)]
+    docs += [(90, " ".join(long)), (91, " ".join(long[:200] + ["x"] + long[200:])), (None, docs[0][1]), (None, docs[1][1]), (4, " ".join(other)), (4, "z " + docs[0][1])]
+    assert run(spark, docs) == brute(docs, 50)

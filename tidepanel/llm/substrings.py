@@ -34,7 +34,7 @@ from .textkit import Words, _slide, anchors, windows
 _SECOND = 0xA0761D6478BD642F
 _WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int32()), ("bucket", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
 _PASSAGES = pa.schema([("bucket", pa.int32()), ("source", pa.int64()), ("words", pa.binary())])
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
+_KEPT = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
 
 def _anchor_rows(window: int, gram: int):
@@ -130,12 +130,10 @@ def _passage_rows(window: int):
     return run
 
 
-def compile_automaton(passages: list[list[bytes]], block: int):
-    """The word numbers of the passages and an automaton of their aligned blocks; a block's value lists its (passage, offset) places."""
-    number: dict[bytes, int] = {}
-    arrays = [np.array([number.setdefault(w, len(number) + 1) for w in p], np.int64) for p in passages]
+def compile_automaton(passages: list[np.ndarray], block: int):
+    """An automaton of the aligned blocks of the passages (word numbers, from 1); a block's value lists its (passage, offset) places."""
     places: dict[tuple, list] = {}
-    for c, ids in enumerate(arrays):
+    for c, ids in enumerate(passages):
         for o in range(0, len(ids) - block + 1, block):
             places.setdefault(tuple(ids[o : o + block].tolist()), []).append((c, o))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -143,24 +141,36 @@ def compile_automaton(passages: list[list[bytes]], block: int):
         automaton.add_word(key, value)
     if places:
         automaton.make_automaton()
-    return number, arrays, automaton if places else None
+    return automaton if places else None
 
 
-def cover(doc: np.ndarray, allowed, arrays: list[np.ndarray], automaton, block: int, window: int) -> np.ndarray:
-    """True for each word inside an occurrence of ``window`` or more words of an allowed passage."""
+def _runs(true: np.ndarray):
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], true, [False])).view(np.int8)))
+    return zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)
+
+
+def cover(doc: np.ndarray, allowed, passages: list[np.ndarray], automaton, block: int, window: int, equal) -> np.ndarray:
+    """True for each word inside an occurrence of ``window`` or more words of an allowed passage.
+
+    ``doc`` holds word numbers, 0 for words of no passage; ``equal(a, b, passage, at)``
+    says whether the words a to b - 1 are those of the passage from ``at`` on.
+    """
     covered, seen = np.zeros(len(doc), bool), set()
-    for end, value in automaton.iter(tuple(doc.tolist())):
-        for c, o in value:
-            shift = end - block + 1 - o
-            if not allowed[c] or (c, shift) in seen:
-                continue
-            seen.add((c, shift))
-            a, b = max(0, shift), min(len(doc), shift + len(arrays[c]))
-            same = doc[a:b] == arrays[c][a - shift : b - shift]
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).view(np.int8)))
-            for x, y in zip(edge[::2], edge[1::2], strict=True):
-                if y - x >= window:
-                    covered[a + x : a + y] = True
+    for lo, hi in _runs(doc > 0):
+        if hi - lo < window:
+            continue
+        for end, value in automaton.iter(tuple(doc[lo:hi].tolist())):
+            for c, o in value:
+                shift = lo + end - block + 1 - o
+                if not allowed[c] or (c, shift) in seen:
+                    continue
+                seen.add((c, shift))
+                a, b = max(0, shift), min(len(doc), shift + len(passages[c]))
+                if covered[a:b].all():
+                    continue
+                for x, y in _runs(doc[a:b] == passages[c][a - shift : b - shift]):
+                    if y - x >= window and equal(a + x, a + y, c, a + x - shift):
+                        covered[a + x : a + y] = True
     return covered
 
 
@@ -168,19 +178,28 @@ def _kept_rows(window: int):
     block = window // 2
 
     def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
-        ids, texts, out = docs.column("doc_id").to_pylist(), text_bytes(docs.column("text")), []
-        source = passages.column("source").to_numpy()
-        number, arrays, automaton = compile_automaton([p.split(b" ") for p in passages.column("words").to_pylist()], block)
-        for doc_id, text in zip(ids, texts, strict=True):
-            words = Words([text]).text(0, None) if text else []
-            removed = 0
-            if automaton is not None and doc_id is not None and len(words) >= window:
-                doc = np.array([number.get(w, 0) for w in words], np.int64)
-                covered = cover(doc, source < doc_id, arrays, automaton, block, window)
-                if removed := int(covered.sum()):
-                    out.append((doc_id, len(words), removed, b" ".join([words[i] for i in np.flatnonzero(~covered)]).decode()))
-            if not removed:
-                out.append((doc_id, len(words), 0, b" ".join(words).decode()))
+        ids, tags, texts, out = docs.column("doc_id").to_pylist(), docs.column("tag").to_pylist(), text_bytes(docs.column("text")), []
+        least: dict[bytes, int] = {}
+        for p, d in zip(passages.column("words").to_pylist(), passages.column("source").to_pylist(), strict=True):
+            least[p] = min(least.get(p, d), d)
+        source, given = np.array(list(least.values()), np.int64), [p.split(b" ") for p in least]
+        held = Words([b" ".join(p) for p in given])
+        numbers, number = np.unique(held.h, return_inverse=True)  # a word's number is the place of its hash; words are compared where numbers agree
+        arrays = [number[held.first[c] : held.first[c + 1]] + 1 for c in range(len(given))]
+        automaton = compile_automaton(arrays, block)
+        for lo, hi in packs(texts):
+            words = Words(texts[lo:hi]) if automaton is not None else None
+            for k in range(lo, hi):
+                split, removed = (texts[k] or b"").split(), 0
+                if words is not None and ids[k] is not None and len(split) >= window:
+                    h = words.h[words.first[k - lo] : words.first[k - lo + 1]]
+                    at = np.minimum(np.searchsorted(numbers, h), len(numbers) - 1)
+                    doc = np.where(numbers[at] == h, at + 1, 0)
+                    covered = cover(doc, source < ids[k], arrays, automaton, block, window, lambda a, b, c, o, split=split: split[a:b] == given[c][o : o + b - a])
+                    if removed := int(covered.sum()):
+                        out.append((ids[k], tags[k], len(split), removed, b" ".join([split[i] for i in np.flatnonzero(~covered)]).decode()))
+                if not removed:
+                    out.append((ids[k], tags[k], len(split), 0, b" ".join(split).decode()))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _KEPT.types, strict=True)], schema=_KEPT) if out else _KEPT.empty_table()
 
     return run
@@ -192,16 +211,17 @@ def _schema(s: pa.Schema) -> str:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 8) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept words joined by one space, a row for each row of ``docs``."""
+    """doc_id, tag (xxhash64 of the text), n_words, n_removed and the kept words joined by one space, a row for each row of ``docs``."""
     if not 1 <= gram <= window // 2:
         raise ValueError("gram must be between 1 and half the window")
     plain = id_text(docs, id_col, text_col)
     buckets = bucket_count(plain)
 
-    def home(column: str):
+    def home(column):
         return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
-    plain = plain.select(home("doc_id").alias("bucket"), "doc_id", "text")
+    tag = F.xxhash64("text")
+    plain = plain.select(home(F.coalesce("doc_id", tag)).alias("bucket"), "doc_id", tag.alias("tag"), "text")
     grams = keep(plain.where("doc_id is not null").mapInArrow(_anchor_rows(window, gram), "gram long, doc_id long, bucket int"), "grams")
     often = grams.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram")
     shared = keep(grams.join(often, "gram").select("bucket", "doc_id", "gram"), "shared")
