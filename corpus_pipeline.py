@@ -6,7 +6,9 @@ left. ``run`` writes each stage's result as Parquet and reads it for the next.
 
 Nulls: a row with a null id passes the deduplicating stages unchanged; a null
 text scores as an empty one. A document of which a deduplicating stage leaves no
-word is left out. Rows with the same id are one document.
+word is left out. Rows with the same id and text are one document; of rows with
+the same id and other texts, lines and passages are judged in each by itself, and
+near duplicates by the text with the smallest hash.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import keep, read
-from tidepanel.llm.lines import removed_lines
+from tidepanel.llm.lines import line_tag, removed_lines
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.probminhash import near_duplicates, one_of_each
 from tidepanel.llm.quality import fit_quality, held_out, score_column
 from tidepanel.llm.substrings import remove_repeats
 
-_NEW = "_tidepanel_new"
+_NEW, _TAG = "_tidepanel_new", "_tidepanel_tag"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +40,11 @@ def _with_text(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = removed_lines(docs, share=0.2, short_share=0.1).withColumnRenamed("removed", _NEW)
+    gone = removed_lines(docs).withColumnsRenamed({"removed": _NEW, "tag": _TAG})
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _NEW)
     text = F.when(F.col(_NEW).isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return _with_text(docs.join(gone, "doc_id", "left").withColumn(_NEW, text)).select(docs.columns)
+    return _with_text(docs.withColumn(_TAG, line_tag()).join(gone, ["doc_id", _TAG], "left").withColumn(_NEW, text)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +52,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    changed = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias(_NEW)).dropDuplicates(["doc_id"])
-    return _with_text(docs.join(changed, "doc_id", "left")).select(docs.columns)
+    changed = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("tag").alias(_TAG), F.col("text").alias(_NEW)).dropDuplicates(["doc_id", _TAG])
+    return _with_text(docs.withColumn(_TAG, F.xxhash64("text")).join(changed, ["doc_id", _TAG], "left")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
