@@ -115,8 +115,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[text[:-2] == text[2:]], np.maximum(size - 2, 0)
 
 
-def _variants(h: np.ndarray, count: np.ndarray, gone: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of ``count`` entries of h: the hashes of all pairs of its ``gone`` + 2 rarest (none where gone is 0), how many they are, and the parities of the 64 classes."""
+def _variants(h: np.ndarray, count: np.ndarray, gone: np.ndarray, common: tuple[np.ndarray, np.ndarray], chars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of ``count`` entries of h: the hashes of all pairs of its ``gone`` + 2 rarest (none where gone is 0), how many they are, and the parities of the 64 classes. A hash is odd where it stands for characters."""
     count = np.asarray(count, np.int64)
     owner = np.repeat(np.arange(len(count)), count)
     order = np.lexsort((h, owner))
@@ -141,7 +141,7 @@ def _variants(h: np.ndarray, count: np.ndarray, gone: np.ndarray, common: tuple[
         rarest = key[first[own][:, None] + np.arange(c)]
         i, j = np.triu_indices(c, 1)
         with np.errstate(over="ignore"):
-            out[put[own][:, None] + np.arange(len(i))] = mix(rarest[:, i] * _PLACE + rarest[:, j])
+            out[put[own][:, None] + np.arange(len(i))] = mix(rarest[:, i] * _PLACE + rarest[:, j]) & ~np.uint64(1) | np.uint64(chars)
     return out, many, parity
 
 
@@ -196,7 +196,7 @@ def _line_rows(bounds: Bounds, common: tuple[np.ndarray, np.ndarray]):
                 a, b, m = a[at], b[at], n[at]
                 long = np.where(m + bounds.met(False, m) >= bounds.min_words, m, 0)
                 h = words.h[np.repeat(a - (np.cumsum(long) - long), long) + np.arange(long.sum())]
-                keys, many, parity = _variants(h, long, bounds.met(False, long), common)
+                keys, many, parity = _variants(h, long, bounds.met(False, long), common, False)
                 columns = [*(batch.column(c).take(pa.array(doc[at])) for c in ("doc_id", "tag")), pa.array(k1[at].view(np.int64)), pa.array(k2[at].astype(np.int32)), pa.array(m.astype(np.int32))]
                 columns += [pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(number.astype(np.int32)))]
                 columns += [_lists(keys, many), pa.array(parity.view(np.int64))]
@@ -205,7 +205,7 @@ def _line_rows(bounds: Bounds, common: tuple[np.ndarray, np.ndarray]):
                 size, many, parity = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), np.zeros(len(m), np.uint64)
                 size[short] = [len(t) for t in plain]
                 h, count = _grams(plain)
-                keys, many[short], parity[short] = _variants(h, count, 3 * bounds.met(True, size[short]), common)
+                keys, many[short], parity[short] = _variants(h, count, 3 * bounds.met(True, size[short]), common, True)
                 columns += [pa.array(size.astype(np.int32)), _lists(keys, many), pa.array(parity.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _LINES.split(", ")])
 
@@ -219,24 +219,23 @@ def _lists(flat: np.ndarray, count: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-_CANDIDATES = "kind boolean, key long, doc_id long, line long, other_doc long, other_line long"
+_CANDIDATES = "key long, doc_id long, line long, other_doc long, other_line long"
 
 
 def _candidates(bounds: Bounds, most: int | None):
     """From rows sorted by key, document and line: pairs of a line and an earlier one of its key; a pair without the other line says that a line has more than ``most``."""
 
-    def pairs(kind, key, doc, line, n, size, p, asks):
-        p, size = p.view(np.uint64), size.astype(np.int64)
+    def pairs(key, doc, line, size, p, asks):
+        kind, p, size = (key & 1).astype(bool), p.view(np.uint64), size.astype(np.int64)
         found, out, active, d = np.zeros(len(key), np.int64), [], np.flatnonzero(asks), 0
         while len(active):
             d += 1
             active = active[active >= d]
-            active = active[(key[active] == key[active - d]) & (kind[active] == kind[active - d])]
+            active = active[key[active] == key[active - d]]
             i, j = active, active - d
             k = bounds.allowed(kind[i], np.maximum(size[i], size[j]))
-            changed = np.bitwise_count(p[i] ^ p[j]).astype(np.int64)
-            ok = (np.abs(size[i] - size[j]) <= k) & (changed <= np.where(kind[i], 6, 2) * k) & ((doc[i] != doc[j]) | (line[i] != line[j]))
-            ok &= kind[i] == (np.maximum(n[i], n[j]) < bounds.min_words)
+            ok = (np.abs(size[i] - size[j]) <= k) & (np.bitwise_count(p[i] ^ p[j]) <= np.where(kind[i], 6, 2) * k) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+            ok &= kind[i] | (np.maximum(size[i], size[j]) >= bounds.min_words)
             over = ok & (found[i] == most) if most else np.zeros(len(i), bool)
             out += [(i[over], np.full(over.sum(), -1)), (i[ok & ~over], j[ok & ~over])]
             found[i[ok]] += 1
@@ -245,17 +244,17 @@ def _candidates(bounds: Bounds, most: int | None):
             return None
         i, j = map(np.concatenate, zip(*out, strict=True))
         gone = j < 0
-        return pa.RecordBatch.from_arrays([pa.array(kind[i]), pa.array(key[i]), pa.array(doc[i]), pa.array(line[i]), pa.array(doc[j], mask=gone), pa.array(line[j], mask=gone)], [x.split()[0] for x in _CANDIDATES.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(doc[i]), pa.array(line[i]), pa.array(doc[j], mask=gone), pa.array(line[j], mask=gone)], [x.split()[0] for x in _CANDIDATES.split(", ")])
 
     def run(batches):
-        names, rest = ("kind", "key", "doc_id", "line", "n", "size", "p", "asks"), None
+        names, rest = ("key", "doc_id", "line", "size", "p", "asks"), None
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) if c in batch.schema.names else np.ones(batch.num_rows, bool) for c in names]
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
             if not len(columns[0]):
                 continue
-            whole = int(np.flatnonzero((columns[1] != columns[1][-1]) | (columns[0] != columns[0][-1]))[-1:].sum() + 1) if (columns[1][0] != columns[1][-1] or columns[0][0] != columns[0][-1]) else 0
+            whole = int(np.searchsorted(columns[0], columns[0][-1]))
             rest = [c[whole:] for c in columns]
             if whole and (got := pairs(*(c[:whole] for c in columns))) is not None:
                 yield got
@@ -320,34 +319,36 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, tag (``line_tag`` of the text) and removed (line numbers from 0), for the documents that lose lines."""
     plain = id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("tag", line_tag())
     lines = keep(plain.mapInArrow(_line_rows(bounds, _common(plain, bounds.min_words)), _LINES), "lines")
-    first = lines.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "tag")).alias("low"))
-    first = first.select("k1", "k2", "n", F.col("low.doc_id").alias("low"), F.col("low.tag").alias("low_tag"))
-    marked = keep(lines.join(first, ["k1", "k2", "n"]).withColumn("first", (F.col("doc_id") == F.col("low")) & (F.col("tag") == F.col("low_tag"))).drop("low", "low_tag"), "marked")
-    again = marked.select("doc_id", F.explode(F.transform(F.when(F.col("first"), F.slice("numbers", 2, 1 << 30)).otherwise(F.col("numbers")), _tagged)).alias("line"))
-
-    ends = ("doc_id", _tagged(F.element_at("numbers", 1)).alias("line"), "n")
-    by_words = marked.where("first").select(F.lit(False).alias("kind"), F.explode("keys").alias("key"), *ends, F.col("n").alias("size"), "p")
-    by_chars = marked.where("first").select(F.lit(True).alias("kind"), F.explode("grams").alias("key"), *ends, F.col("chars").alias("size"), F.col("gp").alias("p"))
-    keys = by_words.unionByName(by_chars)
+    same = ["k1", "k2", "n"]
+    copied = lines.groupBy(*same).agg(F.min(F.struct("doc_id", "tag")).alias("low"), F.count("*").alias("copies")).where("copies > 1").select(*same, F.col("low.doc_id").alias("low"), F.col("low.tag").alias("low_tag"))
+    later = lines.select("doc_id", "tag", *same, "numbers").join(copied, same).where("doc_id <> low or tag <> low_tag")
+    later = keep(later.select("doc_id", "tag", *same, "numbers"), "later")
+    again = later.select("doc_id", "tag", "numbers").union(lines.where("size(numbers) > 1").select("doc_id", "tag", F.slice("numbers", 2, 1 << 30)))
+    again = again.select("doc_id", F.explode(F.transform("numbers", _tagged)).alias("line"))
+
+    firsts = lines.join(later.select("doc_id", "tag", *same), ["doc_id", "tag", *same], "left_anti")
+    firsts = firsts.select("doc_id", _tagged(F.element_at("numbers", 1)).alias("line"), "n", "chars", "p", "gp", F.explode(F.concat("keys", "grams")).alias("key"))
+    by_chars = F.col("key").bitwiseAND(1) == 1
+    keys = firsts.select("key", "doc_id", "line", F.when(by_chars, F.col("chars")).otherwise(F.col("n")).alias("size"), F.when(by_chars, F.col("gp")).otherwise(F.col("p")).alias("p"))
 
     def candidates(rows: DataFrame, most: int | None, name: str) -> DataFrame:
-        dealt = rows.repartition("kind", "key").sortWithinPartitions("kind", "key", "doc_id", "line")
+        dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id", "line")
         return keep(dealt.mapInArrow(_candidates(bounds, most), _CANDIDATES), name)
 
     def near(found: DataFrame, name: str) -> DataFrame:
-        pairs = found.where("other_doc is not null").select("kind", "doc_id", "line", "other_doc", "other_line").distinct()
+        pairs = found.where("other_doc is not null").select((F.col("key").bitwiseAND(1) == 1).alias("kind"), "doc_id", "line", "other_doc", "other_line").distinct()
         tag = F.shiftright("line", 32).cast("int").alias("tag")
         listed = pairs.select("doc_id", "line").union(pairs.select("other_doc", "other_line")).groupBy("doc_id", tag).agg(F.collect_set("line").alias("listed"))
         words = keep(plain.join(listed, ["doc_id", "tag"]).select("doc_id", "text", "listed").mapInArrow(_open_lines, "doc_id long, line long, words binary").dropDuplicates(["doc_id", "line"]), f"{name}-words")
         there = words.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others"))
         return keep(pairs.join(words, ["doc_id", "line"]).join(there, ["other_doc", "other_line"]).select("kind", "doc_id", "line", "words", "others").mapInArrow(_verified(bounds), "doc_id long, line long").distinct(), name)
 
-    found = candidates(keys.withColumn("asks", F.lit(True)), most, "candidates")
+    found = candidates(keys, most, "candidates")
     gone = near(found, "near")
-    more = keep(found.where("other_doc is null").join(gone, ["doc_id", "line"], "left_anti").select("kind", "key", "doc_id", "line").distinct(), "more")
+    more = keep(found.where("other_doc is null").join(gone, ["doc_id", "line"], "left_anti").select("key", "doc_id", "line").distinct(), "more")
     if not more.isEmpty():
-        some = keys.join(more.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
-        rest = some.join(more.withColumn("asks", F.lit(True)), ["kind", "key", "doc_id", "line"], "left").fillna(False, ["asks"])
+        some = keys.join(more.select("key").distinct(), "key", "left_semi")
+        rest = some.join(more.withColumn("asks", F.lit(True)), ["key", "doc_id", "line"], "left").fillna(False, ["asks"])
         gone = gone.union(near(candidates(rest, None, "candidates-rest"), "near-rest"))
     # the copies of a line that goes have gone with the equal lines
     number = F.col("line").bitwiseAND(_NUMBER).cast("int")
