@@ -219,15 +219,15 @@ def _lists(flat: np.ndarray, count: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-_CANDIDATES = "key long, doc_id long, line long, other_doc long, other_line long"
+_CANDIDATES = "key long, doc_id long, line long, others array<long>, other_lines array<long>, more boolean"
 
 
 def _candidates(bounds: Bounds, most: int | None):
-    """From rows sorted by key, document and line: pairs of a line and an earlier one of its key; a pair without the other line says that a line has more than ``most``."""
+    """From rows sorted by key, document and line: each line with its nearest ``most`` earlier ones of its key; ``more`` says that it has others."""
 
     def pairs(key, doc, line, size, p, asks):
         kind, p, size = (key & 1).astype(bool), p.view(np.uint64), size.astype(np.int64)
-        found, out, active, d = np.zeros(len(key), np.int64), [], np.flatnonzero(asks), 0
+        found, more, out, active, d = np.zeros(len(key), np.int64), np.zeros(len(key), bool), [], np.flatnonzero(asks), 0
         while len(active):
             d += 1
             active = active[active >= d]
@@ -237,14 +237,18 @@ def _candidates(bounds: Bounds, most: int | None):
             ok = (np.abs(size[i] - size[j]) <= k) & (np.bitwise_count(p[i] ^ p[j]) <= np.where(kind[i], 6, 2) * k) & ((doc[i] != doc[j]) | (line[i] != line[j]))
             ok &= kind[i] | (np.maximum(size[i], size[j]) >= bounds.min_words)
             over = ok & (found[i] == most) if most else np.zeros(len(i), bool)
-            out += [(i[over], np.full(over.sum(), -1)), (i[ok & ~over], j[ok & ~over])]
+            more[i[over]] = True
+            out.append((i[ok & ~over], j[ok & ~over]))
             found[i[ok]] += 1
             active = active[~over]
         if not out:
             return None
         i, j = map(np.concatenate, zip(*out, strict=True))
-        gone = j < 0
-        return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(doc[i]), pa.array(line[i]), pa.array(doc[j], mask=gone), pa.array(line[j], mask=gone)], [x.split()[0] for x in _CANDIDATES.split(", ")])
+        j = j[np.argsort(i, kind="stable")]
+        i, count = np.unique(i, return_counts=True)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+        columns = [pa.array(key[i]), pa.array(doc[i]), pa.array(line[i]), *(pa.ListArray.from_arrays(offsets, pa.array(x[j])) for x in (doc, line)), pa.array(more[i])]
+        return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "line", "others", "other_lines", "more"])
 
     def run(batches):
         names, rest = ("key", "doc_id", "line", "size", "p", "asks"), None
@@ -315,7 +319,7 @@ def line_tag(text_col: str = "text") -> Column:
     return F.coalesce(F.xxhash64(text_col).bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: Bounds = Bounds(), most: int = 2) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: Bounds = Bounds(), most: int = 3) -> DataFrame:
     """doc_id, tag (``line_tag`` of the text) and removed (line numbers from 0), for the documents that lose lines."""
     plain = id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("tag", line_tag())
     lines = keep(plain.mapInArrow(_line_rows(bounds, _common(plain, bounds.min_words)), _LINES), "lines")
@@ -336,23 +340,27 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return keep(dealt.mapInArrow(_candidates(bounds, most), _CANDIDATES), name)
 
     def near(found: DataFrame, name: str) -> DataFrame:
-        pairs = found.where("other_doc is not null").select((F.col("key").bitwiseAND(1) == 1).alias("kind"), "doc_id", "line", "other_doc", "other_line").distinct()
+        other = F.explode(F.arrays_zip("others", "other_lines")).alias("other")
+        pairs = found.select((F.col("key").bitwiseAND(1) == 1).alias("kind"), "doc_id", "line", other)
+        pairs = keep(pairs.select("kind", "doc_id", "line", F.col("other.others").alias("other_doc"), F.col("other.other_lines").alias("other_line")).distinct(), f"{name}-pairs")
         tag = F.shiftright("line", 32).cast("int").alias("tag")
         listed = pairs.select("doc_id", "line").union(pairs.select("other_doc", "other_line")).groupBy("doc_id", tag).agg(F.collect_set("line").alias("listed"))
+        listed = keep(listed, f"{name}-listed")  # small where few lines are candidates: Spark then need not shuffle the texts
         words = keep(plain.join(listed, ["doc_id", "tag"]).select("doc_id", "text", "listed").mapInArrow(_open_lines, "doc_id long, line long, words binary").dropDuplicates(["doc_id", "line"]), f"{name}-words")
         there = words.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others"))
         return keep(pairs.join(words, ["doc_id", "line"]).join(there, ["other_doc", "other_line"]).select("kind", "doc_id", "line", "words", "others").mapInArrow(_verified(bounds), "doc_id long, line long").distinct(), name)
 
     found = candidates(keys, most, "candidates")
     gone = near(found, "near")
-    more = keep(found.where("other_doc is null").join(gone, ["doc_id", "line"], "left_anti").select("key", "doc_id", "line").distinct(), "more")
+    more = keep(found.where("more").join(gone, ["doc_id", "line"], "left_anti").select("key", "doc_id", "line").distinct(), "more")
     if not more.isEmpty():
         some = keys.join(more.select("key").distinct(), "key", "left_semi")
         rest = some.join(more.withColumn("asks", F.lit(True)), ["key", "doc_id", "line"], "left").fillna(False, ["asks"])
         gone = gone.union(near(candidates(rest, None, "candidates-rest"), "near-rest"))
     # the copies of a line that goes have gone with the equal lines
     number = F.col("line").bitwiseAND(_NUMBER).cast("int")
-    return again.union(gone).groupBy("doc_id", F.shiftright("line", 32).cast("int").alias("tag")).agg(F.collect_set(number).alias("removed"))
+    gone = again.union(gone).groupBy("doc_id", F.shiftright("line", 32).cast("int").alias("tag")).agg(F.collect_set(number).alias("removed"))
+    return keep(gone, "removed")
 
 
 def _tagged(number: Column) -> Column:
