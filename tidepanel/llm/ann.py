@@ -6,8 +6,9 @@ bounded sample, with clusters of over twice the mean size split; a vector near a
 boundary is put into every cluster whose centroid is at most (1 + spill) times as
 far as its nearest, unless a chosen centroid is closer to that centroid than
 ``apart`` times the vector's distance. Queries walk a neighbour graph of the centroids, which all tasks hold
-in memory (at most ``most_lists`` of them), and search the lists whose centroid is
-at most (1 + ratio) times as far as the nearest. Lists are packed into blocks, so
+in memory (at most ``most_lists`` of them), until the next centroid is over
+(1 + ratio) times as far as the nearest: the lists up to there are searched, and
+``least_lists`` of them at least. Lists are packed into blocks, so
 that neither a long list nor many queries of one list gather in one task. Scores
 are products of the original vectors in double precision.
 
@@ -35,14 +36,20 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 0))
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, in blocks of at most some 4 million distances."""
+    step = max(1, (4 << 20) // max(len(c), 1))
+    return np.concatenate([distances(x[lo : lo + step], c).argmin(axis=1) for lo in range(0, len(x), step)])
+
+
 def _lloyd(x: np.ndarray, c: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(rounds):
-        own = distances(x, c).argmin(axis=1)
+        own = _nearest(x, c)
         n = np.bincount(own, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-    return c, distances(x, c).argmin(axis=1)
+    return c, _nearest(x, c)
 
 
 def centroids(x: np.ndarray, lists: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
@@ -65,7 +72,7 @@ def centroids(x: np.ndarray, lists: int, rounds: int = 6, seed: int = 5) -> np.n
 
 @dataclass
 class CentroidGraph:
-    """Each centroid's nearest others; a walk goes on from the best centroid met while it can still improve the ``width`` best."""
+    """Each centroid's nearest others; a walk goes on from the nearest centroid met until that is too far."""
 
     points: np.ndarray
     near: np.ndarray
@@ -81,70 +88,64 @@ class CentroidGraph:
         step = max(1, len(points) // 32)
         return cls(points, near, np.arange(0, len(points), step))
 
-    def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The centroids met nearest to q, nearest first, and their distances."""
+    def search(self, q: np.ndarray, ratio: float, least: int) -> list[int]:
+        """The centroids at most (1 + ratio) times as far from q as the nearest one, nearest first; ``least`` of them at least, if there are so many."""
         seen = np.zeros(len(self.points), bool)
         seen[self.entries] = True
         d = np.sqrt(((self.points[self.entries] - q) ** 2).sum(axis=1))
-        todo = list(zip(d.tolist(), self.entries.tolist(), strict=True))
+        todo, out, best = list(zip(d.tolist(), self.entries.tolist(), strict=True)), [], float(d.min())
         heapq.heapify(todo)
-        held = heapq.nsmallest(width, todo)
-        top = [(-a, b) for a, b in held]
-        heapq.heapify(top)
         while todo:
             dist, i = heapq.heappop(todo)
-            if len(top) >= width and dist > -top[0][0]:
+            if dist > (1 + ratio) * best and len(out) >= least:
                 break
+            out.append((dist, i))
             new = self.near[i][~seen[self.near[i]]]
-            if not len(new):
-                continue
-            seen[new] = True
-            for a, b in zip(np.sqrt(((self.points[new] - q) ** 2).sum(axis=1)).tolist(), new.tolist(), strict=True):
-                if len(top) < width:
-                    heapq.heappush(top, (-a, b))
-                elif a < -top[0][0]:
-                    heapq.heapreplace(top, (-a, b))
-                else:
-                    continue
-                heapq.heappush(todo, (a, b))
-        found = sorted((-a, b) for a, b in top)
-        return np.array([b for _, b in found], np.int64), np.array([a for a, _ in found])
-
-
-def closure(d: np.ndarray, between: np.ndarray, spill: float, most: int, apart: float = 0.5) -> list[int]:
+            if len(new):
+                seen[new] = True
+                d = np.sqrt(((self.points[new] - q) ** 2).sum(axis=1)).tolist()
+                best = min(best, *d)
+                for x in zip(d, new.tolist(), strict=True):
+                    heapq.heappush(todo, x)
+        out.sort()
+        return [i for n, (dist, i) in enumerate(out) if n < least or dist <= (1 + ratio) * best]
+
+
+def closure(d: np.ndarray, points: np.ndarray, spill: float, most: int, apart: float = 0.5) -> list[int]:
     """Clusters of a vector at distances d: its nearest, and boundary ones by the ratio and the relative-neighbour rule."""
-    order = np.argsort(d)[: 4 * most]
-    chosen = [int(order[0])]
-    for c in order[1:]:
-        if d[c] > (1 + spill) * d[order[0]] or len(chosen) == most:
+    order = np.argpartition(d, 4 * most)[: 4 * most] if len(d) > 4 * most else np.arange(len(d))
+    order = order[np.argsort(d[order])]
+    order = order[d[order] <= (1 + spill) * d[order[0]]]
+    between, chosen = distances(points[order], points[order]), [0]
+    for c in range(1, len(order)):
+        if len(chosen) == most:
             break
-        if all(between[c, o] >= apart * d[c] for o in chosen):
-            chosen.append(int(c))
-    return chosen
+        if (between[c, chosen] >= apart * d[order[c]]).all():
+            chosen.append(c)
+    return order[chosen].tolist()
 
 
 def _assigned(points: np.ndarray, square: float, spill: float, most: int):
     def run(batches):
-        between = distances(points, points)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 x = matrix(part.column("vec"))
                 x = np.concatenate((x, np.sqrt(np.maximum(square - (x * x).sum(axis=1), 0))[:, None]), axis=1)
-                lists = [closure(row, between, spill, most) for row in distances(x, points)]
+                lists = [closure(row, points, spill, most) for row in distances(x, points)]
                 yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(lists, pa.list_(pa.int64()))], ["cid", "keys"])
 
     return run
 
 
-def _selected(graph: CentroidGraph, ratio: float, width: int):
+def _selected(graph: CentroidGraph, ratio: float, least: int):
     def run(batches):
+        scale = (graph.points**2).sum(axis=1).mean()
         for batch in batches:
             lists = []
             for q in matrix(batch.column("vec")) if batch.num_rows else []:
-                scale = np.sqrt((graph.points**2).sum(axis=1).mean() / max(q @ q, 1e-300))  # the product's order is the same for any length of q
-                near, d = graph.search(np.append(q * scale, 0.0), width)
-                lists.append(near[d <= (1 + ratio) * d[0]].tolist())
+                # the product's order is the same for any length of q
+                lists.append(graph.search(np.append(q * np.sqrt(scale / max(q @ q, 1e-300)), 0.0), ratio, least))
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(lists, pa.list_(pa.int64()))], ["cid", "keys"])
 
     return run
@@ -169,16 +170,17 @@ def _searched(k: int):
 
 def nearest(
     df: DataFrame, query_rows, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-    list_size: int = 64, most_lists: int = 4096, sample: int = 20_000, spill: float = 0.15, copies: int = 8, ratio: float = 0.25, width: int = 128,
+    list_size: int = 64, most_lists: int = 4096, sample: int = 20_000, spill: float = 0.15, copies: int = 8, ratio: float = 0.25, least_lists: int = 64,
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k best found; ``query_rows`` is a condition on vec_id. Centroids are fitted on ``sample`` classes, those of the smallest id hash."""
+    """query_id, rank, vec_id and score of each query's k best found; ``query_rows`` is a condition on vec_id. Centroids are fitted on about ``sample`` classes, chosen by the hash of their ids."""
     rows = usable(df, id_col, vec_col, zero=False)
     known = keep(classes(rows, k), "classes")
     square = known.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
     if square[0] is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     square, total = square
-    x = np.array([r.vec for r in known.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("vec").collect()])
+    chosen = known if total <= sample else known.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
+    x = np.array([r.vec for r in chosen.sort("cid").select("vec").collect()])
     x = np.concatenate((x, np.sqrt(np.maximum(square - (x * x).sum(axis=1), 0))[:, None]), axis=1)
     points = centroids(x, min(most_lists, -(-total // list_size)))
     graph = CentroidGraph.build(points)
@@ -187,7 +189,8 @@ def nearest(
     packed = blocks(posted, 4096)
     queries = keep(rows.where(query_rows).distinct().join(known.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), "cid", "vec"), "queries")
     asked = queries.select("cid", "vec").distinct()
-    wanted = asked.mapInArrow(_selected(graph, ratio, width), "cid long, keys array<long>")
+    asked = asked.repartition(max(1, queries.count() // 128), "cid")
+    wanted = asked.mapInArrow(_selected(graph, ratio, least_lists), "cid long, keys array<long>")
     wanted = keep(asked.join(wanted, "cid").select(F.explode("keys").alias("key"), "cid", "vec", F.array("cid").alias("ids")), "wanted")
     q_packed = blocks(wanted, 512).select("key", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
     found = packed.join(q_packed, "key").select("ids", "vecs", "q_ids", "q_vecs").mapInArrow(_searched(k), "cid long, vec_id long, score double")
