@@ -8,7 +8,7 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _own_dir[0]
@@ -44,6 +46,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled(share: Column, *columns: str) -> Column:
+    """True for about ``share`` of the rows, chosen by the hash of the columns: no sort, and nothing travels."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < share * (1 << 30)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator works on, so that no other column can clash."""
     on_workers(docs.sparkSession)

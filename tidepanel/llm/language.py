@@ -5,11 +5,12 @@ The learned languages are grouped into families by average linkage of their
 centroids (⌈√languages⌉ families); a text's family is predicted first, then
 one-versus-one linear support vector machines separate the languages within it.
 Each machine is fitted by dual coordinate descent on at most ``per_language``
-rows of a language (those of the smallest id hash).
+rows of a language (chosen by the hash of id and text).
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 a null lang is not learned, every other lang value is; with one learned language
-all texts are that one, with none all are ``und``; extra columns are not read; an
+all texts are that one, with none all are ``und``; rows with a null or repeated
+id are learned from and predicted each by itself, equal rows once; extra columns are not read; an
 empty table gives an empty result.
 """
 
@@ -21,10 +22,10 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, text_bytes
+from .common import sampled, text_bytes
 from .linear import gram_codes, hinge
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -100,15 +101,15 @@ def _examples(dim: int):
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 1 << 14, per_language: int = 400, most_languages: int = 64, least: int = 8) -> LanguageModel:
     """A model of all languages of the documents given. Beyond ``most_languages`` each has fewer examples, ``least`` at least, so that about per_language × most_languages reach the driver."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    names = sorted(r.lang for r in sizes.select("lang").collect())
     if not names:
         return LanguageModel(dim, [])
     if len(names) > most_languages:
         per_language = min(per_language, max(least, per_language * most_languages // len(names)))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language)
-    few = keep(few.select("doc_id", "lang").distinct(), "sample")
-    sample = rows.join(F.broadcast(few), ["doc_id", "lang"], "left_semi")  # about per_language × most_languages ids
+    # a row for each language, whose names the driver holds too; equal rows count once
+    shares = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), (per_language + 3 * per_language**0.5) / F.col("n")).alias("share")))
+    sample = rows.join(shares, "lang").where(sampled(F.col("share"), "doc_id", "text")).dropDuplicates(["doc_id", "lang", "text"])
     x: dict[str, list] = {n: [] for n in names}
     for r in sample.select("lang", "text").mapInArrow(_examples(dim), "lang string, at binary, v binary").collect():
         x[r.lang].append((np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r.v, np.float32).astype(np.float64)))
@@ -118,6 +119,7 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     centroids = np.zeros((len(names), dim))
     for i, n in enumerate(names):
         x[n].sort(key=lambda p: (len(p[0]), p[0].tobytes(), p[1].tobytes()))
+        x[n] = [x[n][k] for k in np.linspace(0, len(x[n]) - 1, min(len(x[n]), per_language)).astype(int)]
         for at, v in x[n]:
             centroids[i, at] += v / len(x[n])
     model = LanguageModel(dim, group(names, centroids, ceil(sqrt(len(names)))))

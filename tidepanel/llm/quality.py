@@ -3,19 +3,20 @@
 Byte-trigram indicators, with those of the document's length class and of its
 share of doubled words, are scaled by the log ratio of their class counts, which
 are taken over *all* labelled training rows; a linear hinge-loss model is
-then fitted by dual coordinate descent on at most ``per_class`` rows of each
-label (those of the smallest id hash), and its margin is calibrated on a fifth
+then fitted by dual coordinate descent on about ``per_class`` rows of each
+label (chosen by the hash of id and text), and its margin is calibrated on a fifth
 of these rows, weighted to the label shares of all training rows.
 
 Defined results: a null or empty text has no features and gets the score of the
-bias; a null id has no label; where an id has several labels its largest counts;
-labels other than 0 and 1 are not learned; with only one label, or none, every
+bias; a null id has no label; where an id has several labels its largest counts; each row of a repeated id is
+learned from and scored by itself; labels other than 0 and 1 are not learned; with only one label, or none, every
 score is that label, or 1; extra columns are not read; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from operator import eq
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, keep, text_bytes
+from .common import id_text, keep, sampled, text_bytes
 from .linear import gram_codes, hinge, platt
 
 
@@ -111,8 +112,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     scale = np.log(share[1] / share[0])
     picked = []
     for label in (0, 1):
-        few = rows.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_class).select("text", "label")
-        picked += few.mapInArrow(_bits(dim), "label int, bits binary").collect()
+        few = rows.where(F.col("label") == label).where(sampled(F.lit(min(1.0, per_class / count[label])), "doc_id", "text")).select("text", "label")
+        got = few.mapInArrow(_bits(dim), "label int, bits binary").collect()
+        picked += sorted(got, key=lambda r: zlib.crc32(r.bits))
     x, y = [], np.array([r.label for r in picked])
     for r in picked:
         at = np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8)))
