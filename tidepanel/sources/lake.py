@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,13 +110,13 @@ def newer(source: DataFrame, stored: DataFrame, entity: str = "entity_id", time:
     return source.join(mark, entity, "left").where(F.col("_mark").isNull() | (F.col(time) >= F.col("_mark"))).drop("_mark")
 
 
-def parse_klines(df: DataFrame, line: str = "value") -> DataFrame:
+def parse_klines(df: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """SRC-12: 'date,open,close,high,low,volume,turnover,…,change,…,rate' lines; percent fields over 100, empty ones 0."""
     part = F.split(line, ",")
     number = lambda i: F.get(part, F.lit(i)).try_cast("double")
     pct = lambda i: F.coalesce(number(i) / 100, F.lit(0.0))
     names = ("open", "close", "high", "low", "volume", "turnover")
-    return df.select(F.get(part, F.lit(0)).try_cast("date").alias("day"), *(number(i + 1).alias(n) for i, n in enumerate(names)), pct(8).alias("change_pct"), pct(10).alias("turnover_rate"))
+    return df.select(*keep, F.get(part, F.lit(0)).try_cast("date").alias("day"), *(number(i + 1).alias(n) for i, n in enumerate(names)), pct(8).alias("change_pct"), pct(10).alias("turnover_rate"))
 
 
 def session_grid(days: DataFrame, minutes: int, sessions=(("09:30", "11:30"), ("13:00", "15:00")), time: str = "day") -> DataFrame:
@@ -124,3 +125,33 @@ def session_grid(days: DataFrame, minutes: int, sessions=(("09:30", "11:30"), ("
     at = lambda t: F.to_timestamp(F.concat_ws(" ", F.date_format(time, "yyyy-MM-dd"), F.lit(t)), "yyyy-MM-dd HH:mm")
     spans = [F.sequence(at(a), at(b), F.make_dt_interval(mins=F.lit(minutes))) for a, b in sessions]
     return week.select(time, F.explode(F.array_distinct(F.concat(*spans))).alias("ts"))
+
+
+@contextmanager
+def java_charsets(spark: SparkSession):
+    """Lets CSV be read and written in every charset that Java knows, within the block alone."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """SNK-8: a table as CSV with a header."""
+    with java_charsets(df.sparkSession):
+        df.write.option("encoding", encoding).option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, stored: str, encodings: tuple[str, ...] = ("UTF-8", "GB18030")) -> DataFrame:
+    """SRC-14: CSV in the first of the encodings that leaves no character undecoded (GB18030 holds GB2312 and GBK), kept as Parquet in ``stored``."""
+    with java_charsets(spark):
+        for encoding in encodings:
+            rows = spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
+            text = [f.name for f in rows.schema if f.dataType.simpleString() == "string"]
+            if encoding == encodings[-1] or rows.where(" or ".join(f"contains({c}, '\ufffd')" for c in text)).isEmpty():
+                rows.write.parquet(stored)
+                break
+    return spark.read.parquet(stored)
