@@ -345,8 +345,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = keep(pairs.select("kind", "doc_id", "line", F.col("other.others").alias("other_doc"), F.col("other.other_lines").alias("other_line")).distinct(), f"{name}-pairs")
         tag = F.shiftright("line", 32).cast("int").alias("tag")
         listed = pairs.select("doc_id", "line").union(pairs.select("other_doc", "other_line")).groupBy("doc_id", tag).agg(F.collect_set("line").alias("listed"))
-        listed = keep(listed, f"{name}-listed")  # small where few lines are candidates: Spark then need not shuffle the texts
-        words = keep(plain.join(listed, ["doc_id", "tag"]).select("doc_id", "text", "listed").mapInArrow(_open_lines, "doc_id long, line long, words binary").dropDuplicates(["doc_id", "line"]), f"{name}-words")
+        listed = keep(listed, f"{name}-listed")
+        words = keep(_only(plain, listed).join(listed, ["doc_id", "tag"]).select("doc_id", "text", "listed").mapInArrow(_open_lines, "doc_id long, line long, words binary").dropDuplicates(["doc_id", "line"]), f"{name}-words")
         there = words.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("others"))
         return keep(pairs.join(words, ["doc_id", "line"]).join(there, ["other_doc", "other_line"]).select("kind", "doc_id", "line", "words", "others").mapInArrow(_verified(bounds), "doc_id long, line long").distinct(), name)
 
@@ -368,6 +368,12 @@ def _tagged(number: Column) -> Column:
     return F.shiftleft(F.col("tag").cast("long"), 32).bitwiseOR(number.cast("long"))
 
 
+def _only(docs: DataFrame, some: DataFrame, buckets: int = 1 << 20) -> DataFrame:
+    """``docs`` without most rows whose id is not in ``some``, so that their texts are not shuffled; the broadcast holds at most ``buckets`` numbers."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    return docs.withColumn("_bucket", bucket).join(F.broadcast(some.select(bucket.alias("_bucket")).distinct()), "_bucket", "left_semi").drop("_bucket")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
     """doc_id, n_lines, n_removed and text (the kept lines joined by "\\n"), a row for each row of ``docs``."""
     gone = removed_lines(docs, id_col, text_col, bounds)
