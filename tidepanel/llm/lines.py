@@ -330,7 +330,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = later.select("doc_id", "tag", "numbers").union(lines.where("size(numbers) > 1").select("doc_id", "tag", F.slice("numbers", 2, 1 << 30)))
     again = again.select("doc_id", F.explode(F.transform("numbers", _tagged)).alias("line"))
 
-    firsts = lines.join(later.select("doc_id", "tag", *same), ["doc_id", "tag", *same], "left_anti")
+    # only lines whose bucket holds a later copy are joined; the broadcast has at most 2^20 numbers
+    bucket = F.pmod("k1", F.lit(1 << 20)).cast("int").alias("_bucket")
+    marks, dealt = F.broadcast(later.select(bucket).distinct()), lines.select("*", bucket)
+    firsts = dealt.join(marks, "_bucket", "left_semi").join(later.select("doc_id", "tag", *same), ["doc_id", "tag", *same], "left_anti")
+    firsts = firsts.unionByName(dealt.join(marks, "_bucket", "left_anti"))
     firsts = firsts.select("doc_id", _tagged(F.element_at("numbers", 1)).alias("line"), "n", "chars", "p", "gp", F.explode(F.concat("keys", "grams")).alias("key"))
     by_chars = F.col("key").bitwiseAND(1) == 1
     keys = firsts.select("key", "doc_id", "line", F.when(by_chars, F.col("chars")).otherwise(F.col("n")).alias("size"), F.when(by_chars, F.col("gp")).otherwise(F.col("p")).alias("p"))
