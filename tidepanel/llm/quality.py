@@ -2,7 +2,8 @@
 
 Byte-trigram indicators, with those of the document's length class and of its
 share of doubled words, are scaled by the log ratio of their class counts, which
-are taken over *all* labelled training rows; a linear hinge-loss model is
+are taken over all labelled training rows up to about ``most_labels`` labels, beyond that
+over a sample of that size chosen by the hash of the ids; a linear hinge-loss model is
 then fitted by dual coordinate descent on about ``per_class`` rows of each
 label (chosen by the hash of id and text), and its margin is calibrated on a fifth
 of these rows, weighted to the label shares of all training rows.
@@ -95,10 +96,18 @@ def _bits(dim: int):
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dim: int = 1 << 15, per_class: int = 3000) -> QualityModel:
-    """A model from the labelled documents given; ``dim`` features and ``per_class`` sampled rows (dim / 8 bytes each) bound what the driver holds."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dim: int = 1 << 15, per_class: int = 3000, most_labels: int = 200_000) -> QualityModel:
+    """A model from the labelled documents given.
+
+    About ``most_labels`` labels, chosen by the hash of their ids (all, if there
+    are fewer), are broadcast, so no text is shuffled or written to meet its
+    label. ``dim`` features and ``per_class`` sampled rows (dim / 8 bytes each)
+    bound what the driver holds.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = keep(id_text(docs, id_col, text_col).join(known, "doc_id"), "labelled")
+    known = keep(known, "labels")
+    share_of_labels = min(1.0, most_labels / max(known.count(), 1))
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(known.where(sampled(F.lit(share_of_labels), "doc_id"))), "doc_id")
     size = dim + EXTRA
     total = np.zeros((2, size + 1))
     for r in rows.select("text", "label").mapInArrow(_counts(dim), "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
