@@ -151,19 +151,37 @@ def _selected(graph: CentroidGraph, ratio: float, least: int):
     return run
 
 
-def _searched(k: int):
+def _searched(k: int, most_held: int = 50_000):
+    """Each query class's k + 1 best of all the blocks of a task; when over ``most_held`` classes are held, their rows go out and they start anew."""
+
+    def rows(held: dict) -> pa.RecordBatch:
+        cids = np.repeat(np.array(list(held), np.int64), [len(s) for s, _ in held.values()])
+        score, ids = (np.concatenate(x) for x in zip(*held.values(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cids), pa.array(ids), pa.array(score)], ["cid", "vec_id", "score"])
+
     def run(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, queries = batch.column("ids")[i].as_py(), batch.column("q_ids")[i].as_py()
                 p = np.frombuffer(batch.column("vecs")[i].as_py(), np.float64).reshape(len(ids), -1)
                 qs = np.frombuffer(batch.column("q_vecs")[i].as_py(), np.float64).reshape(len(queries), -1)
-                out = []
                 for q, own in zip(qs, queries, strict=True):
-                    s, v = best(np.einsum("ij,j->i", p, q), ids, k + 1)
-                    out += zip([own[0]] * len(s), v.tolist(), s.tolist(), strict=True)
-                columns = zip(*out, strict=True) if out else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["cid", "vec_id", "score"])
+                    score, had = np.einsum("ij,j->i", p, q), held.get(own[0])
+                    if had and len(had[0]) > k and score.max() < had[0][-1]:
+                        continue
+                    s, v = best(score, ids, k + 1)
+                    if had:  # a vector stands in several lists
+                        new = ~np.isin(v, had[1])
+                        s, v = np.concatenate((had[0], s[new])), np.concatenate((had[1], v[new]))
+                        order = np.lexsort((v, -s))[: k + 1]
+                        s, v = s[order], v[order]
+                    held[own[0]] = s, v
+                if len(held) > most_held:
+                    yield rows(held)
+                    held = {}
+        if held:
+            yield rows(held)
 
     return run
 
