@@ -107,3 +107,22 @@ def min_labels(links: DataFrame, name: str, part_rows: int = 250_000) -> DataFra
         last, total, turn = total, labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0], turn + 1
         if last == total:
             return labels
+
+
+def left_join_few(docs: DataFrame, found: DataFrame, on: list[str], bits: int = 25) -> DataFrame:
+    """``docs`` left-joined with ``found`` by the columns ``on``; rows of ``docs`` without a match stay where they are.
+
+    ``found`` is read twice, so it should be a kept table. A bitmap of ``2 ** bits``
+    bits over the hashes of its keys (4 MB at 25, broadcast whatever the input)
+    tells most rows without a match; only the others are shuffled. A null key
+    matches nothing; rows of ``docs`` come once for each match.
+    """
+    part, bitmap = "_left_join_few_part", "_left_join_few_bits"
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << bits))
+    page, at = F.shiftright(place, 15), place.bitwiseAND(0x7FFF)
+    pages = found.dropna(subset=on).groupBy(page.alias(part)).agg(F.bitmap_construct_agg(at).alias(bitmap))
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.pmod(byte / F.pow(F.lit(2), at.bitwiseAND(7)), F.lit(2)) >= 1, F.lit(False))
+    dealt = docs.withColumn(part, page).join(F.broadcast(pages), part, "left").withColumn(bitmap, marked).drop(part)
+    few, rest = (dealt.where(x).drop(bitmap) for x in (F.col(bitmap), ~F.col(bitmap)))
+    return few.join(found, on, "left").unionByName(rest, allowMissingColumns=True)
