@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import keep, read
+from tidepanel.llm.common import keep, left_join_few, read
 from tidepanel.llm.lines import line_tag, removed_lines
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.probminhash import near_duplicates, one_of_each
@@ -44,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _NEW)
     text = F.when(F.col(_NEW).isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return _with_text(docs.withColumn(_TAG, line_tag()).join(gone, ["doc_id", _TAG], "left").withColumn(_NEW, text)).select(docs.columns)
+    return _with_text(left_join_few(docs.withColumn(_TAG, line_tag()), gone, ["doc_id", _TAG]).withColumn(_NEW, text)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     changed = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("tag").alias(_TAG), F.col("text").alias(_NEW)).dropDuplicates(["doc_id", _TAG])
-    return _with_text(docs.withColumn(_TAG, F.xxhash64("text")).join(changed, ["doc_id", _TAG], "left")).select(docs.columns)
+    return _with_text(left_join_few(docs.withColumn(_TAG, F.xxhash64("text")), keep(changed, "changed"), ["doc_id", _TAG])).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
