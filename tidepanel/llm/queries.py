@@ -10,6 +10,7 @@ from .ann import nearest
 from .common import read
 from .language import fit_language, language_column
 from .lines import dedup_lines
+from .mixing import mix_sources
 from .packing import pack_documents
 from .probminhash import near_duplicates
 from .quality import fit_quality, held_out, score_column
@@ -68,6 +69,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), (decode_column("ids") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries():
     return {
         "op1_balanced_posting_lists": op1_balanced_posting_lists,
@@ -80,6 +85,7 @@ def queries():
         "op8_line_dedup": op8_line_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_sentencepiece": op10_sentencepiece,
+        "op13_mixing": op13_mixing,
     }
 
 
@@ -142,5 +148,29 @@ FROM f
 """
 
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 15))::BIGINT AS spot
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM d GROUP BY source
+), f AS (
+  SELECT *, row_number() OVER by_cap AS i, 2.0::DOUBLE * coalesce(sum(source_size) OVER (by_cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS caps,
+    sum(w) OVER (by_cap ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws, 1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS total
+  FROM s WINDOW by_cap AS (ORDER BY source_size / w, source NULLS LAST)
+), level AS (
+  SELECT total - caps AS rest, ws FROM f WHERE w * (total - caps) / ws <= 2.0::DOUBLE * source_size ORDER BY i LIMIT 1
+), t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, w * rest / ws) AS target FROM s LEFT JOIN level ON true
+), r AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY spot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(floor(target + 0.5)::BIGINT - whole * source_size - earlier, size)))::BIGINT AS taken FROM r
+"""
+
+
 def oracle_sql():
-    return {"op2_substring_dedup": OP2_SQL, "op5_norm_bucket_top_k": OP5_SQL, "op9_license_scan": _op9_sql()}
+    return {"op2_substring_dedup": OP2_SQL, "op5_norm_bucket_top_k": OP5_SQL, "op9_license_scan": _op9_sql(), "op13_mixing": OP13_SQL}
