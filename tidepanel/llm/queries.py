@@ -17,6 +17,7 @@ from .quality import fit_quality, held_out, score_column
 from .sentencepieces import decode_column, encode_texts
 from .substrings import remove_repeats
 from .topk import exact_top_k
+from .tries import prefix_trie, rebuilt
 
 
 def op1_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), (decode_column("ids") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(read(spark, sf_dir, "conversations")))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -85,6 +90,7 @@ def queries():
         "op8_line_dedup": op8_line_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_conversation_trie": op11_conversation_trie,
         "op13_mixing": op13_mixing,
     }
 
@@ -148,6 +154,37 @@ FROM f
 """
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn IS NOT NULL, turn, id) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, ((4294967295 - list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda r, b: CASE WHEN b >= 0 THEN xor(r, b) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) % 6)::BIGINT AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS own, p, id, chars FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND p <= h
+  UNION ALL SELECT conv_id, 1, p, id, chars FROM t JOIN c USING (conv_id) WHERE p > h
+), s AS (
+  SELECT conv_id, chars, row_number() OVER w AS depth, string_agg(id, '') OVER w AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, p)
+), pre AS (
+  SELECT conv_id, depth, key, left(key, length(key) - 32) AS parent, chars FROM s UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM c
+), node AS (
+  SELECT key, parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars FROM pre GROUP BY ALL
+), child AS (
+  SELECT parent AS key, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY 1
+), told AS (
+  SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(key, depth) AS key FROM pre GROUP BY 1) GROUP BY 1
+), sums AS (
+  SELECT pre.key, sum((child.n IS NULL)::BIGINT) AS n_leaves, sum((node.n_convs - 1) * node.chars) AS saved
+  FROM node LEFT JOIN child USING (key) JOIN pre ON pre.conv_id = node.conv_id AND pre.depth <= node.depth GROUP BY 1
+)
+SELECT node.conv_id, node.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN sums USING (key) LEFT JOIN child USING (key) LEFT JOIN told USING (key) LEFT JOIN node up ON up.key = node.parent
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -173,4 +210,4 @@ SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(floo
 
 
 def oracle_sql():
-    return {"op2_substring_dedup": OP2_SQL, "op5_norm_bucket_top_k": OP5_SQL, "op9_license_scan": _op9_sql(), "op13_mixing": OP13_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_norm_bucket_top_k": OP5_SQL, "op9_license_scan": _op9_sql(), "op11_conversation_trie": OP11_SQL, "op13_mixing": OP13_SQL}
