@@ -17,6 +17,11 @@ _OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ƺ]|<\\|endoftext")  # Latin letters
 _loaded: dict[str, BytePieces] = {}
 
 
+def needs_library(text: str) -> bool:
+    """False only where the quicker encoder surely gives the library's ids."""
+    return bool(_OTHER.search(text))
+
+
 class BytePieces:
     def __init__(self, name: str):
         import public_tokenizers

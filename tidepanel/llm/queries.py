@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses
+from .alignment import align_texts
 from .ann import nearest
 from .common import read
 from .language import fit_language, language_column
@@ -74,6 +75,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(rebuilt(read(spark, sf_dir, "conversations")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_texts(read(spark, sf_dir, "documents"))[0]
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -91,6 +96,7 @@ def queries():
         "op9_license_scan": op9_license_scan,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_conversation_trie": op11_conversation_trie,
+        "op12_token_alignment": op12_token_alignment,
         "op13_mixing": op13_mixing,
     }
 
