@@ -74,9 +74,9 @@ class Tokenizers:
         """Ids of A and B of each text, which must begin with a space; none where they do not give the text back."""
         found = []
         for text, b in zip(texts, self.pieces.encode([t[1:] for t in texts], num_threads=1), strict=True):
-            a = self.other.encode(text, add_special_tokens=False).ids if bpe.needs_library(text) else self.plain.encode_ordinary(text)
-            raw = text.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            plain, raw = not bpe.needs_library(text), text.encode()
+            a = self.plain.encode_ordinary(text) if plain else self.other.encode(text, add_special_tokens=False).ids
+            if b"".join(map(self.bytes_b.__getitem__, b)) != raw or not plain and b"".join(map(self.bytes_a.__getitem__, a)) != raw:
                 a, b = [], []
             found.append((np.array(a, np.int64), np.array(b, np.int64)))
         return found
@@ -93,16 +93,24 @@ class Aligned:
 
     def __init__(self, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray):
         self.a, self.b, self.ends_a, self.ends_b = a, b, ends_a, ends_b
-        self.common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        self.cuts = np.union1d(ends_a, ends_b)  # one link each
-        self.link_a, self.link_b = a[np.searchsorted(ends_a, self.cuts)], b[np.searchsorted(ends_b, self.cuts)]
+        ends = np.concatenate((ends_a, ends_b))
+        order = np.argsort(ends, kind="stable")  # of two equal ends A's comes first
+        ends, of_a = ends[order], order < len(ends_a)
+        same = ends[1:] == ends[:-1]
+        edge = np.zeros(min(1, len(ends)), bool)
+        first, second = (np.concatenate(x) for x in ((same, edge), (edge, same)))
+        self.common, self.cuts = ends[first], ends[~second]  # one link ends at each cut
+        self.link_a, self.link_b = (x[(np.cumsum(of) - of)[~second]] for x, of in ((a, of_a), (b, ~of_a)))
+        group = np.cumsum(first) - first - second
+        self.in_a, self.in_b, self.last_a, self.last_b = group[of_a], group[~of_a], first[of_a], second[~of_a]
 
     def shown(self, t: Tokenizers) -> np.ndarray:
         """Places in ``t.shown`` of all tokens in the digest's order: group by group, A before B."""
-        in_a, in_b = np.searchsorted(self.common, self.ends_a), np.searchsorted(self.common, self.ends_b)
+        up_to_a, up_to_b = (np.cumsum(np.bincount(x, minlength=len(self.common))) for x in (self.in_a, self.in_b))
+        before_b = np.concatenate(([0], up_to_b))
         out = np.empty(len(self.a) + len(self.b), np.int64)
-        out[np.arange(len(self.a)) + np.searchsorted(in_b, in_a)] = self.a + t.n_a * (self.common[in_a] == self.ends_a)
-        out[np.arange(len(self.b)) + np.searchsorted(in_a, in_b, "right")] = 2 * t.n_a + self.b + t.n_b * (self.common[in_b] == self.ends_b)
+        out[np.arange(len(self.a)) + before_b[self.in_a]] = self.a + t.n_a * self.last_a
+        out[np.arange(len(self.b)) + up_to_a[self.in_b]] = 2 * t.n_a + self.b + t.n_b * self.last_b
         return out
 
 
