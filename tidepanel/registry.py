@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import factors, joins, market, portfolios, selection, stream, studies, tables  # noqa: F401
+from .plans import factors, joins, market, portfolios, selection, stream, studies, tables, zones  # noqa: F401
 from .plans.catalog import ORACLES, QUERIES
 
 
