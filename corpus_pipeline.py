@@ -6,9 +6,8 @@ left. ``run`` writes each stage's result as Parquet and reads it for the next.
 
 Nulls: a row with a null id passes the deduplicating stages unchanged; a null
 text scores as an empty one. A document of which a deduplicating stage leaves no
-word is left out. Rows with the same id and text are one document; of rows with
-the same id and other texts, lines and passages are judged in each by itself, and
-near duplicates by the text with the smallest hash.
+word is left out. Rows with the same id and text are one document; each other
+text of an id is a document of its own.
 """
 
 from __future__ import annotations

@@ -77,5 +77,5 @@ def test_against_brute_force(spark):
 
 def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "x y z"), (None, None), (1, "x y z"), (1, "x y z")], "doc_id long, text string")
-    assert sorted(map(tuple, near_duplicates(df).collect()), key=str) == [(1, 1), (None, None), (None, None)]
+    assert sorted(((r.doc_id, r.class_id) for r in near_duplicates(df).collect()), key=str) == [(1, 1), (None, None), (None, None)]
     assert near_duplicates(df.limit(0)).collect() == []

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -56,3 +57,18 @@ def test_unigram_scores_with_marks_newlines_and_other_scripts():
     for t, ids in zip(texts, own.encode(texts), strict=True):
         assert own.decode(ids.tolist()) == lib.decode(lib.encode(t))
         assert abs(total(ids.tolist()) - total(lib.encode(t))) < 1e-2
+
+
+def test_long_runs_take_no_square_time(lib):
+    own, rng = Model(open(public_tokenizers.path(NAME), "rb").read()), random.Random(11)
+    runs = [" " * n for n in (1, 2, 47, 48, 49, 50, 100, 1_000, 100_000)] + ["\t" * 100_000, "\n" * 50_000, "x" * 100_000, "▁" * 100_000]
+    runs += ["".join(rng.choice([" ", "▁", "\t", "a", "  "]) for _ in range(60_000)), " " * 60_000 + "word" + " " * 60_000, " " * 500 + "internationalization" * 300]
+    runs += [" " * rng.randint(2, 90) + "".join(rng.choice("abett ▁") for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    began = time.process_time()
+    got = own.encode(runs)
+    assert time.process_time() - began < 30
+    for r, ids in zip(runs, got, strict=True):
+        assert ids.tolist() == lib.encode(r)
+    began = time.process_time()
+    Model(open(public_tokenizers.path(NAME), "rb").read()).encode([" " * 100_000])
+    assert time.process_time() - began < 3

@@ -22,16 +22,16 @@ agree in a component with the probability Jaccard of the documents.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null
 text or one without words, and a row with a null id, is a class of its own (its
-class_id is its own id); rows of one id are one document, and of its different
-texts the one with the smallest hash speaks for it; extra columns are not read;
-an empty table gives an empty result.
+class_id is its own id); rows with the same id and text are one document, and each
+other text of an id is a document of its own, compared as any other; extra columns
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, keep, min_labels, packs, text_bytes
@@ -179,7 +179,7 @@ def _bit_rows(m: int, together: int = 64):
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 6, rounds: int = 2, few: int = 8, long_sketch: int = 2048
 ) -> DataFrame:
-    """doc_id and class_id (the smallest id of its near-duplicate class), one row a document.
+    """doc_id and class_id (the smallest id of its near-duplicate class), one row a document; tag (its text's hash, where the id has several texts) and leads (it is the one of its class to keep).
 
     With 30 bands of 6 components a pair at the threshold of 0.8 shares no
     bucket with probability 1.1e-4. Turns of step 3 go on, ``rounds`` at most, until
@@ -188,11 +188,18 @@ def near_duplicates(
     ``long_sketch`` components, agree in as many bits as a pair at the threshold does
     but for 4.5 deviations (a chance of 4e-6 to miss one).
     """
-    plain = id_text(docs, id_col, text_col).withColumn("tag", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    plain = id_text(docs, id_col, text_col).withColumn("tag", _tag(F.col("text")))
     signs = keep(plain.where("doc_id is not null").mapInArrow(_sketch_rows(shingle, bands, rows), "doc_id long, tag long, k1 long, k2 long, n int, bands array<long>"), "sketches")
-    texts = signs.groupBy("doc_id").agg(F.min("tag").alias("tag"), F.max("tag").alias("other")).where("tag < other")
-    hidden = keep(signs.select("doc_id", F.col("tag").alias("own")).join(texts, "doc_id").where("own > tag").select("doc_id", F.col("own").alias("tag")).distinct(), "hidden")
-    full = signs.where("n > 0").join(hidden, ["doc_id", "tag"], "left_anti")
+    texts = signs.groupBy("doc_id").agg(F.min("tag").alias("lead"), F.max("tag").alias("other")).where("lead < other")
+    # an id's first text goes under the id, its other texts under numbers of their own
+    number = F.when(F.col("tag") == F.col("lead"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "tag"))
+    repeated = keep(signs.select("doc_id", "tag").join(texts, "doc_id").select("doc_id", "tag", number.alias("node")).distinct(), "repeated")
+    has_repeated = not repeated.isEmpty()
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.join(repeated, ["doc_id", "tag"], "left").withColumn("doc_id", F.coalesce("node", "doc_id")).drop("node") if has_repeated else df
+
+    full = numbered(signs.where("n > 0"))
     reps = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     member = full.select("doc_id", "k1", "k2", "n").join(reps, ["k1", "k2", "n"]).select("doc_id", "rep").distinct()
     member = keep(member, "members")
@@ -206,7 +213,7 @@ def near_duplicates(
     pivots = placed.groupBy("band", "key").agg(F.min("order").getField("doc_id").alias("pivot"))
     buckets = keep(placed.join(pivots, ["band", "key"]).select("band", "key", "doc_id", "met", "pivot"), "buckets-pivots")
 
-    sets = plain.join(central.select("doc_id"), "doc_id", "left_semi").join(hidden, ["doc_id", "tag"], "left_anti").dropDuplicates(["doc_id"])
+    sets = numbered(plain).join(central.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = keep(sets.select("doc_id", "text").mapInArrow(_set_rows(shingle), "doc_id long, elems binary, counts binary"), "sets")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("elems").alias(f"e{x}"), F.col("counts").alias(f"c{x}")) for x in "ab")
 
@@ -273,13 +280,23 @@ def near_duplicates(
     classed = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     for up in merges:
         classed = merged(classed, "class_id", up)
-    classed = classed.select("doc_id", "class_id")
-    alone = signs.where("n = 0").join(hidden, ["doc_id", "tag"], "left_anti").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
-    none = plain.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return classed.union(alone).union(none)
-
-
-def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose class is led by another document."""
-    gone = classes.where("class_id < doc_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    if has_repeated:
+        named = classed.withColumnsRenamed({"doc_id": "node", "class_id": "label"}).join(repeated, "node", "left").withColumn("doc_id", F.coalesce("doc_id", "node"))
+        heads = named.groupBy("label").agg(F.min(F.struct("doc_id", "tag")).alias("head"))
+        leads = (F.col("doc_id") == F.col("head.doc_id")) & F.col("tag").eqNullSafe(F.col("head.tag"))
+        classed = named.join(heads, "label").select("doc_id", F.col("head.doc_id").alias("class_id"), "tag", leads.alias("leads"))
+    else:
+        classed = classed.select("doc_id", "class_id", F.lit(None).cast("long").alias("tag"), (F.col("doc_id") == F.col("class_id")).alias("leads"))
+    alone = signs.where("n = 0").select("doc_id", "tag").distinct().union(plain.where("doc_id is null").select("doc_id", "tag"))
+    return classed.union(alone.select("doc_id", F.col("doc_id").alias("class_id"), "tag", F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that do not lead their class."""
+    gone = classes.where("not leads").select(F.col("doc_id").alias("_near_id"), F.col("tag").alias("_near_tag"))
+    same_text = F.col("_near_tag").isNull() | (F.col("_near_tag") == _tag(docs[text_col]))
+    return docs.join(gone, (docs[id_col] == F.col("_near_id")) & same_text, "left_anti")
+
+
+def _tag(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text.cast("string")), F.lit(0))

@@ -46,7 +46,7 @@ def op5_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

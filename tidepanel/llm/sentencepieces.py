@@ -10,14 +10,15 @@ encoding of the rest, the one whose pair with the last piece there is left alone
 by the merges. Words that begin with several marks, and models with pieces that
 go beyond a word, are encoded by the merges or scores over the whole run.
 
-Defined results: a null or empty text has no ids and decodes to an empty text; a
-character that is not in the model is its bytes' pieces (or the unknown piece,
+Defined results: a null or empty text has no ids and decodes to an empty text; rows
+with the same or no id are texts of their own; a character that is not in the model is its bytes' pieces (or the unknown piece,
 if the model has none); extra columns are not read; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 
@@ -72,6 +73,8 @@ class Model:
 
     def merged(self, run: str) -> list[str]:
         """BPE: the adjacent pair with the best piece is joined (ties: the leftmost) until none is a piece."""
+        if len(run) > 48:
+            return self._merged_long(run)
         parts = list(run)
         while len(parts) > 1:
             best, at = None, -1
@@ -84,6 +87,30 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _merged_long(self, run: str) -> list[str]:
+        """The same by a heap of the neighbouring pairs and links from part to part: n log n steps."""
+        parts: list[str | None] = list(run)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        score = self.score.get
+        pairs = [(-s, i, run[i : i + 2]) for i in range(len(parts) - 1) if (s := score(run[i : i + 2])) is not None]
+        heapq.heapify(pairs)
+        while pairs:
+            _, i, piece = heapq.heappop(pairs)
+            j = after[i]
+            # a part since joined to its left is None, one joined to its right is longer
+            if parts[i] is None or j == len(parts) or len(parts[i]) + len(parts[j]) != len(piece):
+                continue
+            parts[i], parts[j], after[i] = piece, None, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for left in (before[i], i):
+                right = after[left] if left >= 0 else len(parts)
+                if right < len(parts):
+                    new = parts[left] + parts[right]
+                    if (s := score(new)) is not None:
+                        heapq.heappush(pairs, (-s, left, new))
+        return [p for p in parts if p is not None]
+
     def _fits(self, before: str | None, piece: str) -> bool:
         if piece not in self.alone:
             self.alone[piece] = self.merged(piece) == [piece]
