@@ -13,7 +13,7 @@ that neither a long list nor many queries of one list gather in one task. Scores
 are products of the original vectors in double precision.
 
 Defined results: vectors that are null, zero or hold a null or non-finite
-component take no part, nor do null ids or lengths other than the most frequent;
+component take no part, nor do null ids; each length is searched among its own;
 rows with the same id and vector are one; a query's own row is its id; extra
 columns are not read; an empty table gives an empty result.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
-from .vectors import best, blocks, classes, matrix, ranked, usable
+from .vectors import best, blocks, by_length, classes, matrix, ranked, usable
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -192,10 +192,14 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best found; ``query_rows`` is a condition on vec_id. Centroids are fitted on about ``sample`` classes, chosen by the hash of their ids."""
     rows = usable(df, id_col, vec_col, zero=False)
+    return by_length(rows, lambda same: _nearest(same, query_rows, k, list_size, most_lists, sample, spill, copies, ratio, least_lists))
+
+
+def _nearest(rows: DataFrame, query_rows, k: int, list_size: int, most_lists: int, sample: int, spill: float, copies: int, ratio: float, least_lists: int) -> DataFrame:
     known = keep(classes(rows, k), "classes")
     square = known.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
     if square[0] is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     square, total = square
     chosen = known if total <= sample else known.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
     x = np.array([r.vec for r in chosen.sort("cid").select("vec").collect()])

@@ -12,8 +12,8 @@ that are long enough. All products are verified in whole numbers.
 Query blocks meet the blocks in groups of bounded size, broadcast one at a time.
 
 Defined results: vectors that are null or hold a null or non-finite component
-take no part, nor do null ids or lengths other than the most frequent; rows with
-the same id and vector are one; a query's own row is its id; extra columns are
+take no part, nor do null ids; vectors of each length are searched among
+themselves; rows with the same id and vector are one; a query's own row is its id; extra columns are
 not read; an empty table gives an empty result. A component beyond a long's
 range is an error.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
-from .vectors import best, blocks, classes, ranked, usable
+from .vectors import best, blocks, by_length, classes, ranked, usable
 
 _FOUND = "cid long, vec_id long, score long"
 _HIGH = 0.6  # from this local cosine on, coordinates prune
@@ -95,11 +95,16 @@ def _search(k: int, bound: bool):
 def exact_top_k(df: DataFrame, query_rows, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0, block: int = 4096, query_block: int = 512, group: int = 32) -> DataFrame:
     """query_id, rank, vec_id and score (long) of each query's k largest products of floor(scale · x); ``query_rows`` is a condition on vec_id."""
     rows = usable(df, id_col, vec_col, zero=True).select("vec_id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
+    return by_length(rows, lambda same: _top_k(same, query_rows, k, block, query_block, group))
+
+
+def _top_k(rows: DataFrame, query_rows, k: int, block: int, query_block: int, group: int) -> DataFrame:
+    spark = rows.sparkSession
     known = keep(classes(rows, k), "classes")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     longest = known.agg(F.max(norm)).first()[0]
     if longest is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     key = F.when(norm > 0, F.floor(F.log(F.lit(longest) / norm) / 0.05)).otherwise(1 << 20).cast("long")
     packed = keep(blocks(known.withColumn("key", key), block), "blocks")
     queries = keep(rows.where(query_rows).distinct().join(known.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), "cid", "vec"), "queries")
@@ -114,4 +119,4 @@ def exact_top_k(df: DataFrame, query_rows, k: int, id_col: str = "vec_id", vec_c
     ready = keep(asked.join(listed, "name").withColumn("g", F.pmod(F.xxhash64("name"), F.lit(max(1, -(-asked.count() // group))))), "ready")
     groups = [r.g for r in ready.select("g").distinct().orderBy("g").collect()]
     found = [packed.withColumn("g", F.lit(g)).join(F.broadcast(ready.where(F.col("g") == g)), "g").select("ids", "vecs", "q_ids", "q_vecs", "bounds").mapInArrow(_search(k, False), _FOUND) for g in groups]
-    return ranked(reduce(DataFrame.union, found), queries.select("query_id", "cid"), k, F.col("x.score")) if found else df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return ranked(reduce(DataFrame.union, found), queries.select("query_id", "cid"), k, F.col("x.score")) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

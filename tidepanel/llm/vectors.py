@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,15 +14,19 @@ from .common import on_workers
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
-    """vec_id and vec (array<double>): rows with an id and a vector of finite components, of the most frequent length (ties: the longer); ``zero`` keeps zero vectors."""
+    """vec_id and vec (array<double>): rows with an id and a vector of finite components; ``zero`` keeps zero vectors."""
     on_workers(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec_id is not null and size(vec) > 0")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.coalesce(fine, F.lit(False)))
-    if not zero:
-        rows = rows.where(F.exists("vec", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("vec") == (sizes.n if sizes else 0))
+    return rows if zero else rows.where(F.exists("vec", lambda x: x != 0))
+
+
+def by_length(rows: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` among the vectors of each length, which meet no others; one search a length."""
+    lengths = sorted(r.n for r in rows.select(F.size("vec").alias("n")).distinct().collect())
+    found = [search(rows.where(F.size("vec") == n) if len(lengths) > 1 else rows) for n in lengths] or [search(rows)]
+    return reduce(DataFrame.union, found)
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
