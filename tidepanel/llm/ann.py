@@ -192,10 +192,10 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best found; ``query_rows`` is a condition on vec_id. Centroids are fitted on about ``sample`` classes, chosen by the hash of their ids."""
     rows = usable(df, id_col, vec_col, zero=False)
-    return by_length(rows, lambda same: _nearest(same, query_rows, k, list_size, most_lists, sample, spill, copies, ratio, least_lists))
+    return by_length(rows, lambda same: _near_of_one_length(same, query_rows, k, list_size, most_lists, sample, spill, copies, ratio, least_lists))
 
 
-def _nearest(rows: DataFrame, query_rows, k: int, list_size: int, most_lists: int, sample: int, spill: float, copies: int, ratio: float, least_lists: int) -> DataFrame:
+def _near_of_one_length(rows: DataFrame, query_rows, k: int, list_size: int, most_lists: int, sample: int, spill: float, copies: int, ratio: float, least_lists: int) -> DataFrame:
     known = keep(classes(rows, k), "classes")
     square = known.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
     if square[0] is None:
