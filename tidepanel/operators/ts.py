@@ -5,9 +5,9 @@ A result is NULL until its frame holds n non-null values.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,23 +119,46 @@ def risk_adjusted_momentum(mean: Column, deviation: Column) -> Column:
     return F.try_divide(mean, F.when(deviation == 0, 1e-6).otherwise(deviation))
 
 
+def ema(df: DataFrame, spans: dict[str, tuple[str, int]], entity: str = "entity_id", time: str = "day", skip: int = 0, length: int = 64) -> DataFrame:
+    """Columns ``name: (value, span)`` with the EMA that starts at each entity's first value after ``skip`` bars; bars before it have NULL.
+
+    A bar's step e -> (1 - a) e + a x is an affine map. Their products over chunks of ``length``
+    bars are window sums; a chunk starts from the ends of the chunks before, as many as still
+    count in a double (under 1e-18 of the value is left out). Values must not be NULL.
+    """
+    i, at, chunk, inner = F.col("_i"), F.col("_at"), Window.partitionBy(entity, "_chunk").orderBy(time), {}
+    rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(entity).orderBy(time)) - 1 - skip)
+    rows = rows.withColumns({"_chunk": F.floor(i / length), "_at": F.pmod(i, F.lit(length))})
+    for name, (value, span) in spans.items():
+        a = 2.0 / (span + 1)
+        weight = F.when(i < 0, 0.0).when(i == 0, 1.0).otherwise(a)
+        total = F.sum(weight * F.when(i >= 0, F.col(value)).otherwise(0.0) * F.pow(F.lit(1 - a), -at)).over(chunk)
+        inner[name] = total * F.pow(F.lit(1 - a), at)
+    rows = rows.withColumns(inner)
+    ends = rows.groupBy(entity, "_chunk").agg(*(F.max_by(n, "_at").alias(n) for n in spans))
+    order, before = Window.partitionBy(entity).orderBy("_chunk"), []
+    for name, (_, span) in spans.items():
+        left = (1 - 2.0 / (span + 1)) ** length
+        reach = max(1, math.ceil(math.log(1e-18) / math.log(left)))
+        before.append(sum((F.coalesce(F.lag(name, k + 1).over(order), F.lit(0.0)) * left**k for k in range(reach)), F.lit(0.0)).alias(f"_{name}"))
+    whole = rows.join(ends.select(entity, "_chunk", *before), [entity, "_chunk"])
+    done = {n: F.when(i >= 0, F.col(n) + F.col(f"_{n}") * F.pow(F.lit(1 - 2.0 / (span + 1)), at + 1)) for n, (_, span) in spans.items()}
+    return whole.withColumns(done).drop("_i", "_chunk", "_at", *(f"_{n}" for n in spans))
+
+
 def macd(df: DataFrame, price: str = "close", entity: str = "entity_id", time: str = "day", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """W-20 and W-35 inputs: diff, dea, macd, live (+1 or -1), bull and the signed run length of live.
 
-    The recursion runs once over each entity's bars. diff and dea are NULL for the
-    first slow - 1 bars (dea then starts at the first diff), where live is -1 and
-    bull is false. Bars without a price are dropped first.
+    diff and dea are NULL for the first slow - 1 bars (dea then starts at the first
+    diff), where live is -1 and bull is false. Bars without a price are dropped first.
     """
-    schema = f"{entity} string, {time} date, diff double, dea double, macd double, live int, bull boolean, live_count int"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        ema = lambda x, n: x.ewm(span=n, adjust=False, min_periods=n).mean()
-        diff = ema(pdf[price], fast) - ema(pdf[price], slow)
-        dea = diff.ewm(span=signal, adjust=False).mean()
-        live = ((diff > dea).astype("int32") * 2 - 1).astype("int32")
-        run = (live != live.shift()).cumsum()
-        count = (live.groupby(run).cumcount() + 1) * live
-        return pd.DataFrame({entity: pdf[entity], time: pdf[time], "diff": diff, "dea": dea, "macd": (diff - dea) * 2, "live": live, "bull": (diff > 0) & (dea > 0), "live_count": count.astype("int32")})
-
-    return df.where(F.col(price).isNotNull()).select(entity, time, price).groupBy(entity).applyInPandas(fold, schema)
+    by = Window.partitionBy(entity).orderBy(time)
+    rows = ema(df.where(F.col(price).isNotNull()).select(entity, time, price), {"_fast": (price, fast), "_slow": (price, slow)}, entity, time)
+    rows = rows.withColumn("diff", F.when(F.row_number().over(by) >= slow, F.col("_fast") - F.col("_slow")))
+    rows = ema(rows.select(entity, time, "diff"), {"dea": ("diff", signal)}, entity, time, skip=slow - 1)
+    diff, dea = F.col("diff"), F.col("dea")
+    rows = rows.withColumn("live", F.when(diff > dea, 1).otherwise(-1)).withColumn("_n", F.row_number().over(by))
+    turns = F.when(F.coalesce(F.lag("live").over(by), F.lit(0)) != F.col("live"), F.col("_n"))
+    rows = rows.withColumn("_turn", turns).withColumn("_run", F.col("_n") - F.max("_turn").over(by) + 1)
+    bull = F.coalesce((diff > 0) & (dea > 0), F.lit(False))
+    return rows.select(entity, time, "diff", "dea", ((diff - dea) * 2).alias("macd"), "live", bull.alias("bull"), (F.col("_run") * F.col("live")).cast("int").alias("live_count"))
