@@ -156,20 +156,25 @@ def _ema(x: str, n: int) -> str:
     return f"list_reduce({x}, lambda a, v: a + 2.0 / {n + 1} * (v - a))"
 
 
-@query(f"""WITH {BARS}, a AS (SELECT entity_id, day, list(close) OVER ({WE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM bars),
+MACD = f"""{BARS}, a AS (SELECT entity_id, day, list(close) OVER ({WE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM bars),
 d AS (SELECT entity_id, day, CASE WHEN len(v) >= 26 THEN {_ema('v', 12)} - {_ema('v', 26)} END AS diff FROM a),
 b AS (SELECT *, list(diff) FILTER (WHERE diff IS NOT NULL) OVER ({WE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM d),
-e AS (SELECT entity_id, day, diff, CASE WHEN diff IS NOT NULL THEN {_ema('w', 9)} END AS dea FROM b)
+e AS (SELECT entity_id, day, diff, CASE WHEN diff IS NOT NULL THEN {_ema('w', 9)} END AS dea FROM b)"""
+
+
+@query(f"""WITH {MACD}
 SELECT entity_id, day, round(diff, 4) AS diff, round(dea, 4) AS dea, round(2 * (diff - dea), 4) AS macd, coalesce(diff > 0 AND dea > 0, false) AS bull FROM e""")
 def macd_indicator(spark, sf_dir):
-    """W-20, W-43: EMA and MACD by one pass over each entity."""
+    """W-20: EMA and MACD by affine maps over chunks of bars."""
     m = ts.macd(bars(spark, sf_dir))
     return m.select(*KEY, *(F.round(C(c), 4).alias(c) for c in ("diff", "dea", "macd")), "bull")
 
 
-@query()
+@query(f"""WITH {MACD}, l AS (SELECT entity_id, day, CASE WHEN diff > dea THEN 1 ELSE -1 END AS live, coalesce(diff > 0 AND dea > 0, false) AS bull, row_number() OVER ({WE}) AS i FROM e),
+t AS (SELECT *, lag(live) OVER ({WE}) AS was, CASE WHEN live IS DISTINCT FROM lag(live) OVER ({WE}) THEN i END AS turn FROM l), c AS (SELECT *, (i - max(turn) OVER ({WE}) + 1) * live AS run FROM t)
+SELECT entity_id, day, coalesce(bool_and(bull) OVER ({WE} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), false) AND count(bull) OVER ({WE} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 10 AS keep_bull, live = 1 AND was = -1 AS gold_cross, lag(run) OVER ({WE}) <= -5 AND run >= 1 AS live_after_dead FROM c""")
 def macd_patterns(spark, sf_dir):
-    """W-35: bull for 10 bars, golden cross, long dead run turned live (tested against pandas)."""
+    """W-35: bull for 10 bars, golden cross, long dead run turned live."""
     m = ts.macd(bars(spark, sf_dir))
     return m.select(*KEY, S.all_of(C("bull"), -9, 0).alias("keep_bull"), ((C("live") == 1) & (S.lag(C("live")) == -1)).alias("gold_cross"), ((S.lag(C("live_count")) <= -5) & (C("live_count") >= 1)).alias("live_after_dead"))
 
@@ -253,7 +258,9 @@ def passed_in_window(spark, sf_dir):
     return p.select(*KEY, sg.passed_in_window(C("ret") > 0, "entity_id", C("day"), 30, 4).alias("good"))
 
 
-@query()
+@query(f"""WITH {BARS}, w AS (SELECT entity_id, day, close FROM bars WHERE day < (SELECT max(day) FROM bars)),
+f AS (SELECT entity_id, day, round(CASE WHEN count(close) OVER b = 5 THEN avg(close) OVER b END, 8) AS x FROM bars WINDOW b AS ({WE} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+g AS (SELECT entity_id, day, round(CASE WHEN count(close) OVER b = 5 THEN avg(close) OVER b END, 8) AS x FROM w WINDOW b AS ({WE} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT * FROM g EXCEPT ALL SELECT * FROM f""")
 def look_ahead_check(spark, sf_dir):
     """W-46: rows of a factor that change when the last day is left out (none, if it doesn't look ahead)."""
     full_ = bars(spark, sf_dir)

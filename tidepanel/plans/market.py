@@ -76,18 +76,6 @@ def distribution(spark, sf_dir):
 TOPICS = {"articles": ["the", "la", "der"], "joins": ["and", "und", "et"]}
 
 
-@query("""WITH n AS (SELECT source AS entity_id, string_agg(left(text, 80), ' ' ORDER BY doc_id) AS t FROM documents WHERE text IS NOT NULL GROUP BY source), w AS (SELECT * FROM (VALUES ('articles','the'),('articles','la'),('articles','der'),('joins','and'),('joins','und'),('joins','et')) v(topic, word)),
-h AS (SELECT entity_id, topic, sum((length(t) - length(replace(t, word, ''))) // length(word)) AS hits FROM n, w GROUP BY ALL)
-SELECT entity_id, topic, hits::BIGINT AS hits, hits >= 20 AS grouped FROM h""")
-def stocks_by_topic(spark, sf_dir):
-    """Occurrences of every topic word in an entity's joined titles, the first 80 characters of each text; ``texts_by_topic`` counts whole texts."""
-    d = table(spark, sf_dir, "documents").where("text is not null").groupBy(C("source").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.left("text", F.lit(80)).alias("t")))).alias("x"))
-    d = d.select("entity_id", F.array_join(F.transform("x", lambda x: x.t), " ").alias("t"))
-    words = F.explode(F.array(*(F.struct(F.lit(k).alias("topic"), F.lit(w).alias("word")) for k, v in TOPICS.items() for w in v)))
-    h = d.select("entity_id", "t", words.alias("w")).groupBy("entity_id", C("w.topic").alias("topic")).agg(F.sum(ex.occurrences(C("t"), C("w.word"))).alias("hits"))
-    return h.withColumn("grouped", C("hits") >= 20)
-
-
 @query("""WITH w AS (SELECT * FROM (VALUES ('articles','the'),('articles','la'),('articles','der'),('joins','and'),('joins','und'),('joins','et')) v(topic, word))
 SELECT source AS entity_id, topic, sum(len(string_split(text, word)) - 1)::BIGINT AS hits, sum(len(string_split(text, word)) - 1) >= 20 AS grouped FROM documents, w WHERE text IS NOT NULL GROUP BY source, topic""")
 def texts_by_topic(spark, sf_dir):

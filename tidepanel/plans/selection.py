@@ -170,12 +170,6 @@ def catalogue_difference(spark, sf_dir):
     return e.where("cap > 5000").select("exchange").subtract(e.where("cap < 0").select("exchange"))
 
 
-@query(f"WITH {BARS} SELECT entity_id, day, n::INTEGER AS n, round(CASE n WHEN 5 THEN a5 WHEN 10 THEN a10 ELSE a20 END, 6) AS value FROM (SELECT entity_id, day, " + ", ".join(f"CASE WHEN count(close) OVER (PARTITION BY entity_id ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg(close) OVER (PARTITION BY entity_id ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS a{n}" for n in (5, 10, 20)) + " FROM bars), (SELECT unnest([5, 10, 20]) AS n) WHERE day >= DATE '2001-01-01'")
-def parameter_grid(spark, sf_dir):
-    """The last months of ``parameter_grid_all``."""
-    return parameter_grid_all(spark, sf_dir).where("day >= '2001-01-01'")
-
-
 @query(f"WITH {BARS}, g AS (SELECT unnest([5, 10, 20]) AS n), r AS (SELECT entity_id, day, row_number() OVER (PARTITION BY entity_id ORDER BY day) AS i, close FROM bars), a AS (SELECT x.entity_id, x.day, g.n, CASE WHEN count(y.close) = g.n THEN avg(y.close) END AS value FROM r x CROSS JOIN g JOIN r y ON y.entity_id = x.entity_id AND y.i > x.i - g.n AND y.i <= x.i GROUP BY x.entity_id, x.day, g.n) SELECT entity_id, day, n::INTEGER AS n, round(value, 6) AS value FROM a")
 def parameter_grid_all(spark, sf_dir):
     """S-10, SC-14: one factor over a grid of parameters, all in one pass, for every bar."""

@@ -8,7 +8,6 @@ from ..operators.ts import Series
 from ..sources.adapters import BARS, bars, table
 from ..streaming import jobs
 from .catalog import query, r6
-from .tables import _scratch
 
 C = F.col
 
@@ -27,16 +26,6 @@ def tick_bars(spark, sf_dir):
     return jobs.bars(_events(spark, sf_dir)).select("entity_id", "start", *(r6(C(c)).alias(c) for c in ("open", "high", "low", "close")), "n")
 
 
-@query(f"WITH {HOURLY} SELECT entity_id, start, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, n FROM b")
-def tick_bars_streamed(spark, sf_dir):
-    """ST-3, ST-6: the same by Structured Streaming with update output into a keyed table (last write of a key wins)."""
-    at = _scratch(spark, "stream")
-    jobs.run_once(jobs.bars(jobs.tick_stream(spark, sf_dir, files_per_batch=jobs.ALL_FILES)), jobs.keyed_sink(f"{at}/t", ["entity_id", "start"], "n"), f"{at}/c", "update")
-    versions = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/t")
-    last = versions.groupBy("id").agg(F.max_by(F.struct("entity_id", "start", "open", "high", "low", "close", "n"), "n").alias("r")).select("r.*")
-    return last.select("entity_id", "start", *(r6(C(c)).alias(c) for c in ("open", "high", "low", "close")), "n")
-
-
 @query("""WITH k AS (SELECT 'user_' || user_id AS entity_id, ts, value AS price, row(ts, event_id) AS k FROM events WHERE value IS NOT NULL AND value <> 0),
 w AS (SELECT entity_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 6 HOUR * o AS start, price, k FROM k, (SELECT unnest([0, 1]) AS o)),
 g AS (SELECT entity_id, start, (arg_max(price, k) - arg_min(price, k)) / nullif(abs(arg_min(price, k)), 0) AS change FROM w GROUP BY ALL) SELECT entity_id, start, round(change, 6) AS change FROM g WHERE change >= 0.03 OR change <= -0.03""")
@@ -45,15 +34,6 @@ def shoot_today(spark, sf_dir):
     return jobs.shooters(_events(spark, sf_dir)).select("entity_id", "start", r6(C("change")).alias("change"))
 
 
-@query("""WITH k AS (SELECT 'user_' || user_id AS entity_id, event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM events WHERE value IS NOT NULL AND value <> 0)
-SELECT entity_id, event_id, round(list_reduce(v, lambda a, x: a + 2.0 / 13 * (x - a)), 4) AS ema FROM k""")
-def stateful_ema_streamed(spark, sf_dir):
-    """ST-5, U-3, U-4: per-entity state carried over the batches of a stream."""
-    at = _scratch(spark, "ema")
-    jobs.run_once(jobs.running_ema(jobs.tick_stream(spark, sf_dir, files_per_batch=jobs.ALL_FILES)), f"{at}/t", f"{at}/c")
-    return spark.read.parquet(f"{at}/t").select("entity_id", "event_id", F.round("ema", 4).alias("ema"))
-
-
 @query(f"""WITH {BARS}, d AS (SELECT max(day) AS last FROM bars), f AS (SELECT entity_id, day, CASE WHEN count(close) OVER w = 20 THEN avg(close) OVER w END AS x FROM bars WINDOW w AS (PARTITION BY entity_id ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT entity_id, day, round(x, 6) AS value FROM f WHERE day > (SELECT last - 10 FROM d)""")
 def incremental_factor(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs on ticks (ST): bars, shooters, stateful factors, keyed sinks.
+"""Structured Streaming jobs on ticks (ST): bars and shooters.
 
 Late rows: the reference ignores them, since it only reads what is newer than the
 last row; here a watermark bounds lateness and state.
@@ -6,29 +6,14 @@ last row; here a watermark bounds lateness and state.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..sources.lake import upsert
 
 C = F.col
 
 
-#: For a finite table read to its end: one batch of all files, in which no row is late whatever the order of the files.
-ALL_FILES = (1 << 31) - 1
-
-
-def tick_stream(spark: SparkSession, sf_dir: str, pattern: str = "events.parquet*", files_per_batch: int = 1) -> DataFrame:
-    """Ticks from the files of a folder; the time has a zone, as watermarks ask for."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{pattern}")
-    return raw.select("event_id", F.concat(F.lit("user_"), C("user_id")).alias("entity_id"), C("ts").cast("timestamp").alias("ts"), C("value").alias("price"))
-
-
 def clean(ticks: DataFrame) -> DataFrame:
     """ST-1, F-12: ticks without a price go."""
     return ticks.where("price is not null and price <> 0")
@@ -53,43 +38,8 @@ def shooters(ticks: DataFrame, size: str = "12 hours", slide: str = "6 hours", u
     return g.select("entity_id", C("w.start").cast("timestamp_ntz").alias("start"), change.alias("change")).where((C("change") >= up) | (C("change") <= down))
 
 
-def running_ema(ticks: DataFrame, n: int = 12) -> DataFrame:
-    """ST-5, W-43: an EMA carried by entity over the batches; state is (value, count, last time), and only newer rows go on."""
-    alpha = 2.0 / (n + 1)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, count, seen = state.get if state.exists else (0.0, 0, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for t, i, p in zip(rows["ts"], rows["event_id"], rows["price"], strict=True):
-            at = int(pd.Timestamp(t).value // 1000)
-            if seen is not None and at < seen:
-                continue
-            value, count, seen = (p if not count else value + alpha * (p - value)), count + 1, at
-            out.append((key[0], i, value))
-        state.update((float(value), int(count), seen))
-        yield pd.DataFrame(out, columns=["entity_id", "event_id", "ema"])
-
-    return clean(ticks).groupBy("entity_id").applyInPandasWithState(step, "entity_id string, event_id long, ema double", "value double, count long, seen long", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_once(df: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str, mode: str = "append") -> None:
     """All that is there now, then stop. ``sink`` is a folder for Parquet or a function of each batch (ST-2, ST-7, ST-11)."""
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     w = w.foreachBatch(sink) if callable(sink) else w.format("parquet").option("path", sink)
     w.start().awaitTermination()
-
-
-def keyed_sink(path: str, keys: list[str], sequence: str) -> Callable[[DataFrame, int], None]:
-    """ST-2: the last row of each key. Each batch writes a version of its own, so a batch run again after a failure gives the same table; one writer a table."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("id", F.concat_ws("|", *keys))
-        w = Window.partitionBy("id").orderBy(F.desc(sequence))
-        new = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-        if number:
-            new = upsert(spark.read.parquet(f"{path}/v{number - 1}"), new, "id", sequence, replace=True)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return write
