@@ -64,6 +64,7 @@ class Model:
             ends.setdefault(p[-2:], set()).add(len(p))
         self.ends = {end: sorted(sizes, reverse=True) for end, sizes in ends.items()}  # sizes of the pieces by their last two characters
         self.known: dict[str, bytes] = {}  # words met before
+        self.older: dict[str, bytes] = {}  # those known before ``known`` was last begun
         self.within = not any(MARK in p.lstrip(MARK) or p.startswith(MARK * 2) and p.strip(MARK) for p in self.ids)
         self.worst = min(self.score.values(), default=0.0) - 10
         self.alone: dict[str, bool] = {}  # piece -> the merges give it whole
@@ -135,7 +136,7 @@ class Model:
                 out.append(self.unknown)
         return out
 
-    # forward states: one a character, (score, last piece, its state's place) or (last piece or None, place)
+    # forward states: one a character
 
     def _step(self, word: str, j: int, states: list) -> tuple:
         """Unigram: the best-scored way to the first j characters."""
@@ -149,7 +150,9 @@ class Model:
 
     def encode_words(self, words) -> dict[str, bytes]:
         """The ids (32-bit machine words) of each distinct marked word, by a depth-first walk of their trie."""
-        out, last, states = {}, "", [(0.0, "", 0)]
+        out, last = {}, ""
+        # a state is (score or the piece's number, piece, its state's place)
+        states: list[tuple] = [(0.0 if self.unigram else None, "", 0)]
         ids, alone, left, ends, step, unigram = self.ids, self.alone, self.left, self.ends, self._step, self.unigram
         for word in sorted(words):
             if not unigram and word.startswith(MARK * 2):
@@ -163,46 +166,55 @@ class Model:
                 if unigram:
                     states.append(step(word, j, states))
                     continue
-                found = (0.0, word[j - 1], j - 1)
                 for size in ends.get(word[j - 2 : j], ()) if j > 1 else ():
                     if size > j:
                         continue
                     piece = word[j - size : j]
                     number = ids.get(piece)
                     if number is not None:  # pairs met before are decided here, without a call
-                        before = states[j - size][1]
-                        first = ids.get(before)
+                        first, before, _ = states[j - size]
                         fits = alone.get(piece) if first is None else left.get(first << 32 | number)
                         if fits is None:
                             fits = self._fits(None if first is None else before, piece)
                         if fits:
-                            found = (0.0, piece, j - size)
+                            states.append((number, piece, j - size))
                             break
-                states.append(found)
-            pieces, j = [], len(word)
+                else:
+                    piece = word[j - 1]
+                    states.append((ids.get(piece), piece, j - 1))
+            found, j, last = [], len(word), word
             while j:
-                pieces.append(states[j][1])
-                j = states[j][2]
-            out[word], last = array("i", self.spelled(pieces[::-1])).tobytes(), word
+                number, piece, j = states[j]
+                found.append(piece if unigram or number is None else number)
+            if unigram:
+                found = self.spelled(found[::-1])
+            else:
+                found.reverse()
+                if str in map(type, found):
+                    found = [i for x in found for i in (self.spelled([x]) if isinstance(x, str) else (x,))]
+            out[word] = array("i", found).tobytes()
         return out
 
     def marked(self, text: str) -> list[str]:
         run = (MARK if self.dummy else "") + text.replace(" ", MARK)
         return _WORD.findall(run) if self.within else [run]
 
-    def encode(self, texts: list[str | None], most_known: int = 1 << 17) -> list[np.ndarray]:
-        """The ids of each text. A word is walked once for as long as at most ``most_known`` words are kept."""
+    def encode(self, texts: list[str | None], most_known: int = 1 << 16) -> list[np.ndarray]:
+        """The ids of each text. Beyond ``most_known`` words the known ones become the older ones; of these, words met again stay, so frequent words are walked once."""
         parts = [self.marked(t) if t else [] for t in texts]
         if len(self.known) > most_known:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new: set[str] = set()
         for p in parts:
             new.update(p)
-        self.known.update(self.encode_words(new.difference(self.known)))
+        new.difference_update(self.known)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        self.known.update(self.encode_words(new - again))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.int32) for p in parts]
 
     def decode(self, ids) -> str:
-        raw = b"".join([self.text[i] for i in ids])
+        raw = b"".join(map(self.text.__getitem__, ids))
         return (raw[1:] if self.dummy and raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
