@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import factors, joins, live, market, portfolios, selection, stream, studies, tables, toplists, zones  # noqa: F401
+from .plans import factors, joins, lakes, live, market, portfolios, selection, stream, studies, tables, toplists, zones  # noqa: F401
 from .plans.catalog import ORACLES, QUERIES
 
 

@@ -15,6 +15,11 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def register(spark: SparkSession, datasets: dict[str, str]) -> None:
     """SRC-2: a view for each dataset."""
     for name, path in datasets.items():
@@ -98,10 +103,15 @@ def retained(df: DataFrame, days: int, time: str = "day") -> DataFrame:
     return df.join(F.broadcast(last), F.col(time) >= F.col("_from")).drop("_from")
 
 
+def utc_from_micros(n: Column) -> Column:
+    """Microseconds since the epoch as a UTC time without a zone, the same in every session zone and at its clock changes."""
+    return F.timestamp_add("MICROSECOND", n, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def without_zone(df: DataFrame) -> DataFrame:
     """SNK-7: timestamps with a zone become UTC without one."""
     zoned = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
-    return df.withColumns({c: F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz") for c in zoned})
+    return df.withColumns({c: utc_from_micros(F.unix_micros(c)) for c in zoned})
 
 
 def newer(source: DataFrame, stored: DataFrame, entity: str = "entity_id", time: str = "day") -> DataFrame:
