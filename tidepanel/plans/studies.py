@@ -75,7 +75,7 @@ def qfq_rebase(spark, sf_dir):
 SELECT entity_id, coalesce(bool_or(ch > 0.08 AND turnover >= 20000), false) AND coalesce(bool_or(back = 1 AND turnover >= 1000 AND close > m10 AND m5 > m10 AND m10 > m20 AND m20 > m30), false) AS trending,
 coalesce(bool_or(ch > 0.098), false) AND coalesce(bool_or(back = 1 AND turnover >= 1000 AND close > m10), false) AS active FROM m WHERE back <= 60 GROUP BY entity_id""")
 def trending_and_active(spark, sf_dir):
-    """W-48: a strong day among the last sixty bars, and the averages in order (trending) or the close above one (active) on the last."""
+    """W-48 in short: a strong day among the last sixty bars, and the averages in order (trending) or the close above one (active) on the last."""
     b = _changed(spark, sf_dir).select("*", *(S.mean(C("close"), n).alias(f"m{n}") for n in (5, 10, 20, 30)))
     b = b.withColumn("back", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("day")))).where("back <= 60")
     some = lambda x: F.coalesce(F.some(F.expr(x)), F.lit(False))
@@ -300,7 +300,7 @@ def csv_encodings(spark, sf_dir):
 
 @query(f"""WITH {BARS} SELECT entity_id, day, round(open, 6) AS open, round(close, 6) AS close, round(high, 6) AS high, round(low, 6) AS low, round(volume, 6) AS volume, round(turnover, 6) AS turnover, round(volume / 100, 6) AS change_pct, 0.0::DOUBLE AS turnover_rate FROM bars WHERE day >= DATE '1998-01-01'""")
 def kline_export(spark, sf_dir):
-    """SNK-6, SRC-12: bars from the saved day on (inclusive) as k-line text, a folder for each symbol, read back and parsed."""
+    """SRC-12: bars from a given day on (inclusive) as k-line text, a folder for each symbol, read back and parsed."""
     path = _scratch(spark, "klines")
     text = F.concat_ws(",", "day", *(C(x).cast("string") for x in ("open", "close", "high", "low", "volume", "turnover")), F.lit("-"), C("volume").cast("string"), F.lit("-"), F.lit(""))
     bars(spark, sf_dir).where("day >= '1998-01-01'").select(C("entity_id").alias("symbol"), text.alias("value")).repartition("symbol").write.partitionBy("symbol").text(path)
