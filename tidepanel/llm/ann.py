@@ -8,7 +8,11 @@ far as its nearest, unless a chosen centroid is closer to that centroid than
 ``apart`` times the vector's distance. Queries walk a neighbour graph of the centroids, which all tasks hold
 in memory (at most ``most_lists`` of them), until the next centroid is over
 (1 + ratio) times as far as the nearest: the lists up to there are searched, and
-``least_lists`` of them at least. Lists are packed into blocks, so
+a least number of them, ``least_lists`` or more. How many more is measured on the rows:
+some ``probes`` queries are compared with all classes, in every task's part of them,
+and the number is doubled until the lists searched hold ``aim`` of what is
+truly nearest to them. Every centroid can be reached: the graph's links run both ways
+and each of its components has an entry. Lists are packed into blocks, so
 that neither a long list nor many queries of one list gather in one task. Scores
 are products of the original vectors in double precision.
 
@@ -25,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, sampled
 from .vectors import best, blocks, by_length, classes, matrix, ranked, usable
 
 
@@ -72,10 +76,10 @@ def centroids(x: np.ndarray, lists: int, rounds: int = 6, seed: int = 5) -> np.n
 
 @dataclass
 class CentroidGraph:
-    """Each centroid's nearest others; a walk goes on from the nearest centroid met until that is too far."""
+    """Each centroid's nearest others and those that it is near to; a walk goes on from the nearest centroid met until that is too far."""
 
     points: np.ndarray
-    near: np.ndarray
+    near: list[np.ndarray]
     entries: np.ndarray
 
     @classmethod
@@ -85,8 +89,24 @@ class CentroidGraph:
             d = distances(points[lo : lo + 1024], points)
             d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
             near[lo : lo + 1024] = np.argsort(d, axis=1)[:, : near.shape[1]]
+        links: list[set[int]] = [set(row) for row in near.tolist()]
+        for i, row in enumerate(near.tolist()):
+            for j in row:
+                links[j].add(i)
         step = max(1, len(points) // 32)
-        return cls(points, near, np.arange(0, len(points), step))
+        entries = list(range(0, len(points), step))
+        met = np.zeros(len(points), bool)
+        for start in [*entries, *range(len(points))]:
+            if met[start]:
+                continue
+            if start % step:  # a component that holds no entry yet
+                entries.append(start)
+            met[start], todo = True, [start]
+            while todo:
+                new = [j for j in links[todo.pop()] if not met[j]]
+                met[new] = True
+                todo += new
+        return cls(points, [np.array(sorted(row), np.int64) for row in links], np.array(entries))
 
     def search(self, q: np.ndarray, ratio: float, least: int) -> list[int]:
         """The centroids at most (1 + ratio) times as far from q as the nearest one, nearest first; ``least`` of them at least, if there are so many."""
@@ -138,14 +158,17 @@ def _assigned(points: np.ndarray, square: float, spill: float, most: int):
     return run
 
 
+def _scaled(q: np.ndarray, graph: CentroidGraph) -> np.ndarray:
+    """A query as long as the centroids are; the product's order is the same for any length of it."""
+    big = np.abs(q).max()
+    q = q / big  # so that no square is lost
+    return np.append(q * np.sqrt((graph.points**2).sum(axis=1).mean() / (q @ q)), 0.0)
+
+
 def _selected(graph: CentroidGraph, ratio: float, least: int):
     def run(batches):
-        scale = (graph.points**2).sum(axis=1).mean()
         for batch in batches:
-            lists = []
-            for q in matrix(batch.column("vec")) if batch.num_rows else []:
-                # the product's order is the same for any length of q
-                lists.append(graph.search(np.append(q * np.sqrt(scale / max(q @ q, 1e-300)), 0.0), ratio, least))
+            lists = [graph.search(_scaled(q, graph), ratio, least) for q in matrix(batch.column("vec"))] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(lists, pa.list_(pa.int64()))], ["cid", "keys"])
 
     return run
@@ -186,16 +209,60 @@ def _searched(k: int, most_held: int = 50_000):
     return run
 
 
+def _compared(cids: np.ndarray, probes: np.ndarray, k: int):
+    """Each probe's k nearest other classes among all the rows of a task."""
+
+    def run(batches):
+        held = [(np.empty(0), np.empty(0, np.int64)) for _ in cids]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                score, ids = matrix(part.column("vec")) @ probes.T, part.column("cid").to_numpy()
+                for j, own in enumerate(cids):
+                    s, v = np.concatenate((held[j][0], score[ids != own, j])), np.concatenate((held[j][1], ids[ids != own]))
+                    at = np.argpartition(-s, k)[:k] if len(s) > k else np.arange(len(s))
+                    held[j] = s[at], v[at]
+        score, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids, [len(s) for s, _ in held])), pa.array(ids), pa.array(score)], ["probe", "cid", "score"])
+
+    return run
+
+
+def _enough(graph: CentroidGraph, probes: DataFrame, known: DataFrame, lists: DataFrame, k: int, ratio: float, least: int, aim: float) -> int:
+    """The least number of lists with which the searched lists hold ``aim`` of the k classes nearest to the probes."""
+    asked = [(r.cid, r.vec) for r in probes.sort("cid").select("cid", "vec").collect()]
+    if not asked or least >= len(graph.points):
+        return least
+    vecs = np.array([v for _, v in asked])
+    compared = known.select("cid", "vec").mapInArrow(_compared(np.array([c for c, _ in asked], np.int64), vecs, k), "probe long, cid long, score double")
+    w = Window.partitionBy("probe").orderBy(F.desc("score"), "cid")
+    truth = compared.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    held: dict[int, list[list[int]]] = {}
+    for r in truth.join(lists, "cid").select("probe", "keys").collect():  # k lists of at most ``copies`` numbers a probe
+        held.setdefault(r.probe, []).append(r.keys)
+    while least < len(graph.points):
+        hit = total = 0
+        for cid, vec in asked:
+            found = set(graph.search(_scaled(np.array(vec), graph), ratio, least))
+            keys = held.get(cid, [])
+            hit, total = hit + sum(not found.isdisjoint(x) for x in keys), total + len(keys)
+        if hit >= aim * total:
+            break
+        least *= 2
+    return least
+
+
 def nearest(
     df: DataFrame, query_rows, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
     list_size: int = 64, most_lists: int = 4096, sample: int = 20_000, spill: float = 0.15, copies: int = 8, ratio: float = 0.25, least_lists: int = 64,
+    probes: int = 200, aim: float = 0.97,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best found; ``query_rows`` is a condition on vec_id. Centroids are fitted on about ``sample`` classes, chosen by the hash of their ids."""
     rows = usable(df, id_col, vec_col, zero=False)
-    return by_length(rows, lambda same: _near_of_one_length(same, query_rows, k, list_size, most_lists, sample, spill, copies, ratio, least_lists))
+    return by_length(rows, lambda same: _near_of_one_length(same, query_rows, k, list_size, most_lists, sample, spill, copies, ratio, least_lists, probes, aim))
 
 
-def _near_of_one_length(rows: DataFrame, query_rows, k: int, list_size: int, most_lists: int, sample: int, spill: float, copies: int, ratio: float, least_lists: int) -> DataFrame:
+def _near_of_one_length(rows: DataFrame, query_rows, k: int, list_size: int, most_lists: int, sample: int, spill: float, copies: int, ratio: float, least_lists: int, probes: int, aim: float) -> DataFrame:
     known = keep(classes(rows, k), "classes")
     square = known.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
     if square[0] is None:
@@ -206,12 +273,15 @@ def _near_of_one_length(rows: DataFrame, query_rows, k: int, list_size: int, mos
     x = np.concatenate((x, np.sqrt(np.maximum(square - (x * x).sum(axis=1), 0))[:, None]), axis=1)
     points = centroids(x, min(most_lists, -(-total // list_size)))
     graph = CentroidGraph.build(points)
-    lists = known.select("cid", "vec").mapInArrow(_assigned(points, square, spill, copies), "cid long, keys array<long>")
+    lists = keep(known.select("cid", "vec").mapInArrow(_assigned(points, square, spill, copies), "cid long, keys array<long>"), "lists")
     posted = known.join(lists, "cid").select(F.explode("keys").alias("key"), "cid", "vec", "ids")
     packed = blocks(posted, 4096)
     queries = keep(rows.where(query_rows).distinct().join(known.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), "cid", "vec"), "queries")
     asked = queries.select("cid", "vec").distinct()
-    asked = asked.repartition(max(1, queries.count() // 128), "cid")
+    count = queries.count()
+    some = asked.where(sampled(F.lit(probes / max(count, probes)), "cid", F.lit("probe")))
+    least_lists = _enough(graph, some, known, lists, k, ratio, least_lists, aim)
+    asked = asked.repartition(max(1, count // 128), "cid")
     wanted = asked.mapInArrow(_selected(graph, ratio, least_lists), "cid long, keys array<long>")
     wanted = keep(asked.join(wanted, "cid").select(F.explode("keys").alias("key"), "cid", "vec", F.array("cid").alias("ids")), "wanted")
     q_packed = blocks(wanted, 512).select("key", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
