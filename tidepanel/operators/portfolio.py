@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cs import CrossSection
+from .ts import correlation
 
 
 def equal_weights(signal: Column, time: str = "day", group: str | None = None) -> Column:
@@ -67,4 +68,4 @@ def information_coefficient(panel: DataFrame, factor: str, label: str, time: str
     both = panel.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
     cs = CrossSection(time)
     ranked = both.select(time, cs.average_rank(F.col(factor)).alias("a"), cs.average_rank(F.col(label)).alias("b"))
-    return ranked.groupBy(time).agg(F.corr("a", "b").alias("ic"))
+    return ranked.groupBy(time).agg(correlation(F.col("a"), F.col("b")).alias("ic"))

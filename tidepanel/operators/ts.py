@@ -8,10 +8,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def correlation(x: Column, y: Column, over: WindowSpec | None = None) -> Column:
+    """Pearson's, over rows that have both; NULL where one of them does not vary (``F.corr`` divides by zero there)."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    both, sx, sy = (p.over(over) for p in parts) if over is not None else parts
+    return F.try_divide(both, sx * sy)
+
+
 class Series:
     """Columns over one panel; all share one window specification, so Spark sorts once."""
 
@@ -81,7 +89,7 @@ class Series:
         return x - self.lag(x, n)
 
     def corr(self, x: Column, y: Column, n: int) -> Column:
-        return self.full(x, n, F.corr(x, y).over(self.frame(n)))
+        return self.full(x, n, correlation(x, y, self.frame(n)))
 
     def pct_change(self, x: Column, n: int = 1) -> Column:
         return F.try_divide(x, self.lag(x, n)) - 1
