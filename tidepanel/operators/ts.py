@@ -100,6 +100,33 @@ class Series:
         return F.coalesce(F.every(x).over(w), F.lit(False)) & (F.count(x).over(w) == last - first + 1)
 
 
+def long_means(df: DataFrame, wanted: dict[str, tuple[str, int]], entity: str = "entity_id", time: str = "day") -> DataFrame:
+    """Columns ``name: (value, n)`` with the mean of the last n bars, NULL unless all n have a value, at a cost a bar that grows with log n.
+
+    Spark's sliding frames add up all n bars for each bar. Here sums of 1, 2, 4, ... bars are
+    each the sum of two of the ones before, and n bars are the sum of one of each binary digit
+    of n; nothing is subtracted, so sums are as exact as those of a frame.
+    """
+    by = Window.partitionBy(entity).orderBy(time)
+    values = sorted({v for v, _ in wanted.values()})
+    most = {v: max(n for x, n in wanted.values() if x == v) for v in values}
+    rows = df.select("*", *(F.coalesce(F.col(v), F.lit(0.0)).alias(f"_{v}_1") for v in values), *(F.count(v).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_{v}_n") for v in values))
+    size = 1
+    while 2 * size <= max(most.values()):
+        rows = rows.select("*", *((F.col(f"_{v}_{size}") + F.lag(f"_{v}_{size}", size, 0.0).over(by)).alias(f"_{v}_{2 * size}") for v in values if 2 * size <= most[v]))
+        size *= 2
+    out = []
+    for name, (v, n) in wanted.items():
+        total, past = None, 0
+        for bit in reversed(range(n.bit_length())):
+            if n >> bit & 1:
+                part = F.lag(f"_{v}_{1 << bit}", past, 0.0).over(by) if past else F.col(f"_{v}_{1 << bit}")
+                total, past = part if total is None else total + part, past + (1 << bit)
+        held = F.col(f"_{v}_n") - F.lag(f"_{v}_n", n, 0).over(by)
+        out.append(F.when(held == n, total / n).alias(name))
+    return rows.select(*df.columns, *out)
+
+
 # Indicators: values are columns of the panel.
 
 

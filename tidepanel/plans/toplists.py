@@ -31,7 +31,7 @@ near_ AND bool_or(near_ AND loud) OVER (PARTITION BY entity_id ORDER BY day ROWS
 def trending_and_active_by_day(spark, sf_dir):
     """W-48, W-31: limit-up, active, trending and breakout of every bar, with the averages up to 250."""
     b = bars(spark, sf_dir)
-    return tl.flags(b, tl.calendar(b), C("change") > LIMIT, LEAST).join(tl.breakouts(b, least=LEAST), ["entity_id", "day"])
+    return tl.marked(b, tl.calendar(b), C("change") > LIMIT, LEAST)
 
 
 LISTS = """win AS (SELECT t.day, s.nr AS start_nr, s.day AS start, s.nr > t.nr - t.near - 19 AS short, l.nr IS NOT NULL AND s.nr <= l.nr - l.near AND s.nr > l.nr - l.near - 30 AS long
