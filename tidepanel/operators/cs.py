@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,7 +17,7 @@ class CrossSection:
     def average_rank(self, x: Column, descending: bool = False) -> Column:
         """Rank with ties at their mean; NULL stays NULL."""
         order = x.desc_nulls_last() if descending else x.asc_nulls_last()
-        ties = F.count(x).over(Window.partitionBy(self.time, x))
+        ties = F.count(x).over(self.over.orderBy(order).rangeBetween(Window.currentRow, Window.currentRow))  # the row's equals
         return F.when(x.isNotNull(), F.rank().over(self.over.orderBy(order)) + (ties - 1) / 2)
 
     def rank(self, x: Column) -> Column:
@@ -57,6 +57,15 @@ class CrossSection:
         label = F.greatest(F.lit(1), F.size(F.filter(inner, lambda b: b < x)))
         return F.when(x.isNotNull() & (F.size(F.array_distinct(edges)) == groups + 1), label)
 
+    def with_quantile_label(self, df: DataFrame, x: str, groups: int, name: str) -> DataFrame:
+        """``quantile_label`` as a column; only the values travel to the edges of their time, and the edges come back, one row a time."""
+        at = F.array(*(F.lit(i / groups) for i in range(groups + 1)))
+        edges = df.select(self.time, x).groupBy(self.time).agg(F.percentile(x, at).alias("_edges"))
+        inner = F.slice("_edges", 1, groups)
+        label = F.greatest(F.lit(1), F.size(F.filter(inner, lambda b: b < F.col(x))))
+        labelled = F.when(F.col(x).isNotNull() & (F.size(F.array_distinct("_edges")) == groups + 1), label)
+        return df.join(F.broadcast(edges), self.time, "left").withColumn(name, labelled).drop("_edges")
+
     def quantile_score(self, x: Column, levels: list[float]) -> Column:
         """W-39: the highest level whose quantile is at most x; 0 below the lowest."""
         edges = F.percentile(x, F.array(*map(F.lit, levels))).over(self.over)

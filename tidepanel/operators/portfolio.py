@@ -47,6 +47,18 @@ def returns(panel: DataFrame, weight: str = "weight", ret: str = "ret", group: l
     return rows.groupBy(*group, time).agg((F.coalesce(F.sum(F.col("_h") * F.col(ret)), F.lit(0.0)) - cost * F.sum("_m")).alias("r"))
 
 
+def group_returns(panel: DataFrame, group: str, groups: int, weight: str = "w", ret: str = "ret", entity: str = "entity_id", time: str = "day", cost: float = 0.001) -> DataFrame:
+    """B-4 for groups 1 to ``groups`` at once: (quantile, time, r) as ``returns`` gives with a row for each bar and group, where an entity has ``weight`` in its own group (NULL: in none) and 0 in the others."""
+    w = Window.partitionBy(entity).orderBy(time)
+    rows = panel.withColumns({"_g": F.lag(group).over(w), "_w": F.lag(weight).over(w)})
+    sums = []
+    for k in range(1, groups + 1):
+        now, held = (F.coalesce(F.when(F.col(g) == k, F.col(v)), F.lit(0.0)) for g, v in ((group, weight), ("_g", "_w")))
+        r = F.coalesce(F.sum(held * F.col(ret)), F.lit(0.0)) - cost * F.sum(F.abs(now - held))
+        sums.append(F.struct(F.lit(k).alias("quantile"), r.alias("r")))
+    return rows.groupBy(time).agg(F.array(*sums).alias("_all")).select(time, F.explode("_all").alias("_x")).select("_x.quantile", time, "_x.r")
+
+
 def performance(daily: DataFrame, group: list[str], time: str = "day") -> DataFrame:
     """A-29: final value, total and annual return, Sharpe (0 without deviation), maximum drawdown, win rate."""
     w = Window.partitionBy(*group).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)

@@ -19,7 +19,7 @@ q AS (SELECT s.*, CASE WHEN mom IS NOT NULL AND len(list_distinct(g)) = 6 THEN g
 
 def _signals(spark, sf_dir):
     p = bars(spark, sf_dir).withColumns({"ret": S.pct_change(C("close")), "mom": S.pct_change(C("close"), 20)})
-    return p.withColumn("q", X.quantile_label(C("mom"), 5))
+    return X.with_quantile_label(p, "mom", 5, "q")
 
 
 @query(f"""WITH {BARS}, {SIG}, w AS (SELECT entity_id, day, CASE WHEN mom IS NOT NULL THEN 1.0 / count(mom) OVER (PARTITION BY day) ELSE 0 END AS w, CASE WHEN q IS NOT NULL THEN 1.0 / count(q) OVER (PARTITION BY day, q) ELSE 0 END AS wq, q FROM q)
@@ -37,10 +37,11 @@ r AS (SELECT quantile, day, coalesce(sum(hw * ret), 0) - 0.001 * sum(abs(w - hw)
 
 
 def _returns(spark, sf_dir):
-    p = _signals(spark, sf_dir).withColumn("quantile", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
-    n = F.count(F.when(C("q") == C("quantile"), 1)).over(Window.partitionBy("day", "quantile"))
-    p = p.withColumn("weight", F.when(C("q") == C("quantile"), F.try_divide(F.lit(1.0), n)).otherwise(0.0))
-    return pf.returns(p, group=["quantile"])
+    """Returns by day and quantile. A bar adds to five sums of its day; rows of five quantiles a bar are never made."""
+    p = _signals(spark, sf_dir).select("entity_id", "day", "q", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    n = p.where("q is not null").groupBy("day", "q").agg(F.count("*").alias("n"))
+    p = p.join(F.broadcast(n), ["day", "q"], "left").withColumn("w", F.try_divide(F.lit(1.0), C("n")))  # n: five rows a trade day
+    return pf.group_returns(p, "q", 5)
 
 
 @query(f"WITH {RETS} SELECT quantile::INTEGER AS quantile, day, round(r, 6) AS r FROM r")
