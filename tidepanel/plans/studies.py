@@ -348,5 +348,8 @@ def linear_model(spark, sf_dir):
 
     names = [f"ma_{n}" for n in (5, 10, 20)]
     rows = bars(spark, sf_dir).select(*KEY, *(S.mean(C("close"), n).alias(f"ma_{n}") for n in (5, 10, 20)), "close", S.lead(C("close")).alias("label")).dropna()
+    path = _scratch(spark, "features")
+    rows.write.parquet(path)  # read by each step of the fit, which would make the bars anew
+    rows = spark.read.parquet(path)
     model = Pipeline(stages=[VectorAssembler(inputCols=["close", *names], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LinearRegression(maxIter=20)]).fit(rows.where("day < '2000-01-01'"))
     return model.transform(rows.where("day >= '2000-01-01'")).select(*KEY, r6(C("label")).alias("label"), r6(C("prediction")).alias("prediction"))
