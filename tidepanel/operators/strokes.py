@@ -216,10 +216,10 @@ def folded(state: str | None, bars: pd.DataFrame) -> tuple[list[dict], str]:
     return fold.rows, fold.state()
 
 
-def _frame(entity: str, rows: list[dict], columns: dict[str, str]) -> pd.DataFrame:
-    """Rows as Spark's types: texts and dates as objects, so that missing ones stay NULL."""
+def _frame(entity: str | list[str], rows: list[dict], columns: dict[str, str]) -> pd.DataFrame:
+    """Rows as Spark's types: texts and dates as objects, so that missing ones stay NULL. ``entity``: one for all rows, or one a row."""
     kinds = {"double": "float64", "long": "Int64"}
-    out = {"entity_id": pd.Series([entity] * len(rows), dtype=object)}
+    out = {"entity_id": pd.Series([entity] * len(rows) if isinstance(entity, str) else entity, dtype=object)}
     for c, t in columns.items():
         values = [r.get(c) for r in rows]
         out[c] = pd.Series([date.fromisoformat(x) if x else None for x in values] if t == "date" else values, dtype=kinds.get(t, object))
@@ -230,19 +230,28 @@ def _ready(bars: DataFrame) -> DataFrame:
     return bars.select("entity_id", "day", "high", "low", "close").dropna(subset=["high", "low", "close"])
 
 
-def in_chunks(bars: DataFrame, path: str, edges: list) -> DataFrame:
-    """The rows of all bars, folded chunk after chunk of days: [.., edges[0]), [edges[0], edges[1]), ... Only a chunk of an entity is in one task; ``path`` keeps each chunk's rows and states."""
+def in_chunks(bars: DataFrame, path: str, edges: list, bucket_bars: int = 20_000) -> DataFrame:
+    """The rows of all bars, folded chunk after chunk of days: [.., edges[0]), [edges[0], edges[1]), ... Only a chunk of some entities, about ``bucket_bars`` bars, is in one Python group (a group of one entity would mostly cost its frames); ``path`` keeps each chunk's rows and states."""
     ready, parts, spark = _ready(bars), [], bars.sparkSession
     schema = f"entity_id string, {ROWS}, carry string"
-
-    def step(key: tuple, chunk: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        rows, state = folded(states["carry"].iloc[0] if len(states) else None, chunk.sort_values("day"))
-        return _frame(key[0], [*rows, {"kind": "carry", "carry": state}], _COLUMNS | {"carry": "string"})
+    buckets = max(1, -(-ready.count() // (bucket_bars * (len(edges) + 1))))
+    bucket = F.pmod(F.xxhash64("entity_id"), F.lit(buckets)).alias("bucket")
+
+    def step(chunk: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        carried, names, rows = dict(zip(states["entity_id"], states["carry"], strict=True)), [], []
+        for entity, own in chunk.sort_values(["entity_id", "day"]).groupby("entity_id", sort=False):
+            new, state = folded(carried.get(entity), own)
+            carried[entity] = state
+            names += [entity] * len(new)
+            rows += new
+        names += carried
+        rows += [{"kind": "carry", "carry": state} for state in carried.values()]
+        return _frame(names, rows, _COLUMNS | {"carry": "string"})
 
     states = spark.createDataFrame([], "entity_id string, carry string")
     for n, (lo, hi) in enumerate(zip([None, *edges], [*edges, None])):
         chunk = ready.where((C("day") >= F.lit(lo) if lo is not None else F.lit(True)) & (C("day") < F.lit(hi) if hi is not None else F.lit(True)))
-        chunk.groupBy("entity_id").cogroup(states.groupBy("entity_id")).applyInPandas(step, schema).write.partitionBy("kind").parquet(f"{path}/{n}")
+        chunk.groupBy(bucket).cogroup(states.groupBy(bucket)).applyInPandas(step, schema).write.partitionBy("kind").parquet(f"{path}/{n}")
         done = spark.read.schema(schema).parquet(f"{path}/{n}")
         states = done.where("kind = 'carry'").select("entity_id", "carry")
         parts.append(done.where("kind <> 'carry'").drop("carry"))
