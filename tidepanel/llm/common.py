@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -85,6 +86,36 @@ def bucket_count(docs: DataFrame, bytes_each: int = 8 << 20, least: int = 8) ->
     return max(least, -(-total // bytes_each))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on for other tasks, and what it holds counts as its executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run):
+    """``run``, a function for mapInArrow, with ``release`` at the end of each task."""
+
+    def rows(batches):
+        yield from run(batches)
+        release()
+
+    return rows
+
+
+def releasing_groups(run):
+    """``run``, a function for a cogroup's applyInArrow, with ``release`` at the end of each group."""
+
+    def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return group
+
+
 def min_labels(links: DataFrame, name: str, part_rows: int = 250_000) -> DataFrame:
     """Connected components of ``links`` (a, b): one row (node, label) a node, label its smallest node.
 

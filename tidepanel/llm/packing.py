@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import id_text, keep
+from .common import id_text, keep, releasing
 
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, row long"
 
@@ -55,7 +55,7 @@ def _piece_rows(tokenizer: str, end_id: int, most: int, with_ids: bool):
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", end_id: int = 1, most: int = 2048, with_ids: bool = False) -> DataFrame:
     """The pieces of every document; ``with_ids`` adds their ids (little-endian unsigned 32-bit) as binary."""
-    return id_text(docs, id_col, text_col).mapInArrow(_piece_rows(tokenizer, end_id, most, with_ids), _PIECES + (", ids binary" if with_ids else ""))
+    return id_text(docs, id_col, text_col).mapInArrow(releasing(_piece_rows(tokenizer, end_id, most, with_ids)), _PIECES + (", ids binary" if with_ids else ""))
 
 
 def pack_histogram(counts: dict[int, int], most: int) -> list[tuple[int, tuple[int, ...]]]:

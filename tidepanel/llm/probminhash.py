@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, keep, min_labels, packs, text_bytes
+from .common import id_text, keep, min_labels, packs, releasing, text_bytes
 from .textkit import Words, mix, windows
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,7 +189,7 @@ def near_duplicates(
     but for 4.5 deviations (a chance of 4e-6 to miss one).
     """
     plain = id_text(docs, id_col, text_col).withColumn("tag", _tag(F.col("text")))
-    signs = keep(plain.where("doc_id is not null").mapInArrow(_sketch_rows(shingle, bands, rows), "doc_id long, tag long, k1 long, k2 long, n int, bands array<long>"), "sketches")
+    signs = keep(plain.where("doc_id is not null").mapInArrow(releasing(_sketch_rows(shingle, bands, rows)), "doc_id long, tag long, k1 long, k2 long, n int, bands array<long>"), "sketches")
     texts = signs.groupBy("doc_id").agg(F.min("tag").alias("lead"), F.max("tag").alias("other")).where("lead < other")
     # an id's first text goes under the id, its other texts under numbers of their own
     number = F.when(F.col("tag") == F.col("lead"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "tag"))
@@ -214,7 +214,7 @@ def near_duplicates(
     buckets = keep(placed.join(pivots, ["band", "key"]).select("band", "key", "doc_id", "met", "pivot"), "buckets-pivots")
 
     sets = numbered(plain).join(central.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = keep(sets.select("doc_id", "text").mapInArrow(_set_rows(shingle), "doc_id long, elems binary, counts binary"), "sets")
+    sets = keep(sets.select("doc_id", "text").mapInArrow(releasing(_set_rows(shingle)), "doc_id long, elems binary, counts binary"), "sets")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("elems").alias(f"e{x}"), F.col("counts").alias(f"c{x}")) for x in "ab")
 
     def compare(pairs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, id_text, keep, packs, text_bytes
+from .common import bucket_count, id_text, keep, packs, releasing, releasing_groups, text_bytes
 from .textkit import Words, _slide, anchors, windows
 
 _SECOND = 0xA0761D6478BD642F
@@ -215,19 +215,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 1 <= gram <= window // 2:
         raise ValueError("gram must be between 1 and half the window")
     plain = id_text(docs, id_col, text_col)
-    buckets = bucket_count(plain)
+    buckets = bucket_count(plain, bytes_each=4 << 20)  # a task holds a bucket's texts several times over: as given, as words, as what is kept
 
     def home(column):
         return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
     tag = F.xxhash64("text")
     plain = plain.select(home(F.coalesce("doc_id", tag)).alias("bucket"), "doc_id", tag.alias("tag"), "text")
-    grams = keep(plain.where("doc_id is not null").mapInArrow(_anchor_rows(window, gram), "gram long, doc_id long, bucket int"), "grams")
+    grams = keep(plain.where("doc_id is not null").mapInArrow(releasing(_anchor_rows(window, gram)), "gram long, doc_id long, bucket int"), "grams")
     often = grams.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram")
     shared = keep(grams.join(often, "gram").select("bucket", "doc_id", "gram"), "shared")
     by_bucket = plain.groupBy("bucket")
-    found = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(_window_rows(window, gram), _schema(_WINDOWS))
+    found = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(releasing_groups(_window_rows(window, gram)), _schema(_WINDOWS))
     first = F.min("low").over(Window.partitionBy("w1", "w2"))
     hits = found.withColumn("source", first).where("high > source").select(home("source").alias("home"), "source", "w1", "bucket")
-    passages = by_bucket.cogroup(hits.groupBy("home")).applyInArrow(_passage_rows(window), _schema(_PASSAGES))
-    return by_bucket.cogroup(passages.groupBy("bucket")).applyInArrow(_kept_rows(window), _schema(_KEPT))
+    passages = by_bucket.cogroup(hits.groupBy("home")).applyInArrow(releasing_groups(_passage_rows(window)), _schema(_PASSAGES))
+    return by_bucket.cogroup(passages.groupBy("bucket")).applyInArrow(releasing_groups(_kept_rows(window)), _schema(_KEPT))
