@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, keep, packs, text_bytes
+from .common import id_text, keep, packs, releasing, text_bytes
 from .textkit import Words, _tables, mix
 
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -115,12 +115,46 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[text[:-2] == text[2:]], np.maximum(size - 2, 0)
 
 
-def _variants(h: np.ndarray, count: np.ndarray, gone: np.ndarray, common: tuple[np.ndarray, np.ndarray], chars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _in_order(owner: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by owner, rank and h, by one sort of numbers that hold all of the first two and as much of h as there is room for."""
+    bits = int(owner[-1]).bit_length() + int(rank.max()).bit_length() if len(h) else 64
+    if bits < 64:
+        room = np.uint64(64 - bits)
+        packed = (owner.astype(np.uint64) << np.uint64(int(rank.max()).bit_length()) | rank.astype(np.uint64)) << room | h >> np.uint64(bits)
+        order = np.argsort(packed)
+        packed, sorted_h = packed[order], h[order]
+        if not ((packed[1:] == packed[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+            return order
+    return np.lexsort((h, rank, owner))
+
+
+@dataclass(frozen=True)
+class Ranks:
+    """Places of frequent words in one order of all words, rarest first, looked up by the first bits of their hashes; a word that is not held comes before them all. Of words in one slot the most frequent is held, which changes the cost alone."""
+
+    held: np.ndarray
+    rank: np.ndarray
+
+    @classmethod
+    def of(cls, common: tuple[np.ndarray, np.ndarray], bits: int = 20) -> Ranks:
+        h, n = common
+        order = np.lexsort((h, n))
+        held, rank = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        slot = (h[order] >> np.uint64(64 - bits)).astype(np.int64)
+        held[slot], rank[slot] = h[order], np.arange(1, len(h) + 1)
+        return cls(held, rank)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        slot = (h >> np.uint64(64 - (len(self.held).bit_length() - 1))).astype(np.int64)
+        return np.where(self.held[slot] == h, self.rank[slot], 0)
+
+
+def _variants(h: np.ndarray, count: np.ndarray, gone: np.ndarray, ranks: Ranks, chars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each run of ``count`` entries of h: the hashes of all pairs of its ``gone`` + 2 rarest (none where gone is 0), how many they are, and the parities of the 64 classes. A hash is odd where it stands for characters."""
     count = np.asarray(count, np.int64)
     owner = np.repeat(np.arange(len(count)), count)
-    order = np.lexsort((h, owner))
-    h, place = h[order], np.arange(len(h))
+    order = _in_order(owner, ranks(h), h)
+    h, place = h[order], np.arange(len(h))  # owners are in order already
     start = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))[: len(h)]
     again = place - np.maximum.accumulate(np.where(start, place, 0))
     with np.errstate(over="ignore"):
@@ -128,11 +162,6 @@ def _variants(h: np.ndarray, count: np.ndarray, gone: np.ndarray, common: tuple[
     parity, some = np.zeros(len(count), np.uint64), np.flatnonzero(count)
     if len(some):
         parity[some] = np.bitwise_xor.reduceat(np.uint64(1) << (key & np.uint64(63)), (np.cumsum(count) - count)[some])
-    rank = np.zeros(len(h), np.int64)
-    if len(common[0]):
-        spot = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
-        rank = np.where(common[0][spot] == h, common[1][spot], 0)
-    key = key[np.lexsort((key, rank, owner))]
     held, many = np.where(gone > 0, np.minimum(gone + 2, count), 0), np.zeros(len(count), np.int64)
     many = held * (held - 1) // 2
     out, first, put = np.zeros(many.sum(), np.uint64), np.cumsum(count) - count, np.cumsum(many) - many
@@ -180,6 +209,7 @@ def _line_rows(bounds: Bounds, common: tuple[np.ndarray, np.ndarray]):
     """A row for each distinct line of a document: its hash, its line numbers, its size in words and characters, its variants and parities by words and by characters."""
 
     def run(batches):
+        ranks = Ranks.of(common)
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for lo, hi in packs(texts):
@@ -196,7 +226,7 @@ def _line_rows(bounds: Bounds, common: tuple[np.ndarray, np.ndarray]):
                 a, b, m = a[at], b[at], n[at]
                 long = np.where(m + bounds.met(False, m) >= bounds.min_words, m, 0)
                 h = words.h[np.repeat(a - (np.cumsum(long) - long), long) + np.arange(long.sum())]
-                keys, many, parity = _variants(h, long, bounds.met(False, long), common, False)
+                keys, many, parity = _variants(h, long, bounds.met(False, long), ranks, False)
                 columns = [*(batch.column(c).take(pa.array(doc[at])) for c in ("doc_id", "tag")), pa.array(k1[at].view(np.int64)), pa.array(k2[at].astype(np.int32)), pa.array(m.astype(np.int32))]
                 columns += [pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(number.astype(np.int32)))]
                 columns += [_lists(keys, many), pa.array(parity.view(np.int64))]
@@ -205,7 +235,7 @@ def _line_rows(bounds: Bounds, common: tuple[np.ndarray, np.ndarray]):
                 size, many, parity = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), np.zeros(len(m), np.uint64)
                 size[short] = [len(t) for t in plain]
                 h, count = _grams(plain)
-                keys, many[short], parity[short] = _variants(h, count, 3 * bounds.met(True, size[short]), common, True)
+                keys, many[short], parity[short] = _variants(h, count, 3 * bounds.met(True, size[short]), ranks, True)
                 columns += [pa.array(size.astype(np.int32)), _lists(keys, many), pa.array(parity.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _LINES.split(", ")])
 
@@ -223,9 +253,14 @@ _CANDIDATES = "key long, doc_id long, line long, others array<long>, other_lines
 
 
 def _candidates(bounds: Bounds, most: int | None):
-    """From rows sorted by key, document and line: each line with its nearest ``most`` earlier ones of its key; ``more`` says that it has others."""
-
-    def pairs(key, doc, line, size, p, asks):
+    """From rows sorted by key: each line with its nearest ``most`` earlier ones of its key, by document and line; ``more`` says that it has others."""
+
+    def pairs(key, *rest):
+        same = key[1:] == key[:-1]
+        some = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))  # most lines are alone with a key
+        key, doc, line, size, p, asks = (x[some] for x in (key, *rest))
+        order = np.lexsort((line, doc, key))
+        key, doc, line, size, p, asks = (x[order] for x in (key, doc, line, size, p, asks))
         kind, p, size = (key & 1).astype(bool), p.view(np.uint64), size.astype(np.int64)
         found, more, out, active, d = np.zeros(len(key), np.int64), np.zeros(len(key), bool), [], np.flatnonzero(asks), 0
         while len(active):
@@ -322,7 +357,7 @@ def line_tag(text_col: str = "text") -> Column:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: Bounds = Bounds(), most: int = 3) -> DataFrame:
     """doc_id, tag (``line_tag`` of the text) and removed (line numbers from 0), for the documents that lose lines."""
     plain = id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("tag", line_tag())
-    lines = keep(plain.mapInArrow(_line_rows(bounds, _common(plain, bounds.min_words)), _LINES), "lines")
+    lines = keep(plain.mapInArrow(releasing(_line_rows(bounds, _common(plain, bounds.min_words))), _LINES), "lines")
     same = ["k1", "k2", "n"]
     copied = lines.groupBy(*same).agg(F.min(F.struct("doc_id", "tag")).alias("low"), F.count("*").alias("copies")).where("copies > 1").select(*same, F.col("low.doc_id").alias("low"), F.col("low.tag").alias("low_tag"))
     later = lines.select("doc_id", "tag", *same, "numbers").join(copied, same).where("doc_id <> low or tag <> low_tag")
@@ -340,8 +375,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = firsts.select("key", "doc_id", "line", F.when(by_chars, F.col("chars")).otherwise(F.col("n")).alias("size"), F.when(by_chars, F.col("gp")).otherwise(F.col("p")).alias("p"))
 
     def candidates(rows: DataFrame, most: int | None, name: str) -> DataFrame:
-        dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id", "line")
-        return keep(dealt.mapInArrow(_candidates(bounds, most), _CANDIDATES), name)
+        dealt = rows.repartition("key").sortWithinPartitions("key")  # by one number, so that Spark sorts by its bits
+        return keep(dealt.mapInArrow(releasing(_candidates(bounds, most)), _CANDIDATES), name)
 
     def near(found: DataFrame, name: str) -> DataFrame:
         other = F.explode(F.arrays_zip("others", "other_lines")).alias("other")
