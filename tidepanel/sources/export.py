@@ -46,8 +46,13 @@ class Export:
         new = lake.newer(there, stored, self.entity, self.time)
         prices = [(C(p) if p in bars.columns else F.lit(0.0)).cast("double").alias(p) for p in PRICES]
         rows = new.select(C(self.entity).cast("string").alias("symbol"), C(self.time).cast("date").alias("date"), *prices)
-        # a symbol's rows go into one file, those of a symbol with very many into several, which Spark splits by size
-        rows.hint("rebalance", "symbol").write.mode("overwrite").option("header", True).partitionBy("symbol").csv(f"{self.path}/data/run={n}")
+        to = f"{self.path}/data/run={n}"
+        if lake.local_path(self.spark, to):
+            lake.remove(self.spark, to)  # what a failed run left
+            lake.write_lines(rows.select("symbol", F.to_csv(F.struct("date", *PRICES)).alias("value")), to, "symbol", "csv", ",".join(("date", *PRICES)))
+        else:
+            # a symbol's rows go into one file, those of a symbol with very many into several, which Spark splits by size
+            rows.hint("rebalance", "symbol").write.mode("overwrite").option("header", True).partitionBy("symbol").csv(to)
         reached = self.read(n).groupBy("symbol").agg(F.max("date").alias("mark"))
         both = marks.unionByName(reached).groupBy("symbol").agg(F.max("mark").alias("mark"))
         both.write.mode("overwrite").parquet(f"{self.path}/marks/run={n}")
@@ -56,7 +61,10 @@ class Export:
     def read(self, run: int | None = None) -> DataFrame:
         """The exported rows of one run, or of all finished ones, with the run's number; all columns as written."""
         schema = f"date date, {', '.join(f'{p} double' for p in PRICES)}, symbol string, run int"
-        rows = self.spark.read.schema(schema).option("header", True).csv(f"{self.path}/data")
+        at = f"{self.path}/data"
+        # of one run only its own folders are listed
+        with lake.listed_together(self.spark):
+            rows = self.spark.read.schema(schema).option("header", True).option("basePath", at).csv(at if run is None else f"{at}/run={run}")
         return rows.where(C("run") == run) if run is not None else rows.where(C("run") <= self.last_run())
 
     def latest(self) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
+from itertools import groupby
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +25,76 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system names it, or None where it is not of a (shared) local file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(at).toUri().getPath() if fs.getScheme() == "file" else None
+
+
+def _folder(key: str, value: str) -> str:
+    """A partition's folder as Spark's writers name it and its readers undo it."""
+    escaped = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+    return f"{key}={escaped}"
+
+
+def write_lines(df: DataFrame, path: str, key: str, ending: str, header: str = "") -> None:
+    """SNK-6, SRC-12: the lines in ``value`` as text, a folder for each value of ``key`` in a new folder ``path`` of a local file system.
+
+    Spark's own writer starts a process for each permission that it sets on a local file or folder
+    (several for each symbol), which costs far more than a symbol's lines. Here a task
+    writes its symbols' files one after the other, under a name that its attempt alone has, and then renames
+    them; a second attempt replaces the files of the first. Readers should go by ``_SUCCESS`` or a mark of their own.
+    """
+    root = local_path(df.sparkSession, path)
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        name, file, temp, folder, now = f"part-{task.partitionId():05d}.{ending}", None, None, None, None
+
+        def done():
+            file.close()
+            os.replace(temp, folder / name)
+
+        try:
+            for batch in batches:
+                lines, at = batch.column(1).to_pylist(), 0
+                for symbol, same in groupby(batch.column(0).to_pylist()):
+                    n = sum(1 for _ in same)
+                    if symbol != now:
+                        if file:
+                            done()
+                        now, folder = symbol, Path(root, _folder(key, symbol))
+                        folder.mkdir(parents=True, exist_ok=True)
+                        temp = folder / f".{name}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
+                        file = open(temp, "w", encoding="utf-8", newline="")  # noqa: SIM115
+                        file.write(header and header + "\n")
+                    file.write("\n".join(lines[at : at + n]) + "\n")
+                    at += n
+            if file:
+                done()
+        except BaseException:
+            if file and not file.closed:
+                file.close()
+                temp.unlink(missing_ok=True)
+            raise
+        return iter(())
+
+    Path(root).mkdir(parents=True)
+    # a key's lines go into one file, those of a key with very many into several, which Spark splits by size
+    named = F.when(F.col(key).cast("string") != "", F.col(key).cast("string")).otherwise("__HIVE_DEFAULT_PARTITION__")  # NULL and empty ones share a folder
+    rows = df.select(named.alias(key), "value").hint("rebalance", key).sortWithinPartitions(key)
+    rows.mapInArrow(write, f"{key} string").write.format("noop").mode("overwrite").save()
+    Path(root, "_SUCCESS").touch()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def register(spark: SparkSession, datasets: dict[str, str]) -> None:
     """SRC-2: a view for each dataset."""
     for name, path in datasets.items():
@@ -137,6 +212,21 @@ def session_grid(days: DataFrame, minutes: int, sessions=(("09:30", "11:30"), ("
     return week.select(time, F.explode(F.array_distinct(F.concat(*spans))).alias("ts"))
 
 
+@contextmanager
+def _within(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def listed_together(spark: SparkSession):
+    """Lets a scan of very many small folders list them in 64 tasks, within the block alone; Spark starts a task for each folder, up to 10,000."""
+    return _within(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", "64")
+
+
 @contextmanager
 def java_charsets(spark: SparkSession):
     """Lets CSV be read and written in every charset that Java knows, within the block alone."""
