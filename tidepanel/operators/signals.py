@@ -69,7 +69,11 @@ def crossover(s: Series, fast: Column, slow: Column) -> Column:
 
 def bollinger(s: Series, close: Column, n: int = 20, width: float = 2.0) -> dict[str, Column]:
     """W-36: bands of the population deviation; signal true below the lower, false above the upper."""
-    mid, sd = s.mean(close, n), s.std_pop(close, n)
+    return bands(close, s.mean(close, n), s.std_pop(close, n), width)
+
+
+def bands(close: Column, mid: Column, sd: Column, width: float = 2.0) -> dict[str, Column]:
+    """W-36 from a mean and a population deviation at hand (``ts.long_stats``)."""
     low, up = mid - width * sd, mid + width * sd
     return {"mid": mid, "upper": up, "lower": low, "width": F.try_divide(up - low, mid), "pct_b": F.try_divide(close - low, up - low), "signal": F.when(close < low, True).when(close > up, False)}
 

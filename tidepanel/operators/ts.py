@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -127,6 +129,61 @@ def long_means(df: DataFrame, wanted: dict[str, tuple[str, int]], entity: str =
     return rows.select(*df.columns, *out)
 
 
+def long_stats(df: DataFrame, n: int, moments: tuple[str, ...] = (), tops: tuple[str, ...] = (), bottoms: tuple[str, ...] = (), entity: str = "entity_id", time: str = "day") -> DataFrame:
+    """Columns ``<value>_mean`` and ``<value>_dev`` (population), ``<value>_top`` and ``<value>_bottom`` over the last n bars, NULL unless all n have a value, at a cost a bar that grows with log n.
+
+    As in ``long_means``, but by fours: values over 4, 16, 64, ... bars are merged from four blocks of a quarter of that.
+    Means and squared differences from them are merged pairwise, so bars that do not vary have their own value as mean and 0 as deviation.
+    """
+    by = Window.partitionBy(entity).orderBy(time)
+    ends = {**{f"{v}_top": (v, F.greatest) for v in tops}, **{f"{v}_bottom": (v, F.least) for v in bottoms}}
+
+    def merged(parts: list[tuple[str, int]], v: str) -> tuple[Column, Column]:
+        (name, m), *rest = parts
+        mean, squares = F.col(f"{name}_{v}_mean"), F.col(f"{name}_{v}_squares")
+        for name, k in rest:
+            apart = F.col(f"{name}_{v}_mean") - mean
+            squares = squares + F.col(f"{name}_{v}_squares") + apart * apart * (m * k / (m + k))
+            mean, m = mean + apart * (k / (m + k)), m + k
+        return mean, squares
+
+    def outermost(parts: list[str], c: str) -> Column:
+        every = [F.col(f"{p}_{c}") for p in parts]  # greatest and least pass over NULLs
+        return every[0] if len(every) == 1 else F.when(reduce(and_, (x.isNotNull() for x in every)), ends[c][1](*every))
+
+    def lagged(rows: DataFrame, block: str, bars: set[int], names: list[str]) -> DataFrame:
+        return rows.select("*", *(F.lag(f"{block}_{c}", b).over(by).alias(f"{block}_{b}_{c}") for b in sorted(bars) for c in names))
+
+    at = lambda block, bars: f"{block}_{bars}" if bars else block
+    sums = [f"{v}_{c}" for v in moments for c in ("mean", "squares")]
+    every = [*sums, *ends]
+    first = [*(F.col(v).cast("double").alias(f"_1_{v}_mean") for v in moments), *((F.col(v) * 0.0).alias(f"_1_{v}_squares") for v in moments), *(F.col(v).alias(f"_1_{c}") for c, (v, _) in ends.items())]
+    rows, size, kept = df.select("*", *first), 1, []
+    while 4 * size <= n:
+        b, four = f"_{size}", [at(f"_{size}", k * size) for k in range(4)]
+        rows = lagged(rows, b, {size, 2 * size, 3 * size}, every)
+        kept += [f"{b}_{c}" for c in sums] if n // size % 4 else []
+        up = [x.alias(f"_{4 * size}_{v}_{c}") for v in moments for c, x in zip(("mean", "squares"), merged([(p, size) for p in four], v), strict=True)]
+        rows = rows.select(*df.columns, *kept, *up, *(outermost(four, c).alias(f"_{4 * size}_{c}") for c in ends))
+        size *= 4
+    parts, past, k = [], 0, size
+    while k:  # blocks of the digits of n to base 4, the largest first
+        for _ in range(n // k % 4):
+            parts.append((f"_{k}", past, k))
+            past += k
+        k //= 4
+    # the largest and smallest values may be taken from blocks that overlap
+    cover = [*range(0, n - size, size), n - size] if n > size else [0]
+    for block in {p[0] for p in parts}:
+        rows = lagged(rows, block, {b for p, b, _ in parts if p == block and b}, sums)
+    rows = lagged(rows, f"_{size}", {b for b in cover if b}, list(ends))
+    out = []
+    for v in moments:
+        mean, squares = merged([(at(p, b), m) for p, b, m in parts], v)
+        out += [mean.alias(f"{v}_mean"), F.sqrt(squares / n).alias(f"{v}_dev")]
+    return rows.select(*df.columns, *out, *(outermost([at(f"_{size}", b) for b in cover], c).alias(c) for c in ends))
+
+
 # Indicators: values are columns of the panel.
 
 

@@ -193,8 +193,9 @@ round({full('close', 20, f'avg(close) OVER {wn(20)} - 2 * stddev_pop(close) OVER
 CASE WHEN close < {full('close', 20, f'avg(close) OVER {wn(20)} - 2 * stddev_pop(close) OVER {wn(20)}')} THEN true WHEN close > {full('close', 20, f'avg(close) OVER {wn(20)} + 2 * stddev_pop(close) OVER {wn(20)}')} THEN false END AS signal FROM bars""")
 def top_bottom_bollinger(spark, sf_dir):
     """W-34, W-36."""
-    b = sg.bollinger(S, C("close"))
-    return bars(spark, sf_dir).select(*KEY, r6(S.max(C("high"), 20)).alias("top"), r6(S.min(C("low"), 20)).alias("bottom"), *(r6(b[k]).alias(k) for k in ("mid", "upper", "lower")), b["signal"].alias("signal"))
+    rows = ts.long_stats(bars(spark, sf_dir).select(*KEY, "high", "low", "close"), 20, moments=("close",), tops=("high",), bottoms=("low",))
+    b = sg.bands(C("close"), C("close_mean"), C("close_dev"))
+    return rows.select(*KEY, r6(C("high_top")).alias("top"), r6(C("low_bottom")).alias("bottom"), *(r6(b[k]).alias(k) for k in ("mid", "upper", "lower")), b["signal"].alias("signal"))
 
 
 @query(f"""WITH {BARS}, l AS (SELECT *, lead(close, 5) OVER ({WE}) AS f FROM bars)
