@@ -163,12 +163,12 @@ def factor_matrix(spark, sf_dir):
     """SNK-2, SRC-5, A-20, A-21: factors written long, scanned together and pivoted."""
     from ..operators.ts import Series
 
-    b, path = bars(spark, sf_dir), _scratch(spark, "factors")
+    b, path = bars(spark, sf_dir, rows_a_task=1_000_000), _scratch(spark, "factors")
     s = Series()
     lake.write_factor(b.select("entity_id", "day", s.mean(C("close"), 5).alias("value")), f"{path}/a", "ma_5")
     lake.write_factor(b.select("entity_id", "day", C("volume").alias("value")), f"{path}/b", "volume_0")
     long = spark.read.parquet(f"{path}/a").unionByName(spark.read.parquet(f"{path}/b"))
-    return long.groupBy("entity_id", "day").pivot("factor_name", ["ma_5", "volume_0"]).agg(F.max("value")).select("entity_id", "day", *(r6(C(c)).alias(c) for c in ("ma_5", "volume_0")))
+    return lake.wide(long, ("ma_5", "volume_0")).select("entity_id", "day", *(r6(C(c)).alias(c) for c in ("ma_5", "volume_0")))
 
 
 @query("""WITH o AS (SELECT o_custkey AS id, o_orderkey AS seq, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_custkey AS id, o_orderkey AS seq, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 1),

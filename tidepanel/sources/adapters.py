@@ -21,19 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _bars(spark: SparkSession, sf_dir: str, label) -> DataFrame:
+def _bars(spark: SparkSession, sf_dir: str, label, rows_a_task: int | None = None) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
     px, k = F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     rows = line.select(F.concat(F.lit("supp_"), F.col("l_suppkey")).alias("entity_id"), label(F.col("l_shipdate")).alias("day"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     # a day has few lines of an entity, so summing up before the shuffle saves little; dealt by entity, one shuffle and one sort serve the bars and all windows over an entity's days
-    return rows.repartition("entity_id").groupBy("entity_id", "day").agg(
+    parts = [table(spark, sf_dir, "lineitem").count() // rows_a_task + 1] if rows_a_task else []  # files know their counts
+    return rows.repartition(*parts, "entity_id").groupBy("entity_id", "day").agg(
         F.min_by(px, k).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, k).alias("close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("turnover")
     )
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of suppliers."""
-    return _bars(spark, sf_dir, lambda t: t.cast("date"))
+def bars(spark: SparkSession, sf_dir: str, rows_a_task: int | None = None) -> DataFrame:
+    """Daily bars of suppliers; with ``rows_a_task`` in tasks of about so many lines, where Spark would join small shuffles to few tasks with large tables of keys."""
+    return _bars(spark, sf_dir, lambda t: t.cast("date"), rows_a_task)
 
 
 def bars_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,13 @@ def write_factor(df: DataFrame, path: str, name: str, time: str = "day", mode: s
     write_panel(df.select("entity_id", time, "value").withColumn("factor_name", F.lit(name)), path, time, ("year", "month"), mode)
 
 
+def wide(long: DataFrame, names: tuple[str, ...], time: str = "day", rows_a_task: int = 400_000) -> DataFrame:
+    """A-20: a column for each factor, of values that are stored long; one aggregation over tasks of so many rows, so that a task's table of keys does not grow with the data."""
+    parts = long.count() // rows_a_task + 1  # files know their counts
+    rows = long.repartition(parts, "entity_id", time)
+    return rows.groupBy("entity_id", time).agg(*(F.max(F.when(F.col("factor_name") == n, F.col("value"))).alias(n) for n in names))
+
+
 def keep_last(df: DataFrame, key: str, sequence: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(sequence))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
