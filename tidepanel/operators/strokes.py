@@ -5,7 +5,9 @@ What becomes known at a bar is written once, as rows: what holds at the bar itse
 bar they became known at in ``seq``. Nothing is edited, so a run may stop after any
 bar and go on from the state, a short JSON text: time chunks one after the other
 (``in_chunks``) and the batches of a stream give the rows of one whole run.
-``wide`` puts the facts back onto their bars.
+``wide`` puts the facts back onto their bars. Where an entity's bars lie in one task,
+``one_pass`` does both there: facts are put back while its years are folded one
+after the other, so neither rows of facts nor states are shuffled or stored.
 
 Rules: bars that contain a neighbour are shortened in the direction of the move;
 comparisons use the bars as given. A top or bottom becomes a candidate where the
@@ -23,9 +25,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from datetime import date
+from datetime import date, timedelta
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +47,11 @@ _KINDS = {"kind": "string", "at": "long", "seq": "long", "day": "date", "side":
 _NUMBERS = ["value", "change", "slope", "interval", "against_change", "against_slope", "against_interval", "low", "high"]
 _COLUMNS = _KINDS | {c: "double" for c in _NUMBERS} | {"against": "string"} | {c: "date" if c.endswith(("_from", "_to")) else "double" for c in _ZONE + _MERGED} | {"state": "string"}
 ROWS = ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())
+# by kind, the columns of a bar that its rows give
+_FACTS = {"bar": {"side": "current_direction"} | {c: f"current_{c}" for c in ("interval", "change", "slope", *_ZONE[2:], *_MERGED[2:])} | {c: c for c in ("against", "against_interval", "against_change", "against_slope")}}
+_FACTS |= {"shape": {c: f"cut_{c}" for c in ("high", "low")}, "turn": {"side": "turn", "value": "turn_power"}}
+_FACTS |= {k: {c: f"{k}_{c}" for c in ("side", "value", "change", "slope", "interval", *more)} for k, more in (("stroke", _ZONE + _MERGED), ("segment", _ZONE))}
+_WIDE = {"entity_id": "string", "day": "date", "at": "long"} | {name: _COLUMNS[c] for columns in _FACTS.values() for c, name in columns.items()} | {"segment_state": "string", "high": "double", "low": "double", "close": "double"}
 
 
 def overlap(a: tuple[float, float], b: tuple[float, float]) -> tuple[float, float] | None:
@@ -283,17 +295,119 @@ def wide(rows: DataFrame, bars: DataFrame) -> DataFrame:
     state = rows.where(is_("state")).select("entity_id", F.explode(F.sequence("at", "until")).alias("at"), "seq", "state")
     states = state.groupBy("entity_id", "at").agg(F.max_by("state", "seq").alias("segment_state"))
     facts = [F.max(F.when(is_("bar"), C("day"))).alias("day")]
-    facts += [last("bar", c).alias("current_direction" if c == "side" else f"current_{c}") for c in ("side", "interval", "change", "slope", *_ZONE[2:], *_MERGED[2:])]
-    facts += [last("bar", c).alias(c) for c in ("against", "against_interval", "against_change", "against_slope")]
-    facts += [last("shape", c).alias(f"cut_{c}") for c in ("high", "low")] + [last("turn", "side").alias("turn"), last("turn", "value").alias("turn_power")]
-    for k, columns in (("stroke", ["side", "value", "change", "slope", "interval", *_ZONE, *_MERGED]), ("segment", ["side", "value", "change", "slope", "interval", *_ZONE])):
-        facts += [last(k, c).alias(f"{k}_{c}") for c in columns]
+    facts += [last(k, c).alias(name) for k, columns in _FACTS.items() for c, name in columns.items()]
     table = rows.where(~is_("state")).groupBy("entity_id", "at").agg(*facts).join(states, ["entity_id", "at"], "left").withColumn("segment_state", F.coalesce("segment_state", F.lit("none")))
     found = rows.where(is_("stroke")).select("entity_id").distinct()
     whole = table.join(found, "entity_id", "left_semi").join(_ready(bars), ["entity_id", "day"])
     return whole.withColumns({"cut_high": F.coalesce("cut_high", "high"), "cut_low": F.coalesce("cut_low", "low")})
 
 
+def _series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list, list, list]]:
+    """Each entity with its days (since 1970), highs, lows and closes, from rows in the order of entities and days."""
+    now, held = None, []
+    whole = lambda: (now, *(c.to_pylist() for c in pa.Table.from_batches(held).columns[1:]))
+    for batch in batches:
+        runs, lo = pc.run_end_encode(batch.column(0)), 0
+        for entity, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if entity != now:
+                if held:
+                    yield whole()
+                now, held = entity, []
+            held.append(batch.slice(lo, hi - lo))
+            lo = hi
+    if held:
+        yield whole()
+
+
+def _years(days: list[str], *numbers: list) -> Iterator[Fold]:
+    """A fold of each year's bars, which goes on from the state that the year before left as text."""
+    state = None
+    for _, bars in groupby(zip(days, *numbers, strict=True), lambda b: b[0][:4]):
+        fold = Fold(state)
+        for bar in bars:
+            fold.add(*bar)
+        yield fold
+        state = fold.state()
+
+
+class _Days(dict):
+    """ISO days by their number since 1970."""
+
+    def __missing__(self, n: int) -> str:
+        self[n] = (date(1970, 1, 1) + timedelta(n)).isoformat()
+        return self[n]
+
+
+def _in_order(bars: DataFrame) -> DataFrame:
+    """Bars in the order of entities and days; where they are dealt by entity and sorted so (as aggregated ones are), nothing is shuffled or sorted for it."""
+    rows = _ready(bars).dropna(subset=["entity_id", "day"])
+    return rows.select("entity_id", F.unix_date("day").alias("day"), *(C(c).cast("double").alias(c) for c in ("high", "low", "close"))).sortWithinPartitions("entity_id", "day")
+
+
+def _rounded(numbers: pa.Array, digits: int) -> pa.Array:
+    """As Spark's ``round``: half up, by the shortest decimal that names the number; only what is near a half or large goes through decimals."""
+    x, unit = numbers.to_numpy(zero_copy_only=False), 10.0**digits
+    with np.errstate(all="ignore"):
+        scaled = x * unit
+        low = np.floor(scaled)
+        out = np.floor(scaled + 0.5) / unit
+        exactly = np.flatnonzero(np.isfinite(x) & ~((np.abs(scaled) < 1e12) & (np.abs(scaled - low - 0.5) > 1e-3)))
+    for i in exactly:
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) + 0.0 if abs(x[i]) < 1e16 else x[i]
+    return pa.array(out, pa.float64(), mask=numbers.is_null().to_numpy(zero_copy_only=False))
+
+
+def one_pass(bars: DataFrame, columns: list[str] | None = None, digits: int | None = None, bars_a_batch: int = 10_000) -> DataFrame:
+    """The table that ``wide`` makes of the rows of all bars, or these columns of it, with no shuffle: all bars of an entity must lie in one task, one a day. ``digits``: numbers are rounded in the task (Spark's generated code for rounding so many columns is too long to be compiled)."""
+    kinds = {c: t for c, t in _WIDE.items() if columns is None or c in columns}
+    arrow = pa.schema([(c, {"string": pa.string(), "date": pa.date32(), "long": pa.int64(), "double": pa.float64()}[t]) for c, t in kinds.items()])
+    facts = {k: [(c, name) for c, name in named.items() if name in kinds] for k, named in _FACTS.items()}
+
+    def of_entity(entity: str, days: list, numbers: list[list], iso: _Days) -> dict[str, list] | None:
+        n, (high, low, close) = len(days), numbers
+        table = {c: [None] * n for c in kinds}
+        given = {"entity_id": [entity] * n, "day": days, "at": list(range(n)), "segment_state": ["none"] * n, "high": high, "low": low, "close": close, "cut_high": list(high), "cut_low": list(low)}
+        table |= {c: v for c, v in given.items() if c in kinds}
+        told = [None] * n
+        for fold in _years([iso[d] for d in days], *numbers):
+            for row in fold.rows:
+                kind, at = row["kind"], row["at"]
+                if kind == "bar":
+                    told[at] = row  # a bar before the first stroke's start may be told anew
+                elif kind != "state":
+                    for c, name in facts[kind]:
+                        table[name][at] = row.get(c)
+                elif "segment_state" in kinds:
+                    table["segment_state"][at : row["until"] + 1] = [row["state"]] * (row["until"] + 1 - at)
+        table |= {name: [row.get(c) for row in told] for c, name in facts["bar"]}
+        return table if fold.s["direction"] else None
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        iso, held, n = _Days(), {c: [] for c in kinds}, 0
+
+        def column(c: str, values: list) -> pa.Array:
+            if c == "day":
+                return pa.array(values, pa.int32()).cast(pa.date32())
+            made = pa.array([x and date.fromisoformat(x) for x in values] if kinds[c] == "date" else values, arrow.field(c).type)
+            return _rounded(made, digits) if digits is not None and kinds[c] == "double" else made
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([column(c, v) for c, v in held.items()], schema=arrow)
+
+        for entity, days, *numbers in _series(batches):
+            table = of_entity(entity, days, numbers, iso)
+            for c, v in (table or {}).items():
+                held[c] += v
+            n += len(days) if table else 0
+            if n >= bars_a_batch:
+                yield batch()
+                held, n = {c: [] for c in kinds}, 0
+        if n:
+            yield batch()
+
+    return _in_order(bars).mapInArrow(step, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
 def last_zones(table: DataFrame) -> DataFrame:
     """ZEN-2: at each bar the last five merged zones (of overlapping ones after each other the later), by width, level and distance from the one before, and the rules on them."""
     from pyspark.sql import Window

@@ -2,40 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import strokes
 from ..sources.adapters import bars
-from .catalog import query, r6
-from .tables import _scratch
-
-C = F.col
+from .catalog import query
 
 
-def _table(spark, sf_dir):
-    """Bars are written once and folded a year at a time."""
-    path = _scratch(spark, "zones")
-    bars(spark, sf_dir).select("entity_id", "day", "high", "low", "close").withColumn("year", F.year("day")).repartition("year").write.partitionBy("year").parquet(f"{path}/bars")
-    stored = spark.read.parquet(f"{path}/bars")
-    first, last = stored.agg(F.min("year"), F.max("year")).first()
-    edges = [f"{y}-01-01" for y in range(first + 1, last + 1)] if first is not None else []
-    return strokes.wide(strokes.in_chunks(stored, f"{path}/rows", edges), stored)
+def _bars(spark, sf_dir):
+    """Bars in tasks of about 200,000 lines, as the fold costs more than their lines."""
+    return bars(spark, sf_dir, rows_a_task=200_000)
 
 
 @query()
 def zen_factor(spark, sf_dir):
     """ZEN-1, U-3: every bar with its strokes, segments and zones, the state handed on from year to year."""
-    t = _table(spark, sf_dir)
-    return t.select(*((r6(C(c)).alias(c) if k == "double" else C(c)) for c, k in t.dtypes))
+    return strokes.one_pass(_bars(spark, sf_dir), digits=6)
 
 
 @query()
 def zen_states(spark, sf_dir):
     """ZEN-2: the last five merged zones of each bar and the two rules on them."""
-    return strokes.last_zones(_table(spark, sf_dir))
+    return strokes.last_zones(strokes.one_pass(_bars(spark, sf_dir)))
 
 
 @query()
 def shaking_factor(spark, sf_dir):
     """ZEN-3."""
-    return strokes.shaking(_table(spark, sf_dir))
+    needed = [f"current_merged_{c}" for c in ("y0", "y1", "change", "level", "interval")]
+    return strokes.shaking(strokes.one_pass(_bars(spark, sf_dir), ["entity_id", "day", "close", *needed]))
