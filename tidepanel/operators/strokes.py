@@ -426,7 +426,55 @@ def last_zones(table: DataFrame) -> DataFrame:
     lists = marked.withColumn("four", four).select("entity_id", "at", F.concat(before, F.array("z")).alias("zones"))
     lists = lists.where(C("zones")[0].isNotNull())
     kept = table.select("entity_id", "at", "day").join(lists, ["entity_id", "at"], "left").withColumn("zones", F.last("zones", True).over(by))
+    return _zone_rules(kept, "day")
 
+
+def zones_in_one_pass(bars: DataFrame, bars_a_batch: int = 10_000) -> DataFrame:
+    """``last_zones`` of ``one_pass``, with no shuffle either: the fold gives each stretch of bars with the same zones once."""
+    names = _MERGED[2:]
+    zone = pa.struct([(c, pa.float64()) for c in names])
+    arrow = pa.schema([("entity_id", pa.string()), ("days", pa.list_(pa.date32())), ("zones", pa.list_(zone))])
+    meets = lambda a, b: max(a["merged_y0"], b["merged_y0"]) <= min(a["merged_y1"], b["merged_y1"])
+
+    def of_entity(entity: str, days: list, numbers: list[list], iso: _Days) -> list[tuple]:
+        was, zones, told, fold = None, [], {}, None
+        for fold in _years([iso[d] for d in days], *numbers):
+            for row in fold.rows:
+                if row["kind"] != "bar":
+                    continue
+                if row.get("merged_y0") is not None:
+                    now = {c: row[c] for c in names}
+                    if now != was:
+                        zones = [*(zones[:-1] if was and meets(was, now) else zones)[-4:], now]
+                        was = now
+                told[row["at"]] = zones if len(zones) == 5 else None  # a bar before the first stroke's start may be told anew
+        if fold is None or not fold.s["direction"]:
+            return []
+        stretches = groupby(range(len(days)), lambda at: id(told[at]))
+        return [(entity, [days[at] for at in (first, *rest)], told[first]) for first, *rest in (list(g) for _, g in stretches)]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        iso, held, n = _Days(), [], 0
+
+        def batch() -> pa.RecordBatch:
+            entities, days, zones = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(entities, pa.string()), pa.array(days, pa.list_(pa.int32())).cast(pa.list_(pa.date32())), pa.array(zones, pa.list_(zone))], schema=arrow)
+
+        for entity, days, *numbers in _series(batches):
+            held += of_entity(entity, days, numbers, iso)
+            n += len(days)
+            if held and n >= bars_a_batch:
+                yield batch()
+                held, n = [], 0
+        if held:
+            yield batch()
+
+    stretches = _in_order(bars).mapInArrow(step, f"entity_id string, days array<date>, zones array<struct<{', '.join(f'{c}: double' for c in names)}>>")
+    return _zone_rules(stretches, "days").withColumn("day", F.explode("days")).select("entity_id", "day", "zen_state", "good_state", "trending_state")
+
+
+def _zone_rules(kept: DataFrame, days: str) -> DataFrame:
+    """The names of the last five zones, and the rules on them."""
     middle = lambda z: (z["merged_y0"] + z["merged_y1"]) / 2
     away = lambda i: F.try_divide(middle(C("zones")[i]) - middle(C("zones")[i - 1]), middle(C("zones")[i - 1]))
     # The limits and names of the zone categories.
@@ -434,12 +482,12 @@ def last_zones(table: DataFrame) -> DataFrame:
     level = lambda z: F.when(z["merged_level"] <= 3, "level1").when(z["merged_level"] <= 7, "level2").otherwise("level3")
     far = lambda d: F.when(d.isNull() | (d == 0), None).when(d <= -0.5, "big_down").when(d < 0, "small_down").when(d <= 0.5, "small_up").otherwise("big_up")
     zones = [F.struct(width(C("zones")[i]).alias("w"), level(C("zones")[i]).alias("l"), (far(away(i)) if i else F.lit(None).cast("string")).alias("d")) for i in range(5)]
-    named = kept.select("entity_id", "at", "day", F.when(C("zones").isNotNull(), F.array(*zones)).alias("n"))
+    named = kept.select("entity_id", days, F.when(C("zones").isNotNull(), F.array(*zones)).alias("n"))
     text = F.array_join(F.transform("n", lambda z: F.concat_ws(",", z["w"], z["l"], F.coalesce(z["d"], F.lit("None")))), ",")
     rose = lambda to: F.exists(F.slice("n", 2, to - 1), lambda z: F.coalesce(z["d"] == "big_up", F.lit(False)))
     narrow = (C("n")[3]["w"] == "small") & (C("n")[4]["w"] == "small")
     calm, new_ = ~rose(5) & narrow & (C("n")[4]["l"] != "level1"), ~rose(4) & narrow & (C("n")[4]["l"] == "level1")
-    return named.select("entity_id", "day", text.alias("zen_state"), F.coalesce(calm, F.lit(False)).alias("good_state"), F.coalesce(new_, F.lit(False)).alias("trending_state"))
+    return named.select("entity_id", days, text.alias("zen_state"), F.coalesce(calm, F.lit(False)).alias("good_state"), F.coalesce(new_, F.lit(False)).alias("trending_state"))
 
 
 def shaking(table: DataFrame, width: float = 0.5, level: int = 2, bars: int = 120, edge: float = 0.1) -> DataFrame:

@@ -21,7 +21,7 @@ def zen_factor(spark, sf_dir):
 @query()
 def zen_states(spark, sf_dir):
     """ZEN-2: the last five merged zones of each bar and the two rules on them."""
-    return strokes.last_zones(strokes.one_pass(_bars(spark, sf_dir)))
+    return strokes.zones_in_one_pass(_bars(spark, sf_dir))
 
 
 @query()
