@@ -42,7 +42,7 @@ def timestamp_report(spark, sf_dir):
 SELECT run, entity_id AS symbol, day AS date, {', '.join(f'round({p}, 6) AS {p}' for p in PRICES)} FROM r""")
 def export_from_marks(spark, sf_dir):
     """SNK-6, ST-9: two runs of an export, the second from each symbol's saved day on, that day again."""
-    out, b = Export(spark, _scratch(spark, "export")), bars(spark, sf_dir)
-    out.run(b.where("day < '2000-01-01'"))
-    out.run(b)
+    out, b = Export(spark, _scratch(spark, "export")), bars(spark, sf_dir, rows_a_task=200_000)
+    out.run(b.where("day < '2000-01-01'"), dealt=True)
+    out.run(b, dealt=True)
     return out.read().select("run", "symbol", "date", *(r6(C(p)).alias(p) for p in PRICES))

@@ -303,13 +303,15 @@ def kline_export(spark, sf_dir):
     """SRC-12: bars from a given day on (inclusive) as k-line text, a folder for each symbol, read back and parsed."""
     path = _scratch(spark, "klines")
     text = F.concat_ws(",", "day", *(C(x).cast("string") for x in ("open", "close", "high", "low", "volume", "turnover")), F.lit("-"), C("volume").cast("string"), F.lit("-"), F.lit(""))
-    rows = bars(spark, sf_dir).where("day >= '1998-01-01'").select(C("entity_id").alias("symbol"), text.alias("value"))
+    rows = bars(spark, sf_dir, rows_a_task=200_000).where("day >= '1998-01-01'").select(C("entity_id").alias("symbol"), text.alias("value"))
     if lake.local_path(spark, path):
-        lake.write_lines(rows, path, "symbol", "txt")
+        listed = f"{path}-files"
+        lake.write_lines(rows, path, "symbol", "txt", listed=listed, dealt=True)
+        lines = lake.read_lines(spark.read.parquet(listed), path)
     else:
         rows.repartition("symbol").write.partitionBy("symbol").text(path)
-    with lake.listed_together(spark):
-        lines = spark.read.schema("value string, symbol string").text(path)
+        with lake.listed_together(spark):
+            lines = spark.read.schema("value string, symbol string").text(path)
     parsed = lake.parse_klines(lines.select("value", "symbol"), keep=("symbol",))
     numbers = ("open", "close", "high", "low", "volume", "turnover", "change_pct", "turnover_rate")
     return parsed.select(C("symbol").alias("entity_id"), "day", *(r6(C(x)).alias(x) for x in numbers))

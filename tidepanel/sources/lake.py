@@ -7,14 +7,19 @@ import re
 import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
-from itertools import groupby
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1: all files of a dataset, schemas merged by name, partitions discovered."""
     return spark.read.option("mergeSchema", True).parquet(path)
@@ -38,13 +43,16 @@ def _folder(key: str, value: str) -> str:
     return f"{key}={escaped}"
 
 
-def write_lines(df: DataFrame, path: str, key: str, ending: str, header: str = "") -> None:
+def write_lines(df: DataFrame, path: str, key: str, ending: str, header: str = "", listed: str | None = None, dealt: bool = False) -> None:
     """SNK-6, SRC-12: the lines in ``value`` as text, a folder for each value of ``key`` in a new folder ``path`` of a local file system.
 
     Spark's own writer starts a process for each permission that it sets on a local file or folder
     (several for each symbol), which costs far more than a symbol's lines. Here a task
     writes its symbols' files one after the other, under a name that its attempt alone has, and then renames
     them; a second attempt replaces the files of the first. Readers should go by ``_SUCCESS`` or a mark of their own.
+
+    ``listed``: a folder for the list of the files (key, file within ``path``, bytes), by which ``read_lines`` reads them.
+    ``dealt``: a key's rows lie in one task already and need no shuffle.
     """
     root = local_path(df.sparkSession, path)
 
@@ -52,44 +60,90 @@ def write_lines(df: DataFrame, path: str, key: str, ending: str, header: str = "
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        name, file, temp, folder, now = f"part-{task.partitionId():05d}.{ending}", None, None, None, None
+        file, temp, folder, name, now, size = None, None, None, None, None, 0
+        head = f"{header}\n".encode() if header else b""
 
         def done():
             file.close()
-            os.replace(temp, folder / name)
+            os.replace(temp, f"{root}/{folder}/{name}")
+            return None if now == _NO_KEY else now, f"{folder}/{name}", size  # as a reader of folders names it
+
+        def files(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], [key, "file", "bytes"])
 
         try:
             for batch in batches:
-                lines, at = batch.column(1).to_pylist(), 0
-                for symbol, same in groupby(batch.column(0).to_pylist()):
-                    n = sum(1 for _ in same)
-                    if symbol != now:
+                lines, made = batch.column(1).cast(pa.large_binary()), []
+                offsets, text = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset :], lines.buffers()[2]
+                same, lo = pc.run_end_encode(batch.column(0)), 0
+                for symbol, hi in zip(same.values.to_pylist(), same.run_ends.to_pylist(), strict=True):
+                    symbol = symbol or None  # NULL and empty ones, which are neighbours, share a file, and their folder with a key of its name
+                    if file is None or symbol != now:
                         if file:
-                            done()
-                        now, folder = symbol, Path(root, _folder(key, symbol))
-                        folder.mkdir(parents=True, exist_ok=True)
-                        temp = folder / f".{name}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-                        file = open(temp, "w", encoding="utf-8", newline="")  # noqa: SIM115
-                        file.write(header and header + "\n")
-                    file.write("\n".join(lines[at : at + n]) + "\n")
-                    at += n
+                            made.append(done())
+                        now, folder = symbol, _folder(key, symbol or _NO_KEY)
+                        name = f"part-{task.partitionId():05d}{'-named' if symbol == _NO_KEY else ''}.{ending}"
+                        os.makedirs(f"{root}/{folder}", exist_ok=True)
+                        temp = f"{root}/{folder}/.{name}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
+                        file = open(temp, "wb")  # noqa: SIM115
+                        size = file.write(head)
+                    size += file.write(memoryview(text)[offsets[lo] : offsets[hi]])
+                    lo = hi
+                if made:
+                    yield files(made)
             if file:
-                done()
+                yield files([done()])
         except BaseException:
             if file and not file.closed:
                 file.close()
-                temp.unlink(missing_ok=True)
+                Path(temp).unlink(missing_ok=True)
             raise
-        return iter(())
 
     Path(root).mkdir(parents=True)
+    rows = df.select(F.col(key).cast("string").alias(key), F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).alias("value"))
     # a key's lines go into one file, those of a key with very many into several, which Spark splits by size
-    named = F.when(F.col(key).cast("string") != "", F.col(key).cast("string")).otherwise("__HIVE_DEFAULT_PARTITION__")  # NULL and empty ones share a folder
-    rows = df.select(named.alias(key), "value").hint("rebalance", key).sortWithinPartitions(key)
-    rows.mapInArrow(write, f"{key} string").write.format("noop").mode("overwrite").save()
+    rows = rows if dealt else rows.hint("rebalance", key)
+    files = rows.sortWithinPartitions(key).mapInArrow(write, f"{key} string, file string, bytes long").write.mode("overwrite")
+    files.parquet(listed) if listed else files.format("noop").save()
     Path(root, "_SUCCESS").touch()
 
 
+def read_lines(files: DataFrame, path: str, header: bool = False, bytes_a_task: int = 64_000_000) -> DataFrame:
+    """SNK-6, SRC-12: the lines of listed files (columns ``file``, within ``path``, ``bytes`` and others) of a local file system, in ``value`` beside the other columns.
+
+    Spark's readers list each folder and open each file as a split of its own, which costs far
+    more than a symbol's lines. Here a task gets some files of the list and reads one after the other.
+    """
+    root, keys, piece = local_path(files.sparkSession, path), [c for c in files.columns if c not in ("file", "bytes")], 1 << 21
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, (files.agg(F.sum("bytes")).first()[0] or 0) // bytes_a_task + 1)
+
+    def read(batches):
+        def made(batch, found):
+            data, at = b"".join(d for _, d in found), np.repeat([i for i, _ in found], [d.count(b"\n") for _, d in found])
+            ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+            lines = pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data))
+            return pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(at, pa.int64())).columns, pc.utf8_rtrim(lines, "\n")], [*keys, "value"])
+
+        for batch in batches:
+            found, size = [], 0
+            for i, name in enumerate(batch.column("file").to_pylist()):
+                with open(f"{root}/{name}", "rb") as file:
+                    if header:
+                        file.readline()
+                    while data := file.read(piece):
+                        data += file.readline()
+                        found.append((i, data if data.endswith(b"\n") else data + b"\n"))
+                        size += len(data)
+                        if size >= piece:
+                            yield made(batch, found)
+                            found, size = [], 0
+            if found:
+                yield made(batch, found)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.select(keys).schema)
+    return files.repartition(tasks).mapInArrow(read, f"{schema}, value string")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
