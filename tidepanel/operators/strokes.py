@@ -123,36 +123,42 @@ class Fold:
             self._step(*head[i])
 
     def _step(self, day: str, high: float, low: float, close: float) -> None:
+        # the only part that runs for each bar: its row is one dict, made in place
         s, i = self.s, self.s["n"] - 1
         was_day, was_high, was_low, was_close = s["raw"]
         turned = "up" if high > was_high else "down" if low < was_low else s["turned"]
-        s["turned"], up = turned, s["direction"] == "up"
-        s["interval"] += 1
-        change = _change(high, s["ends"][0][1]) if up else _change(low, s["ends"][0][2])
-        bar = {"side": s["direction"], "interval": s["interval"], "change": change, "slope": None if change is None else change / s["interval"]} | (s["zone"] or {}) | (s["merged"] or {})
+        side = s["direction"]
+        s["turned"] = turned
+        s["interval"] = interval = s["interval"] + 1
+        change = _change(high, s["ends"][0][1]) if side == "up" else _change(low, s["ends"][0][2])
+        bar = {"kind": "bar", "at": i, "seq": i, "day": day, "side": side, "interval": interval, "change": change, "slope": None if change is None else change / interval}
+        if s["zone"]:
+            bar.update(s["zone"])
+        if s["merged"]:
+            bar.update(s["merged"])
 
         cut, was_cut = [high, low], s["cut"]  # shortened bars, as high and low
         if high >= was_high and low <= was_low:
             cut = [high, was_low] if turned == "up" else [was_high, low]
+            if cut != [high, low]:
+                self.tell("shape", i, day, high=cut[0], low=cut[1])
         elif was_high >= high and was_low <= low:
             was_cut = [was_cut[0], low] if turned == "down" else [high, was_cut[1]]
-        for at, d, now, old in ((i, day, cut, [high, low]), (i - 1, was_day, was_cut, s["cut"])):
-            if now != old:
-                self.tell("shape", at, d, high=now[0], low=now[1])
+            if was_cut != s["cut"]:
+                self.tell("shape", i - 1, was_day, high=was_cut[0], low=was_cut[1])
 
-        if turned == s["direction"]:
+        if turned == side:
             s["against"] = 0
         else:
-            s["against"] += 1
-            s["interval"] = s["against"]
-            if s["against"] == 1:
+            s["against"] = s["interval"] = against = s["against"] + 1
+            if against == 1:
                 s["turn"] = was_cut
                 self._turn(i, was_cut, high, low)
             change = _change(high, s["turn"][1]) if turned == "up" else _change(low, s["turn"][0])
-            bar |= {"against": turned, "against_interval": s["against"], "against_change": change, "against_slope": None if change is None else change / s["against"]}
-            if s["candidate"] and (s["against"] >= AGAINST or i - s["candidate"][0] >= SINCE):
+            bar["against"], bar["against_interval"], bar["against_change"], bar["against_slope"] = turned, against, change, None if change is None else change / against
+            if s["candidate"] and (against >= AGAINST or i - s["candidate"][0] >= SINCE):
                 self._end_stroke()
-        self.tell("bar", i, day, **bar)
+        self.rows.append(bar)
         s["before"], s["raw"], s["cut"] = was_cut, [day, high, low, close], cut
 
     def _turn(self, i: int, was_cut: list, high: float, low: float) -> None:
@@ -305,7 +311,7 @@ def wide(rows: DataFrame, bars: DataFrame) -> DataFrame:
 def _series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list, list, list]]:
     """Each entity with its days (since 1970), highs, lows and closes, from rows in the order of entities and days."""
     now, held = None, []
-    whole = lambda: (now, *(c.to_pylist() for c in pa.Table.from_batches(held).columns[1:]))
+    whole = lambda: (now, *(c.to_numpy().tolist() for c in pa.Table.from_batches(held).columns[1:]))
     for batch in batches:
         runs, lo = pc.run_end_encode(batch.column(0)), 0
         for entity, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
